@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, packing, substring_dedup
+from paperloom.llm import bpe, near_dup, packing, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +27,46 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunks": op3_bpe_chunks,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {
+    "op4_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+t AS (SELECT array_to_string(ws, ' ') AS words, any_value(ws) AS ws, min(doc_id) AS node FROM w GROUP BY 1),
+g AS (SELECT node, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM t WHERE len(ws) > 0),
+c AS (SELECT node, s, count(*) AS n FROM g GROUP BY ALL),
+z AS (SELECT node, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS both_have FROM c a JOIN c b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON a = x.node JOIN z y ON b = y.node WHERE 5 * both_have >= 4 * (x.total + y.total - both_have)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, other) AS (SELECT node, node FROM t UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+k AS (SELECT node, min(other) AS class_id FROM r GROUP BY node)
+SELECT doc_id, class_id FROM w JOIN t ON array_to_string(w.ws, ' ') = t.words JOIN k USING (node)""",
     "op5_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
@@ -53,4 +76,11 @@ word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j F
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS words, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_top_k": """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * d.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
