@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, near_dup, packing, substring_dedup, topk, warc
+from paperloom.llm import bpe, near_dup, packing, substring_dedup, topk, toxicity, warc
+from paperloom.llm.batches import fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunks": op3_bpe_chunks,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
