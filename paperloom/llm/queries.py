@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, near_dup, packing, substring_dedup, topk, toxicity, warc
+from paperloom.llm import bpe, near_dup, packing, quality_model, substring_dedup, topk, toxicity, warc
 from paperloom.llm.batches import fold_of
 
 
@@ -49,6 +49,13 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = quality_model.quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
