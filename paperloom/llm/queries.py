@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, near_dup, packing, quality_model, substring_dedup, topk, toxicity, warc
+from paperloom.llm import bpe, near_dup, packing, quality_model, quality_rules, substring_dedup, topk, toxicity, warc
 from paperloom.llm.batches import fold_of
 
 
@@ -25,6 +25,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -65,6 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_bpe_chunks": op3_bpe_chunks,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
@@ -77,7 +83,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_GRIDS = ", ".join(f"('{r.name}', [{', '.join(map(str, r.grid))}])" for r in quality_rules.RULES)
+_VALUES = " ".join(f"WHEN '{r.name}' THEN {r.value.replace(' DIV ', ' // ')}" for r in quality_rules.RULES)
+_LIMITS = " OR ".join(f"coalesce(({r.value.replace(' DIV ', ' // ')}) > max(cutoff) FILTER (rule = '{r.name}'), false)" for r in quality_rules.RULES)
+
 SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, {_WORDS} AS ws, coalesce(text, '') AS t,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+rules(rule, grid) AS (VALUES {_GRIDS}),
+h AS (SELECT stratum, rule, grid, quality = 1 AS good, CASE rule {_VALUES} END AS v FROM b JOIN labels USING (doc_id), rules WHERE NOT base_failed AND quality IS NOT NULL),
+c AS (SELECT stratum, rule, c, grid[c] AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > grid[c]) AS k, count(*) FILTER (NOT good AND v > grid[c]) AS gain
+  FROM (SELECT *, unnest(range(1, len(grid) + 1)) AS c FROM h) GROUP BY ALL),
+p AS (SELECT *, n > 0 AND k < n * 0.02 / 4 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995))))
+  <= 0.05 / 4 / (SELECT count(DISTINCT stratum) FROM h) AS fine FROM c),
+q AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, rule ORDER BY c DESC) AS certified FROM p),
+best AS (SELECT stratum, rule, cutoff FROM q WHERE certified AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, c DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_LIMITS}) AS kept
+FROM b LEFT JOIN best USING (stratum) GROUP BY doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed""",
     "op4_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 t AS (SELECT array_to_string(ws, ' ') AS words, any_value(ws) AS ws, min(doc_id) AS node FROM w GROUP BY 1),
