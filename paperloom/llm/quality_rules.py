@@ -101,7 +101,12 @@ def thresholds(holdout: DataFrame, *, risk: float, error: float) -> DataFrame:
     probability 1 - error all certified cutoffs keep their promise. Of these the one that rejects most rows that are not
     good is used, the loosest in a tie.
     """
-    families = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(len(r.grid)).alias("cutoffs"), F.size(F.filter(F.array(*(F.lit(g) for g in r.grid)), lambda g, v=F.expr(r.value): g < v)).alias("above")) for r in RULES))
+
+    def above(r: Rule) -> Column:
+        value = F.expr(r.value)
+        return F.size(F.filter(F.array(*(F.lit(g) for g in r.grid)), lambda cutoff: cutoff < value))
+
+    families = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(len(r.grid)).alias("cutoffs"), above(r).alias("above")) for r in RULES))
     counted = holdout.select("stratum", "good", F.explode(families).alias("f")).groupBy("stratum", "f.rule", "f.cutoffs", "f.above")
     counted = cut(counted.agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")))
     # A row above `above` cutoffs is rejected by the cutoffs 0 .. above - 1.
