@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import STEP_BYTES, Words, as_bytes, partitions, steps, windows, xxhash64_long
+from paperloom.llm.batches import Words, as_bytes, partitions, steps, windows, xxhash64_long
 
 #: The perfect difference cover of period 13: each remainder is the difference of two of these (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Anchors and windows that a task gathers before it sends them on, sorted by bucket.
-GATHER = 1_500_000
-#: Buckets of a shuffle for each of its partitions; a reducer holds one bucket at a time.
-BUCKETS_PER_PARTITION = 4
+GATHER = 400_000
+#: Groups of texts for each bucket of hashes: many, so that hashing deals texts out evenly.
+GROUPS_PER_BUCKET = 4
+#: Bits of an anchor's hash that are sent; a chance agreement only adds a candidate.
+ANCHOR_BITS = np.uint64(2**48 - 1)
 
 #: tag is a checksum of the text; it tells apart the texts of rows that share an id.
 ENTRY = np.dtype([("hash", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("place", "<i4")])
@@ -27,12 +29,38 @@ RUN = np.dtype([("row", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("length", "<i
 SENT = "kind int, bucket int, blob binary"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """x, column by column and byte by byte of significance, ids as differences, compressed."""
+    planes = []
+    for name in x.dtype.names:
+        c = np.ascontiguousarray(x[name])
+        if name in ("row", "tag"):
+            c = np.concatenate([c[:1], c[1:] - c[:-1]])
+        planes.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes())
+    return len(x).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    out = []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        raw = np.frombuffer(pa.decompress(blob[8:], n * dtype.itemsize, codec="zstd", asbytes=True), np.uint8)
+        x, at = np.zeros(n, dtype), 0
+        for name in dtype.names:
+            kind = dtype[name]
+            c = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel()
+            x[name] = np.cumsum(c, dtype=kind) if name in ("row", "tag") else c
+            at += n * kind.itemsize
+        out.append(x)
+    return np.concatenate(out) if out else np.zeros(0, dtype)
+
+
 def _by_bucket(kind: int, x: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each bucket, with its part of x."""
     if len(x):
         order = np.argsort(bucket, kind="stable")
         ids, at = np.unique(bucket[order], return_index=True)
-        blobs = [p.tobytes() for p in np.split(x[order], at[1:])]
+        blobs = [_packed(p) for p in np.split(x[order], at[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
@@ -50,13 +78,13 @@ def _runs(e: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def _row_bucket(row: np.ndarray, buckets: int) -> np.ndarray:
-    """pmod(xxhash64(row), buckets)."""
-    return xxhash64_long(np.ascontiguousarray(row)) % buckets
+def _row_bucket(row: np.ndarray, groups: int) -> np.ndarray:
+    """pmod(xxhash64(row), groups)."""
+    return xxhash64_long(np.ascontiguousarray(row)) % groups
 
 
 def _hash_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _same(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +121,12 @@ def _anchors(texts: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
     return _fill(texts, rows, w, h, at)
 
 
-def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id", text_column: str = "text", text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id", text_column: str = "text", text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word covered by a window of `size` words whose words also start earlier in the corpus.
 
     Earlier is a smaller id, or the same document and an earlier start; windows are judged on the input. Returns id,
     n_words, n_removed, kept_sha256 (and, if asked for, text: the kept words joined by one space where some went, else
-    the text as it was).
+    the text as it was; and the columns to carry).
 
     A period-13 difference cover has 4 positions; for any two positions some shift below 13 brings both onto it. So two
     equal windows of `size` words hold, at the same offset, windows of `size - 12` words that both start at cover
@@ -114,12 +142,13 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     """
     if size < PERIOD:
         raise ValueError(f"size must be {PERIOD} at least")
-    n = partitions(docs)
-    buckets = n * BUCKETS_PER_PARTITION
+    buckets = partitions(docs)
+    groups = buckets * GROUPS_PER_BUCKET
     anchor = size - PERIOD + 1
     null_row = -(2**63)
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(null_row)).alias("row"), F.col(text_column).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(null_row)).alias("row"), F.col(text_column).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -128,15 +157,17 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
             if held:
                 e = np.concatenate(held)
                 held.clear()
-                e = e[np.argsort(e["hash"], kind="stable")]
-                first, count = _same(e)
-                runs = _runs(e[count > 1], anchor)  # shared within the task: nobody else need be asked
-                yield from _by_bucket(1, runs, _row_bucket(runs["row"], buckets))
-                yield from _by_bucket(0, e[first], _hash_bucket(e["hash"][first], buckets))
+                e["hash"] &= ANCHOR_BITS
+                order = np.argsort(e["hash"], kind="stable")
+                first, count = _same(e[order])
+                runs = _runs(e[order[count > 1]], anchor)  # shared within the task: nobody else need be asked
+                yield from _by_bucket(1, runs, _row_bucket(runs["row"], groups))
+                ask = e[np.sort(order[first])]
+                yield from _by_bucket(0, ask, _hash_bucket(ask["hash"], buckets))
 
         for b in batches:
             texts, ids = as_bytes(b.column(1)), b.column(0).to_numpy()
-            for low, high in steps(texts):
+            for low, high in steps(texts, 1_000_000):
                 held.append(_anchors(texts[low:high], ids[low:high], anchor))
                 if sum(map(len, held)) > GATHER:
                     yield from send()
@@ -149,9 +180,9 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                runs = settle(np.frombuffer(b"".join(held), ENTRY))
+                runs = settle(_unpacked(held, ENTRY))
                 held.clear()
-                yield from _by_bucket(1, runs, _row_bucket(runs["row"], buckets))
+                yield from _by_bucket(1, runs, _row_bucket(runs["row"], groups))
 
         for b in batches:
             kinds = b.column(0).to_numpy()
@@ -175,10 +206,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
 
     def with_runs(texts: pa.Table, blobs: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, Words, np.ndarray]]:
         """Steps of a bucket's texts with the words that runs cover."""
-        runs = np.frombuffer(b"".join(blobs.column("blob").to_pylist()), RUN)
+        runs = _unpacked(blobs.column("blob").to_pylist(), RUN)
         runs = runs[np.argsort(runs["row"], kind="stable")]
         ids, all_texts = (texts.column("row").to_numpy(), as_bytes(texts.column("text").combine_chunks())) if texts.num_rows else (None, [])
-        for low, high in steps(all_texts, STEP_BYTES):
+        for low, high in steps(all_texts, 1_000_000):
             w, own = Words(all_texts[low:high]), ids[low:high]
             change = np.zeros(len(w.starts) + 1, np.int32)
             from_, to = np.searchsorted(runs["row"], own, "left"), np.searchsorted(runs["row"], own, "right")
@@ -203,8 +234,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
             runs = _runs(e[later], size)
             first = ~later
             first[1:] &= ~((e["hash"][1:] == e["hash"][:-1]) & first[:-1])  # of equal rows one entry is enough
-            out += _by_bucket(1, runs, _row_bucket(runs["row"], buckets))
-            out += _by_bucket(0, e[first], _hash_bucket(e["hash"][first], buckets))
+            out += _by_bucket(1, runs, _row_bucket(runs["row"], groups))
+            ask = e[first]
+            ask = ask[np.argsort(ask["row"], kind="stable")]
+            out += _by_bucket(0, ask, _hash_bucket(ask["hash"], buckets))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
         return pa.Table.from_batches(out, schema)
 
@@ -228,17 +261,26 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                     kept.append((left if lost else own_texts[i]).decode())
                 ids.append(row)
         columns = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
-        return pa.Table.from_arrays(columns + ([pa.array(kept, pa.string())] if text else []), ["row", "n_words", "n_removed", "kept_sha256"] + ["text"] * text)
+        columns += [pa.array(kept, pa.string())] * text + ([texts.column("rest")] if carry else [])
+        return pa.Table.from_arrays(columns, ["row", "n_words", "n_removed", "kept_sha256"] + ["text"] * text + ["rest"] * bool(carry))
 
     def settled(sent: DataFrame, settle) -> DataFrame:
         """The runs (bucket, blob) that entries by hash bucket come to."""
-        dealt = sent.repartition(n, "bucket").sortWithinPartitions("kind", "bucket")
+        dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
         return dealt.mapInArrow(lambda batches: in_buckets(batches, settle), SENT).select("bucket", "blob")
 
-    dealt_texts = rows.select(F.expr(f"cast(pmod(xxhash64(row), {buckets}) as int)").alias("bucket"), "row", "text")
-    near = settled(rows.mapInArrow(find_anchors, SENT), shared_anchors)
+    dealt_texts = rows.select(F.expr(f"cast(pmod(xxhash64(row), {groups}) as int)").alias("bucket"), "row", "text", *["rest"] * bool(carry))
+    near = settled(rows.select("row", "text").mapInArrow(find_anchors, SENT), shared_anchors)
     cogroup = lambda runs, f, schema: dealt_texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(f, schema)
     gone = settled(cogroup(near, extend, SENT), later_windows)
-    out = cogroup(gone, remove, "row long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text)
-    return out.withColumn(id_column, F.when(F.col("row") != null_row, F.col("row")).cast(kind)).select(id_column, "n_words", "n_removed", "kept_sha256", *["text"] * text)
+    out = cogroup(gone, remove, "row long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text + rest)
+    own_id = F.when(F.col("row") != null_row, F.col("row")).cast(kind).alias(id_column)
+    return out.select(own_id, "n_words", "n_removed", "kept_sha256", *["text"] * text, *(F.col("rest")[c].alias(c) for c in carry))
+
+
+def cut_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with the repeated words of each text taken out and all other columns as they are; no row goes, even if no word stays."""
+    others = tuple(c for c in docs.columns if c not in (id_column, text_column))
+    out = remove_repeats(docs, size=size, id_column=id_column, text_column=text_column, text=True, carry=others)
+    return out.withColumnRenamed("text", text_column).select(*docs.columns) if text_column != "text" else out.select(*docs.columns)
 
