@@ -212,3 +212,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     named = classes.groupBy("component").agg(F.min("id").alias("class_id"))
     of_key = classes.join(named, "component").select("key", "class_id")
     return signed.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_column), "class_id")
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that stand for their near-duplicate class: those with its smallest id.
+
+    Of repeated rows (same id and text) one stays. Rows without an id can't be named by a class; one stays of each text.
+    """
+    classes = near_duplicates(docs, size=size, least=least, id_column=id_column, text_column=text_column)
+    kept = classes.where(F.col(id_column) == F.col("class_id")).select(id_column).distinct().withColumnRenamed(id_column, "_kept")
+    named = docs.where(F.col(id_column).isNotNull()).join(kept, docs[id_column] == kept["_kept"], "left_semi")
+    return named.union(docs.where(F.col(id_column).isNull())).dropDuplicates([id_column, text_column])

@@ -180,3 +180,19 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
     return score(rows, fit(rows, known)).withColumnRenamed("id", id_column)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores at least `least`; fitted like quality()."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    model = fit(rows, labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")))
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = as_bytes(b.column(b.schema.get_field_index(text_column)))
+            for low, high in steps(texts):
+                yield b.slice(low, high - low).filter(pa.array(model(features(texts[low:high])) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
