@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,22 +115,22 @@ def partitions(df: DataFrame, each: int = 64_000_000) -> int:
     return max(n, min(size // each, 1_000_000) if size < 2**60 else n)
 
 
-def shared(spark: SparkSession) -> None:
-    """Makes checkpoint() work: the cluster's folder, or one under the warehouse where none is set (as in tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(spark))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there from now on."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table to the shared folder and read from there from now on; the table goes when the driver ends.
+
+    checkpoint() keeps the constraints and statistics of all plans before it, which pile up over rounds of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold_of(column: str, folds: int) -> Column:

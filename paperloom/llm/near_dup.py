@@ -15,7 +15,11 @@ from paperloom.llm.batches import Words, as_bytes, cut, mix, steps, unit, window
 #: Hashes of a signature, in BANDS bands of ROWS: a pair of similarity 0.8 shares no band with probability 1.9e-6.
 BANDS, ROWS = 25, 4
 #: Rounds in which each bucket that still holds several components tries another leader, before all that is left is compared.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Buckets of more nodes than this compare what is left block by block, smaller ones pair by pair.
+SMALL_BUCKET = 48
+#: Nodes of a block, and shingles that two blocks are multiplied over at once.
+BLOCK, COLUMNS = 256, 8192
 
 _POINT, _PLACE, _BLOCK = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -132,6 +136,81 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _levels(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: (owner, hash of shingle and occurrence), so that multiset overlap is set overlap."""
+    at = np.repeat(np.arange(len(owner)), count)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return owner[at], np.where(level > 0, mix(shingle[at] + level.astype(np.uint64) * _BLOCK), shingle[at])
+
+
+def _overlaps(owner: np.ndarray, element: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The sizes of the overlaps of the sets of owners 0 .. left-1 with those of the `right` owners after them."""
+    ids, place = np.unique(element, return_inverse=True)
+    seen_left = np.bincount(place[owner < left], minlength=len(ids)) > 0
+    seen_right = np.bincount(place[owner >= left], minlength=len(ids)) > 0
+    column = np.where(seen_left & seen_right, np.cumsum(seen_left & seen_right) - 1, -1)[place]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((left, right), np.float64)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, z = np.searchsorted(column, [low, low + COLUMNS])
+        x = np.zeros((left + right, COLUMNS), np.float32)
+        x[owner[a:z], column[a:z] - low] = 1
+        out += x[:left] @ x[left:].T
+    return out
+
+
+def block_links(placed: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) between nodes of different components in the same bucket; placed has (bucket, node, component).
+
+    A bucket's nodes are dealt to blocks of about BLOCK nodes, those of a large component to blocks of their own, and each
+    pair of blocks that may hold two components is one group: all its pairs are compared by multiplying the two blocks'
+    shingle matrices, and links alone come out. No group grows with its bucket.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < BLOCK).groupBy("bucket").agg(F.sum("n").alias("rest"))
+    sized = placed.join(sizes, ["bucket", "component"]).join(small, "bucket", "left")
+    part = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / BLOCK))
+    large = F.col("n") >= BLOCK
+    dealt = cut(sized.select("bucket", "node", "component", F.when(large, F.col("component")).otherwise(-1).alias("own"), F.when(large, part("node", "n")).otherwise(part("component", "rest")).alias("part")))
+    blocks = dealt.select("bucket", "own", "part").distinct()
+    pairs = blocks.toDF("bucket", "own_a", "part_a").join(blocks.toDF("bucket", "own_b", "part_b"), "bucket")
+    pairs = pairs.where((F.struct("own_a", "part_a") <= F.struct("own_b", "part_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("own_a") == -1)))
+    key = ["bucket", "own_a", "part_a", "own_b", "part_b"]
+
+    def side(name: str) -> DataFrame:
+        return dealt.withColumnsRenamed({"own": f"own_{name}", "part": f"part_{name}"}).join(pairs, ["bucket", f"own_{name}", f"part_{name}"]).select(*key, F.lit(name).alias("side"), "node", "component")
+
+    alone = (F.col("own_a") == F.col("own_b")) & (F.col("part_a") == F.col("part_b"))
+    rows = side("a").union(side("b").where(~alone)).join(texts, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side")
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        left = int(np.count_nonzero(np.array(table.column("side").to_pylist()) == "a"))
+        own = left == len(node)
+        raw = as_bytes(table.column("text").combine_chunks())
+        if own:
+            raw, node, component = raw + raw, np.tile(node, 2), np.tile(component, 2)
+        owner, element = [], []
+        for low, high in steps(raw, 4_000_000):
+            o, s, c, _ = bags(raw[low:high], size)
+            o, s = _levels(o, s, c)
+            owner.append(o + low)
+            element.append(s)
+        owner, element = np.concatenate(owner), np.concatenate(element)
+        total = np.bincount(owner, minlength=len(node)).astype(np.float64)
+        both = _overlaps(owner, element, left, len(node) - left)
+        either = total[:left, None] + total[None, left:] - both
+        good = (both >= least * either - 1e-9) & (either > 0) & (component[:left, None] != component[None, left:])
+        i, j = np.nonzero(good)
+        a, b = node[i], node[left + j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.select(*key, "side", "node", "component", "text").groupBy(*key).applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node that edges lead to.
 
@@ -157,9 +236,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     Two texts are linked if their multisets of `size`-word shingles have a Jaccard similarity of at least `least`; texts of
     equal words are one text; classes are what links connect. Signatures find candidates, an exact comparison decides.
 
-    Each distinct text is one node. Nodes that share a band are compared with the band's leader; as long as a bucket holds
-    nodes of several components its members try further leaders, and what is left at the end is compared in full, so that
-    no candidate link between different components is left out while a large group of copies takes few comparisons.
+    Each distinct text is one node. Nodes that share a band are compared with the band's leader; in buckets that then hold
+    nodes of several components the members try further leaders, and at the end all nodes of unlike components are compared,
+    pair by pair in small buckets and block by block in large ones. So no candidate link between different components is left
+    out, while a large group of copies takes few comparisons.
 
     A null or empty text has no words; all such rows are one class of equal texts. A null id gets the smallest id of its
     class, null if there is none; repeated rows have the same class. Other columns are not read.
@@ -188,25 +268,30 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
 
     tested = cut(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     links = cut(verified(tested, texts, size, least))
-    for turn in range(1, LEADER_ROUNDS + 2):
+
+    def split() -> DataFrame:
+        """Members of the buckets that still hold several components, and how many they are."""
         linked = components(links)
         placed = members.select("bucket", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        placed = cut(placed.join(split, "bucket", "left_semi"))
-        if turn <= LEADER_ROUNDS:
-            order = F.xxhash64("node", "bucket", F.lit(turn))
-            lead = placed.groupBy("bucket").agg(F.min(order).alias("order"))
-            lead = placed.withColumn("order", order).join(lead, ["bucket", "order"]).select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-        else:
-            lead = placed.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-        pairs = placed.join(lead, "bucket").where("component <> other_component").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn > LEADER_ROUNDS:
-                break
-            continue
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held")
+        return cut(placed.join(open_, "bucket"))
+
+    def other(placed: DataFrame, partners: DataFrame) -> DataFrame:
+        """Pairs of members and partners of one bucket and unlike components that were not compared before."""
+        partners = partners.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
+        pairs = placed.join(partners, "bucket").where("component <> other_component").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        return cut(pairs.join(tested, ["a", "b"], "left_anti"))
+
+    for turn in range(1, LEADER_ROUNDS + 1):
+        placed = split()
+        order = F.xxhash64("node", "bucket", F.lit(turn))
+        lead = placed.groupBy("bucket").agg(F.min(order).alias("order"))
+        pairs = other(placed, placed.withColumn("order", order).join(lead, ["bucket", "order"]))
         links = cut(links.union(verified(pairs, texts, size, least)))
         tested = tested.union(pairs)
+    placed = split()
+    few = placed.where(F.col("held") <= SMALL_BUCKET)
+    links = cut(links.union(verified(other(few, few), texts, size, least)).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
     linked = components(links)
     classes = nodes.select("key", "id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.groupBy("component").agg(F.min("id").alias("class_id"))
