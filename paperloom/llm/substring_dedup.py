@@ -18,7 +18,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Anchors and windows that a task gathers before it sends them on, sorted by bucket.
 GATHER = 400_000
 #: Groups of texts for each bucket of hashes: many, so that hashing deals texts out evenly.
-GROUPS_PER_BUCKET = 4
+GROUPS_PER_BUCKET = 2
 #: Bits of an anchor's hash that are sent; a chance agreement only adds a candidate.
 ANCHOR_BITS = np.uint64(2**48 - 1)
 
