@@ -32,7 +32,10 @@ PUBLIC_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest",
 GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Maria", "Thomas", "Anna", "Peter", "Laura", "Hans", "Sabine", "Klaus", "Ursula", "Pierre", "Marie", "Jean", "Sophie", "Luc", "Carlos", "Carmen", "José", "Lucia", "Juan")
 #: Characters before and after a span that context labelers see.
 CONTEXT = 32
-LABELERS = ("shape", "announced", "assigned", "gazetteer", "ordinary", "mixture")
+#: Labelers, and how often a vote of each is thought to be right before any data are seen.
+LABELERS = {"announced": 0.9, "assigned": 0.8, "gazetteer": 0.8, "ordinary": 0.8, "shape": 0.55, "mixture": 0.55}
+#: What those beliefs weigh, in votes; the share of candidates on which a labeler is thought to have an opinion.
+BELIEF, OPINION = 10, 0.6
 EM_ROUNDS, FIT_ROUNDS = 60, 300
 
 
@@ -114,7 +117,7 @@ def _keeper(test, kind: str):
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Reliabilities of the labelers, and the weights of the span classifier by feature."""
+    """How much a labeler's vote for private speaks for it (0.5: nothing), and the span classifier's weights by feature."""
 
     reliability: dict[str, float]
     weights: dict[str, float]
@@ -145,27 +148,35 @@ def fit(docs: DataFrame, *, text_column: str = "text") -> SpanModel:
     """Fits the span classifier on all candidates of all documents, without labels.
 
     Candidates are counted by kind, length class and votes (at most 18,225 rows, whatever the corpus), and only the counts
-    come to the driver. Expectation-maximisation over them estimates each kind's share of private spans and each labeler's
-    reliability, starting from 0.8 with a prior worth ten votes; a logistic classifier is then fitted on its posteriors.
+    come to the driver. Expectation-maximisation over them estimates each kind's share of private spans and how each labeler
+    votes on private spans and on others, abstaining included, starting from what is believed of it; so a labeler that says
+    the same of everything counts for nothing. A logistic classifier is then fitted on the posteriors.
     """
     rows = _matches(docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("_text")), CANDIDATES)
     found = rows.select(F.explode(F.concat(*(_spans(k, _keeper(_plausible, k)) for k in CANDIDATES))).alias("c"))
     traits = [v.alias(k) for k, v in _traits(F.col("c")).items()]
     counts = [r.asDict() for r in found.select(*traits).groupBy("kind", "length", *LABELERS).count().orderBy("kind", "length", *LABELERS).collect()]
 
-    sure = dict.fromkeys(LABELERS, 0.8)
+    believed = {x: {True: {1: OPINION * r, -1: OPINION * (1 - r), 0: 1 - OPINION}, False: {1: OPINION * (1 - r), -1: OPINION * r, 0: 1 - OPINION}} for x, r in LABELERS.items()}
+    chance = believed  # of each vote of each labeler, given whether the candidate is private
     share = {k: 0.5 for k in CANDIDATES}
     logit = lambda p: math.log(p / (1 - p))
     sigmoid = lambda z: 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
     posterior = [0.5] * len(counts)
     for _ in range(EM_ROUNDS):
-        posterior = [sigmoid(logit(share[r["kind"]]) + sum(r[x] * logit(sure[x]) for x in LABELERS)) for r in counts]
+        posterior = [sigmoid(logit(share[r["kind"]]) + sum(math.log(chance[x][True][r[x]] / chance[x][False][r[x]]) for x in LABELERS)) for r in counts]
         for k in CANDIDATES:
             own = [(p, r["count"]) for p, r in zip(posterior, counts) if r["kind"] == k]
             share[k] = (sum(p * n for p, n in own) + 1) / (sum(n for _, n in own) + 2)
+        chance = {x: {} for x in LABELERS}
         for x in LABELERS:
-            voted = [((p if r[x] > 0 else 1 - p), r["count"]) for p, r in zip(posterior, counts) if r[x]]
-            sure[x] = min(0.99, max(0.55, (sum(p * n for p, n in voted) + 8) / (sum(n for _, n in voted) + 10)))
+            for private in (True, False):
+                seen = {v: BELIEF * believed[x][private][v] for v in (1, 0, -1)}
+                for p, r in zip(posterior, counts):
+                    seen[r[x]] += r["count"] * (p if private else 1 - p)
+                whole = sum(seen.values())
+                chance[x][private] = {v: n / whole for v, n in seen.items()}
+    sure = {x: round(c[True][1] / (c[True][1] + c[False][1]), 6) for x, c in chance.items()}
 
     total = sum(r["count"] for r in counts) or 1
     names = [["bias", *(f"{k}={r[k]}" for k in ("kind", "length", *LABELERS) if k not in LABELERS or r[k])] for r in counts]
