@@ -96,6 +96,6 @@ def normalized(papers: DataFrame) -> DataFrame:
         "abstract": text.blank_to_null(clean("abstract")),
         "doi": F.when(own.isNull(), doi),
         "arxiv_id": text.norm_arxiv(F.coalesce(_filled("arxiv_id"), own)),
-        "openalex_id": F.upper(F.element_at(F.split(F.rtrim(F.lit("/"), F.col("openalex_id")), "/"), -1)),
+        "openalex_id": F.upper(F.element_at(F.split(F.rtrim(F.col("openalex_id"), F.lit("/")), "/"), -1)),
         "authors": F.filter("authors", lambda a: a.isNotNull() & (a != "")),
     })

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace as Python's str.split() and \s see it.
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
@@ -27,7 +28,7 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def _unescape(text: str | None) -> str | None:
     import html
 
@@ -39,7 +40,7 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def _decompose(text: str | None) -> str | None:
     import unicodedata
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
@@ -16,7 +17,7 @@ TITLE_KEY, FUZZY, PREFIX = 20, 30, 20
 NUMBERING = r"(?<![\p{L}\p{N}_])(?:\p{Nd}+|i{1,3}|iv|vi{0,3}|ix|x)(?![\p{L}\p{N}_])"
 
 
-@F.udf("double", useArrow=True)
+@F.udf(T.DoubleType(), useArrow=True)
 def _ratio(a: str | None, b: str | None) -> float | None:
     import difflib
 
@@ -111,9 +112,10 @@ def merge_groups(grouped: DataFrame) -> DataFrame:
     by_hand = lambda n: F.array_contains(F.coalesce("extra.manual", F.array().cast("array<string>")), n)
     first = lambda n, condition, value: F.min(F.when(condition, F.struct("place", value.alias("v"))))["v"].alias(n)
     aggregates = [first(n, there(n), F.col(n)) for n in FILLED]
-    aggregates += [F.min(F.when(by_hand(n), F.struct("place", "lead", F.col(n).alias("v"), F.col("status_reason").alias("why")))).alias(f"_hand_{n}") for n in EDITABLE]
+    aggregates += [F.min(F.when(by_hand(n), F.struct("place", "lead", F.col(n).alias("v"), F.col("status_reason").alias("why"), "seq"))).alias(f"_hand_{n}") for n in EDITABLE]
     longest = lambda n, size: F.max(F.struct(size.alias("size"), (-F.col("place")).alias("p"), F.col(n).alias("v")))["v"].alias(n)
     ordered = lambda value: F.array_sort(F.collect_list(F.struct("seq", value.alias("v"))))
+    united = F.flatten(F.transform(ordered(F.col("found_via")), lambda x: x["v"]))
     rest = F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("p"), F.map_entries(F.coalesce("extra.rest", F.create_map().cast("map<string,string>"))).alias("v"))))
     merged = rows.groupBy("gid").agg(
         *aggregates,
@@ -121,16 +123,23 @@ def merge_groups(grouped: DataFrame) -> DataFrame:
         longest("authors", F.size("authors")),
         F.max("citation_count").alias("citation_count"),
         F.min("round").alias("round"),
-        F.array_distinct(F.flatten(F.transform(ordered(F.col("found_via")), lambda x: x["v"]))).alias("found_via"),
+        F.when(F.count("*") > 1, F.array_distinct(united)).otherwise(united).alias("found_via"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("extra.manual")))).alias("_manual"),
         first("_checked", F.col("extra.meta_checked").isNotNull(), F.col("extra.meta_checked")),
         rest.alias("_rest"),
+        F.collect_list(F.when(F.col("status_reason") != "", F.struct("seq", "lead", "place", F.col("status_reason").alias("v")))).alias("_reasons"),
     )
     for n in EDITABLE:
         hand = F.col(f"_hand_{n}")
         merged = merged.withColumn(f"_set_{n}", F.when(hand.isNull(), F.col(n)).when(hand["v"].isNull() & hand["lead"], F.col(n)).otherwise(hand["v"]))
     status = F.col("_hand_status")
-    carried = F.when(F.col("_hand_status_reason").isNull() & status.isNotNull() & (status["place"] > 1), status["why"]).otherwise(F.col("_set_status_reason"))
+    # A status set by hand brings its reason; a blank one is filled from what was merged before, if its record led then, and
+    # from records that came later and did not lead.
+    later = lambda x: x["seq"] > status["seq"]
+    around = F.filter("_reasons", lambda x: F.when(later(x), ~x["lead"]).otherwise(status["lead"] & (x["seq"] < status["seq"])))
+    refill = F.get(F.array_sort(F.transform(around, lambda x: F.struct(later(x).alias("late"), x["place"].alias("p"), x["v"].alias("v")))), F.lit(0))["v"]
+    why = F.coalesce(text.blank_to_null(status["why"]), refill)
+    carried = F.when(F.col("_hand_status_reason").isNull() & status.isNotNull() & (status["place"] > 1), why).otherwise(F.col("_set_status_reason"))
     # Of equal keys the last entry holds: the one of the record with the smallest place.
     entries = F.flatten(F.transform("_rest", lambda x: x["v"]))
     overlaid = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))

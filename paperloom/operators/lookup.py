@@ -89,7 +89,7 @@ def complete(papers: DataFrame, metadata: DataFrame, key: str, source: str, *, f
     names = [c for c in COMPLETED if c in metadata.columns and c != key]
     joined = papers.withColumn("_target", target).join(own.select(key, *(F.col(c).alias(f"_new_{c}") for c in names)), key, "left")
     kinds = dict(papers.dtypes)
-    filled = {c: F.when(F.col("_target") & _blank(F.col(c), kinds[c]), F.col(f"_new_{c}").cast(kinds[c])).otherwise(F.col(c)) for c in names}
+    filled = {c: F.when(F.col("_target") & _blank(F.col(c), kinds[c]) & ~_blank(F.col(f"_new_{c}"), dict(own.dtypes)[c]), F.col(f"_new_{c}").cast(kinds[c])).otherwise(F.col(c)) for c in names}
     noted = F.array_sort(F.array_union(F.coalesce("extra.meta_checked", F.array().cast("array<string>")), F.array(F.lit(source))))
     extra = F.when(F.col("_target"), F.struct(F.col("extra.manual").alias("manual"), noted.alias("meta_checked"), F.col("extra.rest").alias("rest"))).otherwise(F.col("extra"))
     return joined.withColumns(filled | {"extra": extra}).select(*papers.columns)

@@ -66,7 +66,7 @@ def results(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Byte order marks, trailing commas and the brackets of a list are forgiven; values that are lists or numbers become text.
     """
-    clean = F.rtrim(F.lit(","), F.trim(F.regexp_replace("value", "^﻿", "")))
+    clean = F.rtrim(F.trim(F.regexp_replace("value", r"^\uFEFF", "")), F.lit(","))
     rows = lines.withColumn("value", F.trim(clean)).where(~F.col("value").isin("", "[", "]"))
     raw = rows.withColumn("_row", F.try_parse_json("value"))
     is_object = F.coalesce(F.schema_of_variant("_row").startswith("OBJECT"), F.lit(False))

@@ -247,7 +247,7 @@ class Review:
         empty = self.spark.createDataFrame([], "file string, file_no int, line int, value string")
         if not names:
             return empty
-        whole = self.spark.read.option("wholetext", True).text([self._uri(stage, n) for n in names])
+        whole = self.spark.read.text([self._uri(stage, n) for n in names], wholetext=True)
         order = self.spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, file_no int")
         lines = whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
         return lines.join(F.broadcast(order), "file").select("file", "file_no", (F.col("at") + 1).alias("line"), "value")

@@ -46,7 +46,7 @@ def decode_openalex(works: DataFrame, column: str = "value") -> DataFrame:
     g = F.col("_w")
     addresses = F.flatten(F.transform(g["locations"], lambda x: F.array(x["landing_page_url"], x["pdf_url"])))
     preprint = F.get(F.filter(addresses, lambda u: F.contains(u, F.lit("arxiv.org/"))), F.lit(0))
-    short = lambda c: F.element_at(F.split(F.rtrim(F.lit("/"), c), "/"), -1)
+    short = lambda c: F.element_at(F.split(F.rtrim(c, F.lit("/")), "/"), -1)
     fields = {
         "title": F.coalesce(text.blank_to_null(g["title"]), g["display_name"]), "authors": F.transform(g["authorships"], lambda a: a["author"]["display_name"]),
         "year": g["publication_year"], "venue": g["primary_location"]["source"]["display_name"], "doi": g["doi"], "arxiv_id": text.norm_arxiv(preprint),
@@ -101,7 +101,7 @@ def _records(decoded: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     """(value) of each entry of Atom files, as XML text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0))).alias("value"))
 
 
@@ -111,7 +111,7 @@ def read_papers(spark: SparkSession, path: str | list[str], *, normalize: bool =
     A line that is no JSON object fails the query.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("seq"))
-    lines = lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
+    lines = lines.withColumn("value", F.regexp_replace("value", r"^\uFEFF", "")).where(F.trim("value") != "")
     row = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     known = T.StructType([f for f in PAPER.fields if f.name not in ("seq", "extra")])
     parsed = lines.select("seq", row.alias("_all"), F.from_json("value", known, {"mode": "PERMISSIVE"}).alias("p"), F.from_json("value", "extra struct<manual: array<string>, meta_checked: array<string>>").alias("e"))
@@ -133,7 +133,7 @@ def read_meta(path: str) -> dict:
 
 def as_json(papers: DataFrame) -> DataFrame:
     """(seq, value): each record as a JSON object with its id, without nulls, empty lists and round 0."""
-    empty = lambda c: F.when(F.size(c) > 0, c)
+    empty = lambda n: F.when(F.size(n) > 0, F.col(n))
     fields = {n: F.col(n) for n in FIELDS} | {"authors": empty("authors"), "found_via": empty("found_via"), "round": F.nullif("round", F.lit(0))}
     fields["extra"] = F.when(F.coalesce(F.size("extra.manual"), F.lit(0)) + F.coalesce(F.size("extra.meta_checked"), F.lit(0)) + F.coalesce(F.size("extra.rest"), F.lit(0)) > 0, F.col("extra"))
     return papers.select("seq", F.to_json(F.struct(paper.paper_id().alias("id"), *(c.alias(n) for n, c in fields.items()))).alias("value"))
