@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.batches import partitions
+
 #: Vectors of a data block and of a query block: one cover tree each, and the unit that tasks work on.
 DATA_BLOCK, QUERY_BLOCK = 4096, 1024
 #: A node of so many points or fewer is a leaf, compared at once.
@@ -46,29 +48,50 @@ class CoverTree:
         return node
 
 
-def dual_tree(queries: CoverTree, q_ids: np.ndarray, data: CoverTree, d_ids: np.ndarray, products, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's row, ids, scores) of each query's k highest products with rows of data other than its own id, ties to smaller ids.
+class Best:
+    """The k highest scores of each of some queries so far, ties to smaller ids."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.scores = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.have = np.zeros(len(ids), np.int64)
+
+    def worst(self, rows: np.ndarray) -> float:
+        """The worst kth score of a group of queries; nothing is known while one has fewer than k."""
+        return float(self.scores[rows, -1].min()) if (self.have[rows] >= self.k).all() else -np.inf
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates ids with a row of scores for each of the queries; a query's own id is none."""
+        own = ids[None, :] == self.ids[rows][:, None]
+        all_scores = np.concatenate([self.scores[rows], np.where(own, np.iinfo(np.int64).min, scores)], axis=1)
+        all_ids = np.concatenate([self.found[rows], np.where(own, np.iinfo(np.int64).max, ids[None, :])], axis=1)
+        order = np.lexsort((all_ids, -(all_scores + 1)), axis=1)[:, : self.k]
+        self.scores[rows], self.found[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+        self.have[rows] = np.minimum(self.k, self.have[rows] + (~own).sum(axis=1))
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        for i, n in enumerate(self.have.tolist()):
+            for j in range(n):
+                yield int(self.ids[i]), int(self.found[i, j]), int(self.scores[i, j])
+
+
+def dual_tree(queries: CoverTree, data: CoverTree, ids: np.ndarray, products, best: Best) -> None:
+    """Adds to best what the data (rows with ids) have to offer to the queries.
 
     products(i, j) is the exact matrix of scores of query rows i and data rows j. A pair of nodes can't hold a score above
     <q, d> + |q| r_d + |d| r_q + r_q r_d for centres q, d and radii r; it is left out if that is below the worst kth
-    score among the node's queries. Pairs are taken from the highest bound down, so that kth scores rise early.
+    score among the node's queries. Pairs are taken from the highest bound down, so that kth scores rise early, and best
+    carries them on to the next block of data.
     """
-    n = len(q_ids)
-    top_scores = np.full((n, k), np.iinfo(np.int64).min)
-    top_ids = np.full((n, k), np.iinfo(np.int64).max)
-    have = np.zeros(n, np.int64)
 
     def bound(q: dict, d: dict) -> float:
         centre = float(queries.x[q["centre"]] @ data.x[d["centre"]])
         b = centre + q["norm"] * d["radius"] + d["norm"] * q["radius"] + q["radius"] * d["radius"]
         return b + 1e-9 * (abs(b) + q["norm"] * d["norm"]) + 1  # rounding never prunes a tie
 
-    def worst(q: dict) -> float:
-        p = q["points"]
-        return float(top_scores[p, k - 1].min()) if (have[p] >= k).all() else -np.inf
-
     def visit(q: dict, d: dict, most: float) -> None:
-        if most < worst(q):
+        if most < best.worst(q["points"]):
             return
         if q["children"] or d["children"]:
             # The wider side is opened.
@@ -79,23 +102,11 @@ def dual_tree(queries: CoverTree, q_ids: np.ndarray, data: CoverTree, d_ids: np.
             for b, i in sorted(((bound(*p), -i) for i, p in enumerate(pairs)), reverse=True):
                 visit(*pairs[-i], b)
             return
-        rows, columns = q["points"], d["points"]
-        for low in range(0, len(columns), 4096):
-            some = columns[low : low + 4096]
-            ids, scores = d_ids[some], products(rows, some)
-            scores_all = np.concatenate([top_scores[rows], scores], axis=1)
-            ids_all = np.concatenate([top_ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-            own = np.zeros(scores_all.shape, bool)
-            own[:, k:] = ids[None, :] == q_ids[rows][:, None]
-            scores_all[own], ids_all[own] = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-            order = np.lexsort((ids_all, -(scores_all + 1)), axis=1)[:, :k]
-            top_scores[rows] = np.take_along_axis(scores_all, order, 1)
-            top_ids[rows] = np.take_along_axis(ids_all, order, 1)
-            have[rows] = np.minimum(k, have[rows] + (~own[:, k:]).sum(axis=1))
+        for low in range(0, len(d["points"]), DATA_BLOCK):
+            some = d["points"][low : low + DATA_BLOCK]
+            best.add(q["points"], ids[some], products(q["points"], some))
 
     visit(queries.root, data.root, bound(queries.root, data.root))
-    for i in range(n):
-        yield i, top_ids[i, : have[i]], top_scores[i, : have[i]]
 
 
 def exact_products(q: np.ndarray, d: np.ndarray):
@@ -119,9 +130,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     no part; vectors of unlike length have no product and are not compared. Ties go to the smaller id; a repeated row (same
     id and vector) counts as often as it occurs, and no row of the query's own id is its candidate.
 
-    Both tables are packed into blocks, and each data block is sent once for each query block (the stated query set against
-    all rows). A task builds the cover trees of its blocks, searches both trees together and returns each query's k best of
-    the block; a top-k merge over blocks gives the result. No task holds more than one block of either side at a time.
+    Both tables are packed into blocks, and each data block meets each query block once (the stated query set against all
+    rows): data blocks are dealt to tasks, query blocks go to each of them. A task builds the cover trees of its blocks,
+    searches both trees together, carries each query's kth score from block to block, and returns k candidates a query; a
+    top-k merge over tasks gives the result. No task holds more than one block of either side at a time.
     """
     usable = lambda df: (
         df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
@@ -149,23 +161,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
         return df.mapInArrow(run, "width int, ids binary, x binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[bytes, CoverTree] = {}
-        for b in batches:
-            for width, q_ids, q, d_ids, d in zip(*(b.column(c).to_pylist() for c in range(5))):
-                rows = []
-                q_ids, d_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(d_ids, np.int64)
-                qx, dx = np.frombuffer(q, np.float64).reshape(len(q_ids), width), np.frombuffer(d, np.float64).reshape(len(d_ids), width)
-                if q not in trees:
-                    trees = {q: CoverTree(qx)}
-                for i, ids, scores in dual_tree(trees[q], q_ids, CoverTree(dx), d_ids, exact_products(qx, dx), k):
-                    rows += [(int(q_ids[i]), *r) for r in zip(ids.tolist(), scores.tolist())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "id", "score"])
+        at = best = tree = qx = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best is not None and (rows := list(best.rows())):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "id", "score"])
+
+        for b in batches:  # sorted by query block
+            for i in range(b.num_rows):
+                block, width, q_ids, q, d_ids, d = (b.column(c)[i].as_py() for c in range(6))
+                if block != at:
+                    yield from done()
+                    at, own = block, np.frombuffer(q_ids, np.int64)
+                    qx = np.frombuffer(q, np.float64).reshape(len(own), width)
+                    best, tree = Best(own, k), CoverTree(qx)
+                ids = np.frombuffer(d_ids, np.int64)
+                dx = np.frombuffer(d, np.float64).reshape(len(ids), width)
+                dual_tree(tree, CoverTree(dx), ids, exact_products(qx, dx), best)
+        yield from done()
 
     # Queries are packed from a few large partitions, so that their blocks are full.
     asked = blocks(usable(queries).repartition(1 + _estimate(queries) // 50_000_000), QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id())
-    pairs = asked.select("width", F.col("ids").alias("q_ids"), F.col("x").alias("q")).join(blocks(usable(vectors), DATA_BLOCK).select("width", F.col("ids").alias("d_ids"), F.col("x").alias("d")), "width")
-    found = pairs.select("width", "q_ids", "q", "d_ids", "d").mapInArrow(search, "query_id long, id long, score long")
+    tasks = partitions(vectors, 16_000_000)
+    asked = asked.select("query_block", "width", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    data = blocks(usable(vectors), DATA_BLOCK).select("width", F.col("ids").alias("d_ids"), F.col("x").alias("d"), F.expr(f"cast(pmod(xxhash64(ids), {tasks}) as int)").alias("task"))
+    pairs = data.join(asked, ["width", "task"]).select("query_block", "width", "q_ids", "q", "d_ids", "d").sortWithinPartitions("query_block")
+    found = pairs.mapInArrow(search, "query_id long, id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("score"), "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias(id_column), (-F.col("b.col1")).alias("score"))
 

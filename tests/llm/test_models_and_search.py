@@ -112,11 +112,11 @@ def test_dual_tree_prunes():
         seen.append(len(i) * len(j))
         return exact(i, j)
 
-    found = {i: list(zip(ids, s)) for i, ids, s in topk.dual_tree(topk.CoverTree(queries), np.arange(80) + 10**6, topk.CoverTree(data), np.arange(len(data)), counted, 10)}
+    best = topk.Best(np.arange(80) + 10**6, 10)
+    topk.dual_tree(topk.CoverTree(queries), topk.CoverTree(data), np.arange(len(data)), counted, best)
     full = queries @ data.T
     for i in range(80):
-        order = sorted(range(len(data)), key=lambda j: (-full[i, j], j))[:10]
-        assert [int(j) for j, _ in found[i]] == order
+        assert best.found[i].tolist() == sorted(range(len(data)), key=lambda j: (-full[i, j], j))[:10]
     assert sum(seen) < 0.5 * full.size
 
 
