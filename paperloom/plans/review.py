@@ -252,6 +252,17 @@ class Review:
         lines = whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
         return lines.join(F.broadcast(order), "file").select("file", "file_no", (F.col("at") + 1).alias("line"), "value")
 
+    def run_all(self, corpora: dict[str, DataFrame], edges: DataFrame, corpus: DataFrame, metadata: dict[str, DataFrame] | None = None) -> dict:
+        """Seed, search, each configured round of snowballing, filter, and batches for screening; returns the status."""
+        self.seed(corpora, metadata=metadata)
+        self.search(corpora, metadata=metadata)
+        for _ in range(int(self.config["snowball"]["rounds"])):
+            self.filter()
+            self.snowball(edges, corpus, metadata=metadata)
+        self.filter()
+        self.batches("screen")
+        return self.status()
+
     def show(self, where: list[str] | None = None, fields: list[str] | None = None, sort: str | None = None, limit: int = 50) -> list[tuple]:
         """Papers that meet all conditions, as shortened texts; citations, found and reason are short names of fields."""
         rows = filters.where(self.papers(), where or [])

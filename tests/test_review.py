@@ -65,6 +65,15 @@ def test_a_review_from_start_to_end(spark, tmp_path):
     assert len(list((r.folder / "papers").glob("v*"))) == 2
 
 
+def test_run_all(spark, tmp_path):
+    r = Review.create(spark, "All", str(tmp_path), today="2026-01-02")
+    (r.folder / "config.yaml").write_text("search: {queries: ['citation']}\nfilters: {languages: }\n")
+    edges = spark.createDataFrame([("doi:10.1234/a", "w1", 0)], "parent_id string, child_id string, pos int")
+    near = spark.createDataFrame([("w1", LONG.format("Reference one"), "W1")], "id string, title string, openalex_id string").withColumn("citation_count", F.lit(1).cast("long"))
+    out = Review(spark, str(r.folder), today="2026-01-02").run_all(corpora(spark), edges, near)
+    assert out["unique"] == 4 and out["identified"]["backward"] == 1 and "await screening" in out["next"]
+
+
 def test_completion_and_empty_review(spark, tmp_path):
     r = Review.create(spark, "Empty", str(tmp_path), today="2026-01-02")
     assert r.papers().count() == 0 and r.filter(2026) == {} and r.batches("screen") == [] and r.apply("screen")["files"] == 0 and r.show() == []

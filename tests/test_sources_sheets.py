@@ -7,7 +7,7 @@ import pytest
 from paperloom.operators import layout
 from paperloom.sources import config, records, sheets
 from paperloom.sources.http import Client, HttpError, NotFound
-from paperloom.sources.services import Arxiv, Breaker, OpenAlex, SemanticScholar
+from paperloom.sources.services import Arxiv, Breaker, OpenAlex, SemanticScholar, expand, search_all, seed_all
 from tests.helpers import papers
 
 WORK = {
@@ -125,6 +125,42 @@ def test_services():
     assert len(list(Arxiv(c).search("graph", 5))) == 1
 
 
+class Fake:
+    """A service with fixed answers; an error in place of one is raised."""
+
+    def __init__(self, **answers):
+        self.answers = answers
+
+    def __getattr__(self, name):
+        def answer(*a, **k):
+            got = self.answers.get(name, [])
+            if isinstance(got, Exception):
+                raise got
+            return got
+
+        if name == "search_relevance":
+            raise AttributeError(name)
+        return answer
+
+
+def test_services_together():
+    down, empty, up = Fake(search=HttpError(500, "x")), Fake(), Fake(search=[{"title": "a"}, "<entry/>"])
+    rows, errors = search_all({"one": down, "two": up}, {"q1": "x", "q2": "y"})
+    assert [r[:3] for r in rows] == [("two", "q1", 0), ("two", "q1", 1), ("two", "q2", 0), ("two", "q2", 1)] and len(errors) == 2
+    rows, errors = seed_all({"one": down, "two": empty, "three": up, "four": up}, {"q1": "what is x"})
+    assert {r[0] for r in rows} == {"three"} and len(errors) == 1
+
+
+def test_expansion_over_services():
+    work = {"id": "https://openalex.org/W1", "referenced_works": ["W2"]}
+    first = Fake(resolve=work, by_id=[{"id": "W2"}], cited_by=[])
+    second = Fake(neighbours=[{"title": "c"}])
+    rows, report = expand([{"id": "p", "doi": "10.1/a"}], first, second)
+    assert [r[:4] for r in rows] == [("p", "backward", "openalex", 0), ("p", "forward", "semantic_scholar", 0)] and report["errors"] == []
+    rows, report = expand([{"id": str(i), "doi": "d"} for i in range(5)], Fake(resolve=HttpError(500, "x")), Fake(neighbours=None))
+    assert rows == [] and len(report["errors"]) == 3 and report["failed"] == ["0", "1", "2"] and report["unresolved"] == ["3", "4"]
+
+
 def test_breaker():
     b = Breaker()
     for _ in range(2):
