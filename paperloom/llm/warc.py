@@ -167,13 +167,17 @@ def read(spark, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes pages to a new folder below the shared one (or the one given) and returns what the reader finds there.
+    """Writes pages to a new folder below the shared one (or to the one given) and returns what the reader finds there.
 
-    An empty table writes no archive and gives no rows.
+    An empty table writes no archive and gives no rows. A folder that was not given goes when the driver ends.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    to = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    if folder is None:
+        store.deleteOnExit(path)
+    folder = to
     write(pages, folder, **options)
     return read(spark, folder)
