@@ -267,12 +267,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     texts = cut(found.mapInArrow(own, "node long, text string").groupBy("node").agg(F.first("text").alias("text")))
 
     tested = cut(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut(verified(tested, texts, size, least))
+    linked = components(verified(tested, texts, size, least))
+    linked = cut(members.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Components after more links: only what the links join is labelled anew, by components of components."""
+        end = lambda name: linked.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+        between = cut(links.join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+        if between.isEmpty():
+            return linked
+        above = components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        return cut(linked.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
     def split() -> DataFrame:
         """Members of the buckets that still hold several components, and how many they are."""
-        linked = components(links)
-        placed = members.select("bucket", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = members.select("bucket", "node").join(linked, "node")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held")
         return cut(placed.join(open_, "bucket"))
 
@@ -287,12 +296,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
         order = F.xxhash64("node", "bucket", F.lit(turn))
         lead = placed.groupBy("bucket").agg(F.min(order).alias("order"))
         pairs = other(placed, placed.withColumn("order", order).join(lead, ["bucket", "order"]))
-        links = cut(links.union(verified(pairs, texts, size, least)))
+        linked = joined(verified(pairs, texts, size, least))
         tested = tested.union(pairs)
     placed = split()
     few = placed.where(F.col("held") <= SMALL_BUCKET)
-    links = cut(links.union(verified(other(few, few), texts, size, least)).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
-    linked = components(links)
+    linked = joined(verified(other(few, few), texts, size, least).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
     classes = nodes.select("key", "id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.groupBy("component").agg(F.min("id").alias("class_id"))
     of_key = classes.join(named, "component").select("key", "class_id")
