@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
-from paperloom.operators.components import connected_components
+from paperloom.operators.components import connected_components, stored
 from paperloom.plans.schema import EDITABLE, FIELDS, FILLED
 
 SIMILAR = 0.93
@@ -49,6 +49,7 @@ def key_edges(papers: DataFrame) -> DataFrame:
     """Edges (a, b) from the first holder of each key to its other holders; a title counts only if the years fit."""
     keyed = papers.select("seq", "year", F.explode(F.array_compact(F.concat(paper.identifier_keys(), F.array(paper.title_key(TITLE_KEY))))).alias("key"))
     first = keyed.groupBy("key").agg(F.min(F.struct("seq", "year")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.seq").alias("a"), F.col("first.year").alias("first_year"))
+    first = stored(first)  # so that Spark may split a hot key's side of the join
     return keyed.join(first, "key").where((F.col("seq") != F.col("a")) & (~F.startswith("key", F.lit("title:")) | _years_fit("year", "first_year"))).select("a", F.col("seq").alias("b"))
 
 
