@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from paperloom.llm.batches import as_bytes, cut, mix, steps
 
 #: Labelled documents that the model is fitted on, the first by a hash of their id.
-SAMPLE = 8000
+SAMPLE = 20_000
 #: Word and word-start features that may enter the model: the most telling ones of the sample.
 FEATURES = 4096
 #: Lengths in bytes of the word starts that are features besides whole words.
 STARTS = (4, 5, 6, 7, 8)
 #: Toxic documents of the sample that a feature occurs in at least.
 LEAST_DOCUMENTS = 3
+#: Steps of the optimiser, and the decay of a weight, over the toxic documents of the sample that hold its feature.
+STEPS, DECAY = 800, 3e-5
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -135,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     best = best.where((F.col("toxic") >= LEAST_DOCUMENTS) & (share("toxic", n_toxic) > 4 * share("other", n_other))).orderBy(telling.desc(), "feature").limit(FEATURES).collect()
     if not best:
         return none
-    known = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
+    known = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, decay = known[order], DECAY / np.array([r["toxic"] for r in best], np.float64)[order]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(known)
@@ -167,14 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     plain = total - np.bincount(of, minlength=len(rows))  # sentences without any feature
 
     x, m, v = np.concatenate([np.full(len(known), 1.0), [-6.0]]), 0.0, 0.0
-    for step in range(1, 401):
+    for step in range(1, STEPS + 1):
         w, c = x[:-1], x[-1]
         z = c + np.bincount(sentence, w[place], n)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-c))
         clear = np.bincount(of, np.logaddexp(0, z), len(rows)) + plain * np.logaddexp(0, c)  # -log of the chance of no toxic sentence
         pull = np.where(label == 1, -1 / np.maximum(np.expm1(np.minimum(clear, 500)), 1e-9), 1.0) / len(rows)
         g = p * pull[of]
-        grad = np.concatenate([np.bincount(place, g[sentence], len(w)) + 1e-4 * w / 10, [float((plain * p0 * pull).sum() + g.sum())]])
+        grad = np.concatenate([np.bincount(place, g[sentence], len(w)) + decay * w, [float((plain * p0 * pull).sum() + g.sum())]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         x = x - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         x[-1] = min(x[-1], -3.0)
