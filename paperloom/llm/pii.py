@@ -73,7 +73,7 @@ def votes(kind: Column, x: Column, before: Column, after: Column) -> dict[str, C
         "announced": vote(before.rlike(words(PRIVATE_WORDS)), before.rlike(words(PUBLIC_WORDS))),
         "assigned": vote(before.rlike("[=:]\\s*[\"']?$"), before.rlike("[/\\\\.@#]$")),
         "gazetteer": vote((kind == "person") & x.rlike(" (?:" + "|".join(GIVEN_NAMES) + ")(?: |$)"), after.rlike("^(?:/|\\.(?:html?|php|png|jpe?g|js|css|zip|gz))")),
-        "ordinary": vote(F.lit(False), x.rlike("^(?:[a-z]{2,}[-_/+=]?)+[0-9]{0,4}$")),
+        "ordinary": vote(F.lit(False), x.rlike("^(?:[a-z]{2,}+[-_/+=]?+)++[0-9]{0,4}$")),
         "mixture": vote(F.length(F.regexp_replace(x, "[^0-9]", "")) * 4 >= F.length(x), ~x.rlike("[0-9]") & (kind == "secret")),
     }
 

@@ -214,7 +214,7 @@ def test_pii_base_spans(spark):
 
 def test_pii_method_adds_spans_and_redacts(spark):
     secrets = [f'note token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end' for i in range(40)]
-    plain = [f"see commit {hashlib.sha1(str(-i).encode()).hexdigest()} there" for i in range(40)] + [None, "", "nothing at all"]
+    plain = [f"see commit {hashlib.sha1(str(-i).encode()).hexdigest()} there" for i in range(40)] + [None, "", "nothing at all", "ab" * 20_000 + "1" + "ab" * 20_000 + "-"]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(secrets + plain)]
     found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows, True)).collect()}
     assert all([s.kind for s in found[i]] == ["secret"] for i in range(40)) and not any(found[i] for i in range(40, len(rows)))
