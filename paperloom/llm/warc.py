@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, shared_folder
+from paperloom.llm.batches import as_bytes, cut, shared_folder
 
 #: Bytes of an archive that a reader looks at at once.
 READ_BYTES = 1 << 16
@@ -122,7 +122,8 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, id_column: str = "pa
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(uri_column).cast("string").alias("uri"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     key = F.sha2(F.col("payload"), 256)
     repeated = rows.where(F.octet_length("payload") >= least).groupBy(key.alias("key")).agg(F.max("id").alias("last"), F.count("id").alias("n")).where("n > 1").select("key", "last")
-    joined = rows.withColumn("key", key).join(repeated.hint("shuffle_hash"), "key", "left").select("id", "uri", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
+    # Written before it is joined by the same key, so that Spark may split a hot payload's side of the join.
+    joined = rows.withColumn("key", key).join(cut(repeated).hint("shuffle_hash"), "key", "left").select("id", "uri", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
