@@ -226,8 +226,10 @@ def redacted(text: Column, spans: str) -> Column:
 
 def redact(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """docs with each personal span of its text replaced by its kind in brackets; other columns as they are, null stays null."""
-    found = annotate(docs, fit(docs, text_column=text_column), text_column=text_column)
-    return found.withColumn(text_column, redacted(F.col(text_column), "spans")).select(*docs.columns)
+    others = [c for c in docs.columns if c != text_column]
+    rows = docs.select(F.col(text_column).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))  # names can't clash in here
+    found = annotate(rows, fit(rows))
+    return found.select(*(redacted(F.col("text"), "spans").alias(c) if c == text_column else F.col("others")[c].alias(c) for c in docs.columns))
 
 
 def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

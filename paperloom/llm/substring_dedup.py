@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.batches import Words, as_bytes, partitions, steps, windows, xxhash64_long
 
@@ -148,7 +149,6 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     null_row = -(2**63)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(null_row)).alias("row"), F.col(text_column).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
-    rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -273,14 +273,15 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     near = settled(rows.select("row", "text").mapInArrow(find_anchors, SENT), shared_anchors)
     cogroup = lambda runs, f, schema: dealt_texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(f, schema)
     gone = settled(cogroup(near, extend, SENT), later_windows)
-    out = cogroup(gone, remove, "row long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text + rest)
+    result = T.StructType.fromDDL("row long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text)
+    out = cogroup(gone, remove, result.add(rows.schema["rest"]) if carry else result)
     own_id = F.when(F.col("row") != null_row, F.col("row")).cast(kind).alias(id_column)
     return out.select(own_id, "n_words", "n_removed", "kept_sha256", *["text"] * text, *(F.col("rest")[c].alias(c) for c in carry))
 
 
 def cut_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the repeated words of each text taken out and all other columns as they are; no row goes, even if no word stays."""
-    others = tuple(c for c in docs.columns if c not in (id_column, text_column))
-    out = remove_repeats(docs, size=size, id_column=id_column, text_column=text_column, text=True, carry=others)
-    return out.withColumnRenamed("text", text_column).select(*docs.columns) if text_column != "text" else out.select(*docs.columns)
-
+    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))  # names can't clash in here
+    out = remove_repeats(rows, size=size, id_column="id", text=True, carry=("others",))
+    return out.select(*(F.col({id_column: "id", text_column: "text"}[c]).alias(c) if c in (id_column, text_column) else F.col("others")[c].alias(c) for c in docs.columns))

@@ -189,6 +189,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == kept["packing"].count()
 
 
+def test_stages_keep_other_columns(spark, tmp_path):
+    """Clashing names, nulls, repeated rows and empty tables go through all stages that return documents."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (awkward(), []):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = frame(spark, rows, True)
+            out = stage(spark, docs, str(tmp_path))
+            kept = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(r.spans == r.row == r.n_words == "clash" for r in kept)
+            if name in ("pii", "substring_dedup"):
+                assert len(kept) == len(rows)
+
+
 def test_registered_queries():
     names = [f"op{n}_" for n in range(1, 11)]
     assert [sum(q.startswith(n) for q in QUERIES) for n in names] == [1] * 10

@@ -37,7 +37,7 @@ def frame(spark, rows, extra: bool = False):
     if extra:  # columns whose names the operators use themselves
         from pyspark.sql import functions as F
 
-        for name in ("id", "row", "bucket", "key", "node", "rest", "_text", "spans", "score", "stratum"):
+        for name in ("id", "row", "bucket", "key", "node", "rest", "_text", "spans", "base", "n_words", "others", "score", "stratum"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -235,7 +235,7 @@ def test_quality_measures_brute_force(spark):
     rng = random.Random(6)
     rows = awkward() + [(100 + i, "".join(rng.choice(["a ", "b ", "c\n", "d|", "#", "e ", "\x0b", "\x85 "]) for _ in range(rng.randint(0, 120))), "en", "s", 1) for i in range(150)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
-    got = quality_rules.judge(frame(spark, rows, False), labels).collect()
+    got = quality_rules.judge(frame(spark, rows, True), labels).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == Counter(
         (i, *(m := brute_rules(t)), m[0] < 10 or 100 * m[4] > 20 * m[0]) for i, t, *_ in rows
     )
