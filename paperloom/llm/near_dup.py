@@ -168,7 +168,7 @@ def block_links(placed: DataFrame, texts: DataFrame, size: int, least: float) ->
     pair of blocks that may hold two components is one group: all its pairs are compared by multiplying the two blocks'
     shingle matrices, and links alone come out. No group grows with its bucket.
     """
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = cut(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")))
     small = sizes.where(F.col("n") < BLOCK).groupBy("bucket").agg(F.sum("n").alias("rest"))
     sized = placed.join(sizes, ["bucket", "component"]).join(small, "bucket", "left")
     part = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / BLOCK))
@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     signed = cut(signatures(rows, size))
     nodes = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    # What is counted by a key is written before it is joined by that key, so that Spark may split a hot key's side of the join.
+    shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last"))
     members = cut(banded.join(shared, "bucket"))
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id", "key", "node")
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
         """Members of the buckets that still hold several components, and how many they are."""
         placed = members.select("bucket", "node").join(linked, "node")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held")
-        return cut(placed.join(open_, "bucket"))
+        return cut(placed.join(cut(open_), "bucket"))
 
     def other(placed: DataFrame, partners: DataFrame) -> DataFrame:
         """Pairs of members and partners of one bucket and unlike components that were not compared before."""
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     few = placed.where(F.col("held") <= SMALL_BUCKET)
     linked = joined(verified(other(few, few), texts, size, least).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
     classes = nodes.select("key", "id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classes.groupBy("component").agg(F.min("id").alias("class_id"))
+    named = cut(classes.groupBy("component").agg(F.min("id").alias("class_id")))
     of_key = classes.join(named, "component").select("key", "class_id")
     return signed.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_column), "class_id")
 
