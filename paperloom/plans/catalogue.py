@@ -187,7 +187,7 @@ def shorten_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text"), 60).alias("short"))
 
 
-@query("strip_markup", r"SELECT page_id, length(regexp_replace(html, '(?i)</?(i|b|u|em|strong|sub|sup|scp|span|p|jats:[a-z-]+)(\s+[a-z:-]+=(""[^""]*""|''[^'']*''))*\s*/?>', '', 'g')) AS n FROM pages".replace('""', '"'))
+@query("strip_markup", r'''SELECT page_id, length(regexp_replace(html, '(?i)</?(i|b|u|em|strong|sub|sup|scp|span|p|jats:[a-z-]+)(\s+[a-z:-]+=("[^"]*"|''[^'']*''))*\s*/?>', '', 'g')) AS n FROM pages''')
 def strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(text.strip_markup(F.col("html"))).cast("long").alias("n"))
 
