@@ -13,14 +13,14 @@ FRONTIER_LIMIT = 300
 
 
 def top_per_parent(neighbours: DataFrame, most: int | None, parent: str = "parent_id") -> DataFrame:
-    """The most cited neighbours of each parent, ties in their order (pos); unknown counts are 0; None keeps all.
+    """The most cited neighbours of each parent, ties in their order (pos, then id); unknown counts are 0; None keeps all.
 
     The window's row_number filter lets Spark cut groups before the shuffle (WindowGroupLimit), so a parent with very many
     neighbours sends few of them.
     """
     if most is None:
         return neighbours
-    order = Window.partitionBy(parent).orderBy(F.coalesce("citation_count", F.lit(0)).desc(), "pos")
+    order = Window.partitionBy(parent).orderBy(F.coalesce("citation_count", F.lit(0)).desc(), "pos", "id")
     return neighbours.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
 
 

@@ -64,7 +64,8 @@ _REASON = f"""CASE WHEN list_has_any(found_via, ['seed:known', 'manual']) THEN N
   WHEN NOT ({_term_sql("the")} OR {_term_sql("der")} OR {_term_sql("qu*")}) THEN 'none of the required keywords'
   WHEN round > 0 AND {_HITS} < 2 THEN 'linked from fewer than 2 papers' END"""
 _FILTERED = f"filtered AS (SELECT *, {_REASON} AS excluded_reason FROM body)"
-_ID = "coalesce('doi:' || doi, 'arxiv:' || lower(arxiv_id), 's2:' || s2_id, 'none')"
+_NAME = r"trim(regexp_replace(strip_accents(lower(title)), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_ID = f"coalesce('doi:' || doi, 'arxiv:' || lower(arxiv_id), 's2:' || s2_id, 'title:' || substr(sha1(coalesce(nullif({_NAME}, ''), trim(lower(title)))), 1, 12))"
 
 
 def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,14 +124,9 @@ def sort_nulls_last(spark, sf_dir):
 # ------------------------------------------------------------------ derived columns and scalar functions
 
 
-@query("paper_id", _with(PAPERS_SQL, then=f"SELECT seq, {_ID} AS id FROM papers WHERE coalesce(doi, arxiv_id, s2_id) IS NOT NULL"))
+@query("paper_id", _with(PAPERS_SQL, then=f"SELECT seq, {_ID} AS id FROM papers"))
 def paper_id(spark, sf_dir):
-    return documents_as_papers(spark, sf_dir).where("coalesce(doi, arxiv_id, s2_id) is not null").select("seq", paper.paper_id().alias("id"))
-
-
-@query("paper_title_id", _with(PAPERS_SQL, then=r"SELECT seq, 'title:' || substr(sha1(CASE WHEN k <> '' THEN k ELSE trim(lower(title)) END), 1, 12) AS id FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS k FROM papers WHERE coalesce(doi, arxiv_id, s2_id) IS NULL AND regexp_full_match(title, '[\x00-\x7f]*'))"))
-def paper_title_id(spark, sf_dir):
-    return documents_as_papers(spark, sf_dir).where("coalesce(doi, arxiv_id, s2_id) is null").where(F.col("title").rlike(r"^[\x00-\x7f]*$")).select("seq", paper.paper_id().alias("id"))
+    return documents_as_papers(spark, sf_dir).select("seq", paper.paper_id().alias("id"))
 
 
 @query("paper_link", _with(PAPERS_SQL, then="SELECT seq, coalesce('https://doi.org/' || doi, 'https://arxiv.org/abs/' || arxiv_id, 'https://www.semanticscholar.org/paper/' || s2_id) AS link FROM papers"))
@@ -148,13 +144,8 @@ def found_kinds(spark, sf_dir):
     return documents_as_papers(spark, sf_dir).select("seq", F.array_join(paper.found_kinds(), ",").alias("kinds"))
 
 
-@query("norm_title_ascii", _with(PAPERS_SQL, then=r"SELECT seq, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS name FROM papers WHERE regexp_full_match(title, '[\x00-\x7f]*')"))
-def norm_title_ascii(spark, sf_dir):
-    return documents_as_papers(spark, sf_dir).where(F.col("title").rlike(r"^[\x00-\x7f]*$")).select("seq", text.norm_title(F.col("title")).alias("name"))
-
-
-@query("norm_title_accents", _with(PAPERS_SQL, then=r"SELECT seq, trim(regexp_replace(strip_accents(lower(title)), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM papers"))
-def norm_title_accents(spark, sf_dir):
+@query("norm_title", _with(PAPERS_SQL, then=f"SELECT seq, {_NAME} AS name FROM papers"))
+def norm_title(spark, sf_dir):
     return documents_as_papers(spark, sf_dir).select("seq", text.norm_title(F.col("title")).alias("name"))
 
 
@@ -275,11 +266,13 @@ def fuzzy_pairs(spark, sf_dir):
     return identity.fuzzy_pairs(documents_as_papers(spark, sf_dir))
 
 
-@query("fuzzy_candidates", _with(PAPERS_SQL, then=r"SELECT a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON substr(a.name, 1, 20) = substr(b.name, 1, 20) AND a.name < b.name AND 2 * least(length(a.name), length(b.name)) >= 0.93 * (length(a.name) + length(b.name)) AND levenshtein(a.name, b.name) <= floor((1 - CAST(0.93 AS DOUBLE)) * (length(a.name) + length(b.name))) + 1").replace(" SELECT a.name", r", n AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS name FROM papers WHERE regexp_full_match(title, '[\x00-\x7f]*') AND NOT regexp_matches(title, '[0-9]|(?i)\b(i{1,3}|iv|vi{0,3}|ix|x)\b') AND length(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))) >= 30) SELECT a.name", 1))
+_TITLES = f"n AS (SELECT *, list_filter(string_split(name, ' '), lambda t: regexp_full_match(t, '[0-9]+|i{{1,3}}|iv|vi{{0,3}}|ix|x')) AS numbers FROM (SELECT DISTINCT {_NAME} AS name FROM papers) WHERE length(name) >= 30)"
+
+
+@query("fuzzy_candidates", _with(PAPERS_SQL, _TITLES, then="SELECT a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON substr(a.name, 1, 20) = substr(b.name, 1, 20) AND a.name < b.name AND a.numbers = b.numbers AND 2 * least(length(a.name), length(b.name)) >= 0.93 * (length(a.name) + length(b.name)) AND levenshtein(a.name, b.name) <= floor((1 - CAST(0.93 AS DOUBLE)) * (length(a.name) + length(b.name))) + 1"))
 def fuzzy_candidates(spark, sf_dir):
     """The exact prefilter before the ratio: what it lets through has no false negatives."""
-    p = documents_as_papers(spark, sf_dir).where(F.col("title").rlike(r"^[\x00-\x7f]*$") & ~F.col("title").rlike(r"[0-9]|(?i)\b(?:i{1,3}|iv|vi{0,3}|ix|x)\b"))
-    n = p.select(text.norm_title(F.col("title")).alias("name")).where(F.length("name") >= identity.FUZZY).distinct().withColumn("block", F.substring("name", 1, identity.PREFIX))
+    n = documents_as_papers(spark, sf_dir).select(text.norm_title(F.col("title")).alias("name")).where(F.length("name") >= identity.FUZZY).distinct().withColumn("block", F.substring("name", 1, identity.PREFIX))
     pairs = n.withColumnRenamed("name", "name_a").join(n.withColumnRenamed("name", "name_b"), "block").where("name_a < name_b")
     return pairs.where(identity.may_be_similar(F.col("name_a"), F.col("name_b"))).select("name_a", "name_b")
 
@@ -311,8 +304,8 @@ def merge_into_added(spark, sf_dir):
 
 # ------------------------------------------------------------------ graph
 
-_STEP = "SELECT start_id, id, direction FROM (SELECT start_id, id, direction, row_number() OVER (PARTITION BY direction, start_id ORDER BY coalesce(citation_count, 0) DESC, pos) AS k FROM near) WHERE k <= CASE direction WHEN 'backward' THEN 3 ELSE 5 END"
-_NEAR = "near AS (SELECT parent_id AS start_id, c.id, 'backward' AS direction, citation_count, pos FROM edges JOIN corpus c ON child_id = c.id WHERE parent_id IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 10 = 0))"
+_STEP = "SELECT start_id, id, direction FROM (SELECT start_id, id, direction, row_number() OVER (PARTITION BY direction, start_id ORDER BY coalesce(citation_count, 0) DESC, pos, id) AS k FROM near) WHERE k <= CASE direction WHEN 'backward' THEN 3 ELSE 5 END"
+_NEAR = "near AS (SELECT parent_id AS start_id, c.id, 'backward' AS direction, citation_count, pos FROM edges JOIN corpus c ON child_id = c.id WHERE parent_id IN (SELECT 'o' || o_orderkey FROM orders))"
 
 
 @query("snowball_backward", _with(EDGES_SQL, CORPUS_SQL, _NEAR, then=_STEP))
@@ -320,7 +313,7 @@ def snowball_backward(spark, sf_dir):
     return graph.snowball_round(frontier(spark, sf_dir), order_edges(spark, sf_dir), order_corpus(spark, sf_dir), 1, direction="backward", max_references=3).select("start_id", "id", "direction")
 
 
-_CITING = "near AS (SELECT child_id AS start_id, c.id, 'forward' AS direction, citation_count, o_orderkey AS pos FROM edges JOIN corpus c ON parent_id = c.id JOIN orders ON parent_id = 'o' || o_orderkey WHERE child_id IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 10 = 0))"
+_CITING = "near AS (SELECT child_id AS start_id, c.id, 'forward' AS direction, citation_count, o_orderkey AS pos FROM edges JOIN corpus c ON parent_id = c.id JOIN orders ON parent_id = 'o' || o_orderkey WHERE child_id IN (SELECT 'p' || p_partkey FROM part))"
 
 
 @query("snowball_forward", _with(EDGES_SQL, CORPUS_SQL, _CITING, then=_STEP))
@@ -335,13 +328,13 @@ def snowball_round(spark, sf_dir):
     return found.select(F.get("found_via", F.lit(0)).alias("found_via"), "id", "round")
 
 
-@query("snowball_fallback", _with(EDGES_SQL, CORPUS_SQL, then="SELECT parent_id AS start_id, child_id AS id FROM (SELECT *, min(r) OVER (PARTITION BY parent_id) AS best FROM (SELECT parent_id, child_id, CAST(regexp_extract(child_id, '[0-9]+') AS BIGINT) % 3 % 2 AS r FROM edges JOIN corpus ON child_id = id) ) WHERE r = best AND CAST(substr(parent_id, 2) AS BIGINT) % 10 = 0"))
+@query("snowball_fallback", _with(EDGES_SQL, CORPUS_SQL, then="SELECT parent_id AS start_id, child_id AS id FROM (SELECT *, min(r) OVER (PARTITION BY parent_id) AS best FROM (SELECT parent_id, child_id, CAST(regexp_extract(child_id, '[0-9]+') AS BIGINT) % 3 % 2 AS r FROM edges JOIN corpus ON child_id = id) ) WHERE r = best"))
 def snowball_fallback(spark, sf_dir):
     edges = order_edges(spark, sf_dir).withColumn("source_rank", (F.substring("child_id", 2, 20).cast("long") % 3 % 2).cast("int"))
     return graph.snowball_round(frontier(spark, sf_dir), edges, order_corpus(spark, sf_dir), 1, direction="backward", max_references=None).select("start_id", "id")
 
 
-@query("snowball_stats", _with(EDGES_SQL, CORPUS_SQL, _NEAR, then=f"SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS frontier, count(*) AS \"references\", CAST(0 AS BIGINT) AS citations, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) - count(DISTINCT start_id) AS unresolved FROM ({_STEP})"))
+@query("snowball_stats", _with(EDGES_SQL, CORPUS_SQL, _NEAR, then=f"SELECT (SELECT count(*) FROM orders) AS frontier, count(*) AS \"references\", CAST(0 AS BIGINT) AS citations, (SELECT count(*) FROM orders) - count(DISTINCT start_id) AS unresolved FROM ({_STEP})"))
 def snowball_stats(spark, sf_dir):
     start = frontier(spark, sf_dir)
     found = graph.snowball_round(start, order_edges(spark, sf_dir), order_corpus(spark, sf_dir), 1, direction="backward", max_references=3)
@@ -369,11 +362,11 @@ def complete_metadata(spark, sf_dir):
     return lookup.complete(p, table_, "doi", "metadata").select("seq", "citation_count", "language")
 
 
-_ASKED = "SELECT doc_id AS seq, CASE doc_id % 2 WHEN 0 THEN 'https://doi.org/10.5555/D' || doc_id ELSE '10.9999/none' || doc_id END AS item FROM documents WHERE doc_id % 7 = 0"
+_ASKED = "SELECT doc_id AS seq, CASE doc_id % 2 WHEN 0 THEN 'https://doi.org/10.5555/D' || doc_id ELSE '10.9999/none' || doc_id END AS item FROM documents"
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("seq"), F.expr("CASE doc_id % 2 WHEN 0 THEN 'https://doi.org/10.5555/D' || doc_id ELSE '10.9999/none' || doc_id END").alias("item"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.expr("CASE doc_id % 2 WHEN 0 THEN 'https://doi.org/10.5555/D' || doc_id ELSE '10.9999/none' || doc_id END").alias("item"))
     p = documents_as_papers(spark, sf_dir)
     return asked, p.where("seq % 2 = 0"), p.where("seq % 2 = 1")
 
@@ -388,12 +381,11 @@ def resolve_missing(spark, sf_dir):
     return lookup.resolve(*_asked(spark, sf_dir), "manual")[1].select("seq", "why")
 
 
-@query("match_titles", _with(PAPERS_SQL, then="SELECT request_seq, seq FROM (SELECT a.seq AS request_seq, b.seq, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS k FROM n a JOIN n b ON a.name = b.name WHERE a.seq % 100 = 0 AND b.seq % 2 = 0) WHERE k = 1").replace(" SELECT request_seq", r", n AS (SELECT seq, trim(regexp_replace(strip_accents(lower(title)), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM papers) SELECT request_seq", 1))
+@query("match_titles")
 def match_titles(spark, sf_dir):
     p = documents_as_papers(spark, sf_dir)
-    asked = p.where("seq % 100 = 0").select(F.col("seq").alias("request_seq"), F.col("title").alias("asked"))
-    found = lookup.match_titles(asked, p.where("seq % 2 = 0").withColumn("source_rank", F.lit(0)))
-    return found.where(text.norm_title(F.col("asked")) == text.norm_title(F.col("title"))).select("request_seq", "seq")
+    asked = p.select(F.col("seq").alias("request_seq"), F.col("title").alias("asked"))
+    return lookup.match_titles(asked, p.where("seq % 2 = 0").withColumn("source_rank", F.lit(0))).select("request_seq", "seq")
 
 
 # ------------------------------------------------------------------ screening
@@ -432,9 +424,9 @@ def apply_missing(spark, sf_dir):
 # ------------------------------------------------------------------ reports
 
 
-@query("identified", _with(PAPERS_SQL, then=f"SELECT kind, count(DISTINCT id) AS n FROM (SELECT {_KINDS}[1] AS kind, {_ID} AS id FROM papers WHERE coalesce(doi, arxiv_id, s2_id) IS NOT NULL) GROUP BY kind"))
+@query("identified", _with(PAPERS_SQL, then=f"SELECT kind, count(DISTINCT id) AS n FROM (SELECT {_KINDS}[1] AS kind, {_ID} AS id FROM papers) GROUP BY kind"))
 def identified(spark, sf_dir):
-    return report.identified(documents_as_papers(spark, sf_dir).where("coalesce(doi, arxiv_id, s2_id) is not null"))
+    return report.identified(documents_as_papers(spark, sf_dir))
 
 
 @query("prisma_stats", _with(PAPERS_SQL, _BODY, _FILTERED, then="""SELECT count(*) AS "unique", count(excluded_reason) AS filtered_out, count(*) FILTER (excluded_reason IS NULL AND status IS NOT NULL) AS screened, count(*) FILTER (excluded_reason IS NULL AND status IS NULL) AS awaiting_screening,

@@ -78,9 +78,9 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS_SQL = "corpus AS (SELECT 'p' || p_partkey AS id, p_name AS title, CAST(p_size AS BIGINT) AS citation_count FROM part UNION ALL SELECT 'o' || o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 1000 END FROM orders)"
 
 
-def frontier(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
 
 
-def part_frontier(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") % every == 0).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+def part_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
