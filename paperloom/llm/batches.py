@@ -47,6 +47,48 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield low, len(texts)
 
 
+def release() -> None:
+    """Gives unused memory back to the system."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A generator of a task that gives memory back when it ends: Python workers stay alive, idle, beside those of later stages."""
+
+    def tidy(*args):
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return tidy
+
+
+def tidied_group(f):
+    """The same for a function of one or two tables of a group, after large ones."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        if table.nbytes > 1_000_000:
+            release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        if left.nbytes + right.nbytes > 1_000_000:
+            release()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of some texts: where each starts and ends in `buf`, and where each text's words start."""
 

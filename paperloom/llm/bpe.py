@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.batches import as_bytes, steps
+from paperloom.llm.batches import as_bytes, steps, tidied
 
 #: A chunk ends where the rolling hash of the last 16 bytes is 0 in these bits: once in 1,024 bytes on the whole.
 CUT_MASK = 0x3FF
@@ -169,4 +169,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, *, id_column: str = "do
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(tidied(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids).withColumnRenamed("id", id_column)

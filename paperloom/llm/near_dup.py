@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import Words, as_bytes, cut, mix, steps, unit, windows
+from paperloom.llm.batches import as_bytes, cut, mix, steps, tidied, tidied_group, unit, windows, Words
 
 #: Hashes of a signature, in BANDS bands of ROWS: a pair of similarity 0.8 shares no band with probability 1.9e-6.
 BANDS, ROWS = 25, 4
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()), mask=pa.array(w.counts == 0))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array([text_key(w, i) for i in range(high - low)], pa.binary()), lists], ["id", "key", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
+    return docs.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def _levels(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def block_links(placed: DataFrame, texts: DataFrame, size: int, least: float) ->
         a, b = node[i], node[left + j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.select(*key, "side", "node", "component", "text").groupBy(*key).applyInArrow(compare, "a long, b long").distinct()
+    return rows.select(*key, "side", "node", "component", "text").groupBy(*key).applyInArrow(tidied_group(compare), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
                 good[low:high] = [text_key(w, i) == keys[low + i] for i in range(high - low)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["node", "text"]).filter(pa.array(good))
 
-    texts = cut(found.mapInArrow(own, "node long, text string").groupBy("node").agg(F.first("text").alias("text")))
+    texts = cut(found.mapInArrow(tidied(own), "node long, text string").groupBy("node").agg(F.first("text").alias("text")))
 
     tested = cut(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     linked = components(verified(tested, texts, size, least))

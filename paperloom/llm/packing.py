@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes
+from paperloom.llm.batches import as_bytes, tidied
 from paperloom.llm.bpe import Vocabulary
 
 
@@ -63,5 +63,5 @@ def pack(docs: DataFrame, vocabulary_path: str, *, most: int = 1024, end_id: int
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids)
+    out = rows.mapInArrow(tidied(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")}).withColumnRenamed("id", id_column)

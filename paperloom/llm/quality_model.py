@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import Words, as_bytes, cut, steps, windows
+from paperloom.llm.batches import as_bytes, cut, steps, tidied, windows, Words
 
 #: Trusted positives, and unlabelled documents, that the model is fitted on: the first of each by a hash of their id.
 SAMPLE = 8000
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             for low, high in steps(texts):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(low, high - low), pa.array(list(features(texts[low:high])), pa.list_(pa.float64()))], ["positive", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "id").select("text", "positive").mapInArrow(run, "positive boolean, x array<double>").collect()
+    rows = docs.join(F.broadcast(chosen), "id").select("text", "positive").mapInArrow(tidied(run), "positive boolean, x array<double>").collect()
     positive = np.array([r["positive"] for r in rows], bool)
     if not positive.any() or positive.all():
         return None
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 s = np.ones(high - low) if model is None else model(features(texts[low:high]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(s)], ["id", "score"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
@@ -195,4 +195,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_colu
             for low, high in steps(texts):
                 yield b.slice(low, high - low).filter(pa.array(model(features(texts[low:high])) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

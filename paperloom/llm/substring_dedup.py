@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.batches import Words, as_bytes, partitions, steps, windows, xxhash64_long
+from paperloom.llm.batches import as_bytes, partitions, steps, tidied, tidied_group, windows, Words, xxhash64_long
 
 #: The perfect difference cover of period 13: each remainder is the difference of two of these (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -267,11 +267,11 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     def settled(sent: DataFrame, settle) -> DataFrame:
         """The runs (bucket, blob) that entries by hash bucket come to."""
         dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
-        return dealt.mapInArrow(lambda batches: in_buckets(batches, settle), SENT).select("bucket", "blob")
+        return dealt.mapInArrow(tidied(lambda batches: in_buckets(batches, settle)), SENT).select("bucket", "blob")
 
     dealt_texts = rows.select(F.expr(f"cast(pmod(xxhash64(row), {groups}) as int)").alias("bucket"), "row", "text", *["rest"] * bool(carry))
-    near = settled(rows.select("row", "text").mapInArrow(find_anchors, SENT), shared_anchors)
-    cogroup = lambda runs, f, schema: dealt_texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(f, schema)
+    near = settled(rows.select("row", "text").mapInArrow(tidied(find_anchors), SENT), shared_anchors)
+    cogroup = lambda runs, f, schema: dealt_texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(tidied_group(f), schema)
     gone = settled(cogroup(near, extend, SENT), later_windows)
     result = T.StructType.fromDDL("row long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text)
     out = cogroup(gone, remove, result.add(rows.schema["rest"]) if carry else result)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import partitions
+from paperloom.llm.batches import partitions, tidied
 
 #: Vectors of a data block and of a query block: one cover tree each, and the unit that tasks work on.
 DATA_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
             for width in list(held):
                 yield send(width)
 
-        return df.mapInArrow(run, "width int, ids binary, x binary")
+        return df.mapInArrow(tidied(run), "width int, ids binary, x binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = best = tree = qx = None
@@ -186,7 +186,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     asked = asked.select("query_block", "width", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
     data = blocks(usable(vectors), DATA_BLOCK).select("width", F.col("ids").alias("d_ids"), F.col("x").alias("d"), F.expr(f"cast(pmod(xxhash64(ids), {tasks}) as int)").alias("task"))
     pairs = data.join(asked, ["width", "task"]).select("query_block", "width", "q_ids", "q", "d_ids", "d").sortWithinPartitions("query_block")
-    found = pairs.mapInArrow(search, "query_id long, id long, score long")
+    found = pairs.mapInArrow(tidied(search), "query_id long, id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("score"), "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias(id_column), (-F.col("b.col1")).alias("score"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, mix, steps
+from paperloom.llm.batches import as_bytes, cut, mix, steps, tidied
 
 #: Labelled documents that the model is fitted on, the first by a hash of their id.
 SAMPLE = 20_000
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return none
     share = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     telling = F.col("toxic") * F.log(share("toxic", n_toxic) / share("other", n_other))
-    best = sample.mapInArrow(count, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    best = sample.mapInArrow(tidied(count), "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     best = best.where((F.col("toxic") >= LEAST_DOCUMENTS) & (share("toxic", n_toxic) > 4 * share("other", n_other))).orderBy(telling.desc(), "feature").limit(FEATURES).collect()
     if not best:
         return none
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 lists = [pa.array([x[p:q] for p, q in zip(cuts, cuts[1:])], pa.list_(pa.int64())) for x in (sentence - first[s.sentence_owner[sentence]], place)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(low, high - low), pa.array(counts.astype(np.int64)), *lists], ["label", "sentences", "at", "place"])
 
-    rows = sample.mapInArrow(hits, "label int, sentences long, at array<long>, place array<long>").collect()
+    rows = sample.mapInArrow(tidied(hits), "label int, sentences long, at array<long>, place array<long>").collect()
     label = np.array([r["label"] for r in rows])
     total = np.array([r["sentences"] for r in rows], np.float64)
     size = np.array([len(r["at"]) for r in rows])
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         spans[o] += f",{points[s.starts[first[k]]] - base}:{points[s.ends[last[k]]] - base}"
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(-np.expm1(-clear)), pa.array([x[1:] for x in spans], pa.string())], ["id", "score", "offending"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, offending string")
+    return docs.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, score double, offending string")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, shared_folder
+from paperloom.llm.batches import as_bytes, cut, shared_folder, tidied
 
 #: Bytes of an archive that a reader looks at at once.
 READ_BYTES = 1 << 16
@@ -140,7 +140,7 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, id_column: str = "pa
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["records"])
 
-    joined.sortWithinPartitions("id").mapInArrow(run, "records long").agg(F.sum("records")).collect()
+    joined.sortWithinPartitions("id").mapInArrow(tidied(run), "records long").agg(F.sum("records")).collect()
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def read(spark, folder: str) -> DataFrame:
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(tidied(run), schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
