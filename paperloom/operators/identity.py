@@ -24,6 +24,11 @@ def _ratio(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def numbering(c: Column) -> Column:
+    """The numbers in a normalized title, which near-identical ones share."""
+    return F.regexp_extract_all(c, F.lit(NUMBERING), F.lit(0))
+
+
 def may_be_similar(a: Column, b: Column) -> Column:
     """What any pair of normalized titles of ratio SIMILAR satisfies: equal numbering, near lengths, few edits.
 
@@ -31,9 +36,8 @@ def may_be_similar(a: Column, b: Column) -> Column:
     """
     total = F.length(a) + F.length(b)
     edits = F.floor(F.lit(1 - SIMILAR) * total).cast("int") + 1
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(NUMBERING), F.lit(0))
     near = 2 * F.least(F.length(a), F.length(b)) >= F.lit(SIMILAR) * total
-    return near & (numbers(a) == numbers(b)) & (F.levenshtein(a, b) <= edits)
+    return near & (numbering(a) == numbering(b)) & (F.levenshtein(a, b) <= edits)
 
 
 def similar_titles(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,8 +1,13 @@
+import difflib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import text
 from paperloom.operators import graph, lookup
-from tests.helpers import papers
+from tests.helpers import papers, values
 
 
 def network(spark, edges, counts):
@@ -87,6 +92,32 @@ def test_title_match_prefers_sources_in_order(spark):
     assert [(r.request_seq, r.seq) for r in got] == [(1, 0)]  # near enough, and first
 
 
+def test_near_titles_equal_brute_force(spark):
+    """Edits anywhere, the first 20 characters too: what the fixed prefix block left out."""
+    rng = random.Random(5)
+    base = ["the study of citation networks for forecasting new work", "a survey of learning", "graphs", "deep models 3 in part ii of very long titles " * 4, "überblick über die netze der zitate und ihre vorhersage"]
+    names = list(base)
+    for t in base * 60:
+        for _ in range(rng.randint(1, max(2, len(t) // 9))):
+            at, kind = rng.randrange(len(t)), rng.randrange(3)
+            t = t[:at] + ("" if kind == 0 else rng.choice("abe 3é")) + t[at + (kind != 1):]
+        names.append(t)
+    wanted = ["a study of citation networks for forecasting new work", *rng.sample(names, 120)]
+    c = papers(spark, *({"title": t} for t in names)).withColumn("source_rank", (F.col("seq") % 3).cast("int"))
+    asked = spark.createDataFrame(list(enumerate(wanted)), "request_seq long, asked string")
+    normal = dict(zip(names + wanted, values(spark, "string", names + wanted, text.norm_title), strict=True))
+
+    def same(a, b):
+        numbers = [re.findall(r"\b(?:\d+|i{1,3}|iv|vi{0,3}|ix|x)\b", x) for x in (a, b)]
+        return a == b or (numbers[0] == numbers[1] and difflib.SequenceMatcher(None, a, b).ratio() >= 0.93)
+
+    order = sorted(range(len(names)), key=lambda i: (i % 3, i))
+    firsts = {k: next((i for i in order if same(normal[names[i]], normal[w])), None) for k, w in enumerate(wanted) if normal[w]}
+    got = {r.request_seq: r.seq for r in lookup.match_titles(asked, c).collect()}
+    assert got == {k: i for k, i in firsts.items() if i is not None} and 0 in got
+    assert any(normal[names[i]][:20] != normal[wanted[k]][:20] for k, i in got.items())
+
+
 def test_completion(spark):
     rows = papers(spark, {"doi": "10.1/a"}, {"doi": "10.1/b", "abstract": "own", "citation_count": 3}, {"doi": "10.1/c", "abstract": ""}, {"abstract": None})
     meta = spark.createDataFrame([("10.1/a", "new", 7, 2001), ("10.1/b", "other", 9, 2002), (None, "x", 1, 1)], "doi string, abstract string, citation_count long, year int")
