@@ -383,9 +383,10 @@ def resolve_missing(spark, sf_dir):
 
 @query("match_titles")
 def match_titles(spark, sf_dir):
+    """All titles against two sources: the even half of the papers first, then the odd one."""
     p = documents_as_papers(spark, sf_dir)
     asked = p.select(F.col("seq").alias("request_seq"), F.col("title").alias("asked"))
-    return lookup.match_titles(asked, p.where("seq % 2 = 0").withColumn("source_rank", F.lit(0))).select("request_seq", "seq")
+    return lookup.match_titles(asked, p.withColumn("source_rank", (F.col("seq") % 2).cast("int"))).select("request_seq", "seq")
 
 
 # ------------------------------------------------------------------ screening

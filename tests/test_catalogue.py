@@ -52,3 +52,22 @@ def test_the_rest_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
     assert not any("paperloom.llm" in p.read_text() for p in (root / "paperloom").rglob("*.py") if "llm" not in p.parts)
+
+
+def test_match_titles_has_all_papers_as_candidates(spark):
+    """Against brute force: the first near or equal title of the even half, else of the odd one."""
+    import difflib
+
+    from pyspark.sql import functions as F
+
+    from paperloom.functions import text
+    from paperloom.operators import identity
+    from paperloom.plans.views import documents_as_papers
+
+    name = text.norm_title(F.col("title"))
+    rows = documents_as_papers(spark, SF).select("seq", name.alias("name"), identity.numbering(name).alias("numbers")).where("name <> ''").collect()
+    rows.sort(key=lambda r: (r.seq % 2, r.seq))
+    same = lambda a, b: a.name == b.name or (a.numbers == b.numbers and difflib.SequenceMatcher(None, a.name, b.name).ratio() >= 0.93)
+    expected = {b.seq: next(a.seq for a in rows if same(a, b)) for b in rows}
+    assert {r.request_seq: r.seq for r in catalogue.QUERIES["match_titles"](spark, SF).collect()} == expected
+    assert any(s % 2 for s in expected.values())
