@@ -118,7 +118,7 @@ class ChunkEncoder:
         for t in texts:
             high = low + len(t)
             inner = at[np.searchsorted(at, low, "right") : np.searchsorted(at, high, "left")].tolist()
-            yield self.text(raw, [low, *inner, high], agree) if inner else self.v.encode(t)
+            yield self.text(raw, [low, *inner, high], agree) if inner else self.chunk(t)[0]
             low = high + 1
 
     def text(self, raw: bytes, edges: list[int], agree: np.ndarray) -> np.ndarray:

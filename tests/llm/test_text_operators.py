@@ -264,3 +264,11 @@ def test_binomial_tail(spark):
     for k, n, p in cases:
         got = spark.range(1).select(quality_rules.log_binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
         assert got == pytest.approx(log(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))), abs=1e-9)
+
+
+def test_bpe_encodes_copies_of_short_texts_once(tokenizer):
+    texts = [b"a short text", b"another one"] * 5 + [b"", b""]
+    encoder = bpe.ChunkEncoder(bpe.Vocabulary(vocabulary_path()))
+    got = [x.tolist() for x in encoder.batch(texts)]
+    assert got == [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert encoder.encoded == 3 and encoder.reused == 9
