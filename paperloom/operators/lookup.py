@@ -33,11 +33,11 @@ def wanted(references: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(once)).where(F.col("doi_key").isNull() | (F.col("_n") == 1)).drop("_n")
 
 
-def resolve(references: DataFrame, first: DataFrame, second: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+def resolve(references: DataFrame, first: DataFrame, second: DataFrame, tag: str, *others: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records found, errors) for references (seq, item).
 
     DOIs and arXiv ids are looked up in `first` by DOI; what is left, and ids of the second source, in `second`; titles are
-    matched with match_titles() in both. Found records carry item, request_seq and found_via [tag]; errors have seq, item, why.
+    matched with match_titles() in `second`, `first` and then the `others`. Found records carry item, request_seq and found_via [tag]; errors have seq, item, why.
     """
     asked = wanted(references)
     by_doi = first.withColumn("doi_key", paper.lookup_doi()).where("doi_key is not null").dropDuplicates(["doi_key"])
@@ -53,6 +53,8 @@ def resolve(references: DataFrame, first: DataFrame, second: DataFrame, tag: str
     missing = late.join(by_key.select("_key"), "_key", "left_anti").select(F.col("request_seq").alias("seq"), "item", F.concat(F.lit("not found: "), F.col("lookup")).alias("why"))
     titles = asked.where("kind = 'title'").select(F.col("seq").alias("request_seq"), "item")
     candidates = first.withColumn("source_rank", F.lit(1)).unionByName(second.withColumn("source_rank", F.lit(0)))
+    for rank, other in enumerate(others, 2):
+        candidates = candidates.unionByName(other.withColumn("source_rank", F.lit(rank)))
     matched = match_titles(titles.withColumnRenamed("item", "asked"), candidates).withColumnRenamed("asked", "item").drop("source_rank")
     unmatched = titles.join(matched.select("request_seq"), "request_seq", "left_anti").select(F.col("request_seq").alias("seq"), "item", F.lit("no confirmed match for this title").alias("why"))
     found = hit.unionByName(hit2).unionByName(matched).withColumn("found_via", F.array(F.lit(tag)))

@@ -149,7 +149,7 @@ class Review:
             raise ValueError(f"not text: {bad}; put DOIs and arXiv ids in quotes")
         asked = self.spark.createDataFrame(list(enumerate(items)), "seq long, item string")
         first, second = (list(corpora.values()) * 2)[:2]
-        found, errors = lookup.resolve(asked, first, second, tag)
+        found, errors = lookup.resolve(asked, first, second, tag, *list(corpora.values())[2:])
         return found.withColumn("seq", F.col("request_seq")), errors
 
     def add(self, items: list[str], corpora: dict[str, DataFrame], metadata: dict[str, DataFrame] | None = None) -> tuple[int, list[str]]:

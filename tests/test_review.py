@@ -80,3 +80,11 @@ def test_completion_and_empty_review(spark, tmp_path):
     r.save(papers(spark, {"doi": "10.1234/a"}, {"arxiv_id": "2401.00001"}))
     r.complete({"openalex": papers(spark, {"doi": "10.48550/arxiv.2401.00001", "abstract": "found", "citation_count": 2})})
     assert r.papers().orderBy("seq").collect()[1].abstract == "found"
+
+
+def test_titles_of_the_third_source_are_found(spark, tmp_path):
+    r = Review.create(spark, "Third", str(tmp_path), today="2026-01-02")
+    third = conform(papers(spark, {"title": LONG.format("Held by the third only"), "arxiv_id": "2401.00003"}, {"title": LONG.format("A study"), "arxiv_id": "2401.00004"}))
+    added, errors = r.add([LONG.format("Held by the third only"), LONG.format("A study"), "Nowhere at all"], corpora(spark) | {"arxiv": third})
+    assert added == 2 and errors == ["Nowhere at all: no confirmed match for this title"]
+    assert r.papers().where("doi = '10.1234/a' and venue = 'KDD'").count() == 1
