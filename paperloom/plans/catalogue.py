@@ -188,6 +188,12 @@ def unescape_entities(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.unescape(F.concat(F.lit("x &lt;b&gt; &amp;amp; "), F.col("page_id").cast("string"))).alias("plain"))
 
 
+@query("unescape_pages")
+def unescape_pages(spark, sf_dir):
+    """The whole text of each page; the full table of entities is not in SQL."""
+    return table(spark, sf_dir, "pages").select("page_id", text.unescape(F.col("html")).alias("plain"))
+
+
 @query("redact_urls", "SELECT page_id, regexp_replace(url || '&api_key=s' || page_id, '(?i)((?:api[_-]?key|apikey|key|token|secret|password|mailto|email)=)[^&#\\s]+', '\\1***', 'g') AS url FROM pages")
 def redact_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.redact(F.concat("url", F.lit("&api_key=s"), F.col("page_id").cast("string"))).alias("url"))

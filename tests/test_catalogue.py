@@ -71,3 +71,12 @@ def test_match_titles_has_all_papers_as_candidates(spark):
     expected = {b.seq: next(a.seq for a in rows if same(a, b)) for b in rows}
     assert {r.request_seq: r.seq for r in catalogue.QUERIES["match_titles"](spark, SF).collect()} == expected
     assert any(s % 2 for s in expected.values())
+
+
+def test_pages_are_unescaped_whole(spark, duck):
+    import html
+
+    expected = {k: html.unescape(v) for k, v in duck.execute("SELECT page_id, html FROM pages").fetchall()}
+    raw = dict(duck.execute("SELECT page_id, html FROM pages").fetchall())
+    assert {r.page_id: r.plain for r in catalogue.QUERIES["unescape_pages"](spark, SF).collect()} == expected
+    assert any(expected[k] != raw[k] for k in raw)
