@@ -493,6 +493,12 @@ def papers_sheet(spark, sf_dir):
     return layout.papers_rows(documents_as_papers(spark, sf_dir), TAXONOMY).where("kind <> 'paper'").select("kind", "heading")
 
 
+@query("papers_sheet_rows")
+def papers_sheet_rows(spark, sf_dir):
+    """The whole sheet: headings and papers with their cells, in order of row_no."""
+    return layout.papers_rows(documents_as_papers(spark, sf_dir), TAXONOMY)
+
+
 @query("outcome", _with(PAPERS_SQL, _BODY, _FILTERED, then="SELECT seq, CASE WHEN excluded_reason IS NOT NULL THEN 'removed by filter: ' || excluded_reason WHEN status = 'exclude' THEN 'excluded at screening' WHEN status IS NOT NULL THEN 'included (' || status || ')' ELSE 'not screened yet' END AS outcome FROM filtered"))
 def outcome(spark, sf_dir):
     return _filtered(spark, sf_dir).select("seq", layout.outcome().alias("outcome"))

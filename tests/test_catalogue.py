@@ -80,3 +80,26 @@ def test_pages_are_unescaped_whole(spark, duck):
     raw = dict(duck.execute("SELECT page_id, html FROM pages").fetchall())
     assert {r.page_id: r.plain for r in catalogue.QUERIES["unescape_pages"](spark, SF).collect()} == expected
     assert any(expected[k] != raw[k] for k in raw)
+
+
+def test_papers_sheet_rows_hold_papers_and_cells(spark, duck):
+    """Order as in grouped_layout and headings as in papers_sheet, both of which have SQL; cells against SQL."""
+    run = lambda name: catalogue.QUERIES[name](spark, SF)
+    rows = run("papers_sheet_rows").orderBy("row_no").collect()
+    assert [r.row_no for r in rows] == list(range(1, len(rows) + 1))
+    ids = {r.seq: r.id for r in run("paper_id").collect()}
+    order = [r.seq for r in run("grouped_layout").orderBy("row_no").collect()]
+    leaves = [r for r in rows if r.kind == "paper"]
+    assert order and [r.c_id for r in leaves] == [ids[s] for s in order]
+    sql = catalogue._with(catalogue.PAPERS_SQL, then="SELECT seq, title, CAST(year AS VARCHAR), CAST(citation_count AS VARCHAR), coalesce(venue, ''), status, coalesce(first_level, ''), coalesce(second_level, '') FROM papers")
+    cells = {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
+    assert [(r.c_title, r.c_year, r.c_citations, r.c_venue, r.c_status, r.c_category, r.c_subcategory) for r in leaves] == [cells[s] for s in order]
+    assert sorted((r.kind, r.heading) for r in rows if r.kind != "paper") == sorted((r.kind, r.heading) for r in run("papers_sheet").collect())
+    group = subgroup = None
+    for r in rows:
+        if r.kind == "group":
+            group, subgroup = r.heading, None
+        elif r.kind == "subgroup":
+            subgroup = r.heading
+        else:
+            assert group.startswith(f"▌ {r.c_category or 'Uncategorized'} — ") and (subgroup or "▸  (").startswith(f"▸ {r.c_subcategory} (")
