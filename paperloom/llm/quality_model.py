@@ -105,26 +105,56 @@ def _train(x: np.ndarray, positive: np.ndarray, prior: float | None) -> tuple:
     return tuple(p)
 
 
-def estimate_prior(scores: np.ndarray, positive: np.ndarray) -> float:
+def cutoffs(scores: np.ndarray) -> np.ndarray:
+    """The scores above which estimate_prior() compares shares: quantiles of those of the positives."""
+    return np.quantile(np.sort(scores), np.linspace(0.0, 0.5, 51))
+
+
+def estimate_prior(scores: np.ndarray, positive: np.ndarray, more: np.ndarray | None = None) -> float:
     """The share of positives among the unlabelled: the least ratio of the two kinds' shares above a score.
 
     No region holds a smaller share of the unlabelled than prior times its share of positives, so the ratio over regions
     is an upper bound that is tight where hardly any negative lies. Regions with under half of the positives are left out,
     and a standard error is added, so that chance does not make the bound too small. The scores must come from a model that
-    was fitted on other rows, or positives score above unlabelled rows of their kind.
+    was fitted on other rows, or positives score above unlabelled rows of their kind. more: counts of further unlabelled rows
+    by how many of the cutoffs they reach.
     """
+    more = np.zeros(52, np.int64) if more is None else more
     p, u = np.sort(scores[positive]), np.sort(scores[~positive])
-    at = np.quantile(p, np.linspace(0.0, 0.5, 51))
-    share_p, share_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    error = np.sqrt(share_u * (1 - share_u) / len(u) + (share_u / share_p) ** 2 * share_p * (1 - share_p) / len(p))
+    at, n_u = cutoffs(p), len(u) + more.sum()
+    share_p, share_u = 1 - np.searchsorted(p, at) / len(p), 1 - (np.searchsorted(u, at) + np.cumsum(more)[:-1]) / n_u
+    error = np.sqrt(share_u * (1 - share_u) / n_u + (share_u / share_p) ** 2 * share_p * (1 - share_p) / len(p))
     return float(np.clip(((share_u + error) / share_p).min(), 0.01, 0.99))
 
 
+def _reached(docs: DataFrame, known: DataFrame, chosen: DataFrame, models: list[tuple[Model, np.ndarray]]) -> list[np.ndarray]:
+    """For each model, how many unlabelled rows that are not among the chosen reach how many of its cutoffs; texts are not shuffled."""
+    out = [np.zeros(52, np.int64) for _ in models]
+    if not models:
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            for low, high in steps(texts):
+                x = features(texts[low:high])
+                at = np.stack([np.searchsorted(cuts, model(x), "right") for model, cuts in models], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(list(at), pa.list_(pa.int64()))], ["id", "at"])
+
+    rows = docs.where("id is not null").select("id", "text").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, at array<long>").groupBy("id", "at").agg(F.count("*").alias("n"))
+    rows = rows.join(known.select("id"), "id", "left_anti").join(F.broadcast(chosen.select("id")), "id", "left_anti")
+    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for counts, k in zip(out, r["at"]):
+            counts[k] += r["n"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits the model on documents (id, text): positives are ids with label 1, unlabelled ones those without any label.
 
     At most SAMPLE ids of each kind are taken, the first by a hash of the id, and sent to all tasks; labels of 0 are not
-    used. Executors compute the features; the driver gets SAMPLE rows of numbers of each kind at most.
+    used. Executors compute the features; the driver gets SAMPLE rows of numbers of each kind at most. The prior comes from
+    all unlabelled rows: those that were not chosen are scored by both cross-fitted models and counted.
     """
     known = labels.where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
     first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -148,11 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / spread, -6, 6)
     half = np.random.RandomState(SEED).permutation(len(z)) % 2 == 0
-    priors = []
+    held = []
     for side in (half, ~half):
         if 0 < positive[side].sum() < side.sum() and 0 < positive[~side].sum() < (~side).sum():
-            start = Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), _train(z[side], positive[side], None), 0.5)
-            priors.append(estimate_prior(start(z[~side]), positive[~side]))
+            model = Model(mean, spread, _train(z[side], positive[side], None), 0.5)
+            held.append((model, model(x[~side]), positive[~side]))
+    more = _reached(docs, known, chosen, [(model, cutoffs(scores[own])) for model, scores, own in held])
+    priors = [estimate_prior(scores, own, counts) for (_, scores, own), counts in zip(held, more)]
     prior = float(np.mean(priors)) if priors else 0.5
     return Model(mean, spread, _train(z, positive, prior), prior)
 

@@ -208,3 +208,25 @@ def test_stages_keep_other_columns(spark, tmp_path):
 def test_registered_queries():
     names = [f"op{n}_" for n in range(1, 11)]
     assert [sum(q.startswith(n) for q in QUERIES) for n in names] == [1] * 10
+
+
+def test_prior_counts_all_unlabelled_rows(spark, monkeypatch):
+    """Every unlabelled row beyond the sample is counted once by each model, labelled and null ids are not."""
+    import numpy as np
+
+    from paperloom.llm import quality_model
+
+    monkeypatch.setattr(quality_model, "SAMPLE", 60)
+    good, bad = "The committee has read the report and it was found to be of use to the town {}.", "zxq {} zxq !!! buy buy"
+    rows = [(i, (good if i % 4 else bad).format(i)) for i in range(400)] + [(None, "no id here"), (399, good.format("again"))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400) if i % 4 and i < 120] + [(0, 0)], "id long, label int")
+    seen, estimate = [], quality_model.estimate_prior
+    monkeypatch.setattr(quality_model, "estimate_prior", lambda s, p, more=None: seen.append((int((~p).sum()), int(more.sum()))) or estimate(s, p, more))
+    quality_model.fit(docs, labels)
+    sampled = sum(n for n, _ in seen)
+    assert len(seen) == 2 and all(sampled + m == 401 - 91 for _, m in seen)
+    p, u = np.random.RandomState(1).rand(2, 500) ** [[0.5], [1.0]]
+    counts = np.bincount(np.searchsorted(quality_model.cutoffs(p), u[100:], "right"), minlength=52)
+    split = estimate(np.r_[p, u[:100]], np.r_[np.ones(500, bool), np.zeros(100, bool)], counts)
+    assert abs(split - estimate(np.r_[p, u], np.r_[np.ones(500, bool), np.zeros(500, bool)])) < 1e-12
