@@ -447,11 +447,19 @@ def reason_ranking(spark, sf_dir):
     return report.reasons(_filtered(spark, sf_dir))
 
 
-@query("flow_rows")
+_LABELS = ", ".join(f"('{k}', {i}, '{label}')" for i, (k, label) in enumerate(report.KIND_LABELS.items()))
+_FLOW = f"""known(kind, place, label) AS (VALUES {_LABELS}), kinds AS (SELECT kind, count(DISTINCT id) AS n FROM (SELECT {_KINDS}[1] AS kind, {_ID} AS id FROM papers) GROUP BY kind),
+c AS (SELECT *, greatest(0, identified_total - uniq) AS duplicates FROM (SELECT count(*) AS uniq, (SELECT sum(n) FROM kinds) AS identified_total, count(excluded_reason) AS filtered_out, count(*) FILTER (excluded_reason IS NULL AND status IS NOT NULL) AS screened,
+  count(*) FILTER (excluded_reason IS NULL AND status = 'exclude') AS excluded_at_screening, count(*) FILTER (excluded_reason IS NULL AND status = 'core') AS core, count(*) FILTER (excluded_reason IS NULL AND status = 'skim') AS skim FROM filtered)),
+r AS (SELECT 0 AS section, coalesce(place, 99) AS place, coalesce(label, kind) AS label, n FROM kinds LEFT JOIN known USING (kind)
+  UNION ALL SELECT x.section, x.place, x.label, x.n FROM (SELECT unnest([{", ".join(f"{{'section': {section}, 'place': {i}, 'label': '{label}', 'n': CAST({' + '.join('uniq' if n == 'unique' else n for n in names)} AS BIGINT)}}" for i, (label, section, names) in enumerate(report.TOTAL_LABELS))}]) AS x FROM c)
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, f), '    ' || reason, n FROM (SELECT excluded_reason AS reason, count(*) AS n, min(seq) AS f FROM filtered WHERE excluded_reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 8))"""
+
+
+@query("flow_rows", _with(PAPERS_SQL, _BODY, _FILTERED, _FLOW, then="SELECT CAST(row_number() OVER (ORDER BY section, place, label) AS INTEGER) AS row_no, label, n FROM r"))
 def flow_rows(spark, sf_dir):
     p = _filtered(spark, sf_dir)
-    rows = report.flow_rows(report.stats(p, p))
-    return spark.createDataFrame([(i, label, int(n)) for i, (label, n) in enumerate(rows, 1)], "row_no int, label string, n long")
+    return report.flow(p, p)
 
 
 @query("overview_category", _with(PAPERS_SQL, then="SELECT CASE WHEN grouping(c) = 1 THEN NULL ELSE c END AS category, CASE WHEN grouping(s) = 1 THEN NULL ELSE s END AS subcategory, count(*) FILTER (status = 'core') AS core, count(*) FILTER (status = 'skim') AS skim, count(*) AS total, 2 - CAST(grouping(c) + grouping(s) AS INTEGER) AS level FROM (SELECT coalesce(first_level, 'Uncategorized') AS c, coalesce(second_level, '') AS s, status FROM papers WHERE status IN ('core', 'skim')) GROUP BY ROLLUP (c, s)"))

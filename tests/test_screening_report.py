@@ -98,3 +98,38 @@ def test_next_step():
 def test_reports_are_one_aggregation(spark):
     plan = report.funnel(papers(spark, {}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and F.lit(1) is not None
+
+
+def test_flow_of_tables_and_of_counts_agree(spark):
+    raw = papers(spark, {"doi": "10.1/a", "found_via": ["seed:q1"]}, {"doi": "10.1/b"}, {"doi": "10.1/c", "found_via": ["odd"]}, {"doi": "10.1/d", "found_via": ["even"]})
+    rows = papers(spark, *({"excluded_reason": f"reason {k}"} for k in range(10) for _ in range(k + 1)), {"status": "core"}, {"status": "skim"}, {})
+    flow = report.flow(rows, raw).orderBy("row_no").collect()
+    assert [(r.label, r.n) for r in flow] == report.flow_rows(report.stats(rows, raw)) and [r.row_no for r in flow] == list(range(1, len(flow) + 1))
+    assert [r.label for r in flow][:4] == ["Seed search", "Added manually", "even", "odd"] and sum(r.label.startswith("    reason") for r in flow) == 8
+    assert [(r.label, r.n) for r in report.flow(rows.limit(0), raw.limit(0)).orderBy("row_no").collect()] == [(label, 0) for label, *_ in report.TOTAL_LABELS]
+
+
+def test_configuration_in_words():
+    from paperloom.operators import layout
+    from paperloom.sources import config
+
+    assert layout.prose([{"id": "RQ1", "text": "Why?"}, {"text": "How?"}, "plain", 3]) == "RQ1 – Why?\nHow?\nplain\n3"
+    f = config.merged(config.DEFAULTS, {"filters": {"year_min": 2001, "min_citations": 5, "require_abstract": True, "exclude_types": [], "require_any": ["a", "b"]}})["filters"]
+    said = layout.filters_text(f).splitlines()
+    assert [x.rpartition(": ")[2] for x in said] == ["2001", "en", "5", "2", "yes", "a, b"] and layout.filters_text({"citation_grace_years": 2}) == ""
+    tab = layout.method_tab(config.merged(config.DEFAULTS, {"topic": "T", "snowball": {"max_citations": 0, "max_references": None}}), {"identified": {}, "filter_reasons": {}} | dict.fromkeys((n for _, _, names in report.TOTAL_LABELS for n in names), 0), "2026-01-01")
+    told = {r[0]: r[1] for r in tab.rows}
+    assert told["Topic"] == "T" and "Papers must" not in told and "Most references of a paper: no limit" in told["Citation steps"] and "Most citing papers of a paper: 0" in told["Citation steps"]
+    assert all(len(r) == 2 for r in tab.rows)
+
+
+def test_renderers_walk_the_tree():
+    from paperloom.functions import boolean
+
+    assert boolean.to_openalex('a, OR ("b, c*" d*) NOT NOT e') == 'a OR ("b  c" AND d) AND NOT NOT e'
+    assert boolean.to_semantic_scholar("NOT a b OR NOT (c OR d*)") == "-a + b | -(c | d*)" and boolean.to_semantic_scholar("a NOT NOT b") == "a b"
+    assert boolean.to_arxiv('NOT a b "c d" OR e*') == 'all:b AND all:"c d" ANDNOT all:a OR all:e'
+    # What can't be parsed whole is read past; only evaluation refuses it.
+    assert [f("(a OR b") for f in (boolean.to_openalex, boolean.to_plain)] == ["(a OR b)", "a b"] and boolean.to_openalex("AND a) OR") == "a"
+    assert boolean.to_plain("a) b OR (c") == "a b c" and [f("") for f in (boolean.to_plain, boolean.to_openalex, boolean.to_arxiv, boolean.to_semantic_scholar)] == [""] * 4
+    assert boolean.keywords("'What' is (the) \"state\" of -- NOT this, and that?!") == "state -- that"
