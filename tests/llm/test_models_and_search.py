@@ -230,3 +230,62 @@ def test_prior_counts_all_unlabelled_rows(spark, monkeypatch):
     counts = np.bincount(np.searchsorted(quality_model.cutoffs(p), u[100:], "right"), minlength=52)
     split = estimate(np.r_[p, u[:100]], np.r_[np.ones(500, bool), np.zeros(100, bool)], counts)
     assert abs(split - estimate(np.r_[p, u], np.r_[np.ones(500, bool), np.zeros(500, bool)])) < 1e-12
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_vectors_go_through_real_trees(sf):
+    """Trees of more than one node on both sides, with net, covering and nesting as promised; the exact result with fewer products than pairs."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").to_pydict()
+    ids, x = np.array(table["vec_id"]), np.floor(1024 * np.array(table["embedding"], np.float64))
+    own, q = ids[ids % 100 == 0], x[ids % 100 == 0]
+    trees = topk.CoverTree(q), topk.CoverTree(x)
+    assert all(len(t.nodes) > 1 for t in trees)
+    for t in trees:
+        distance = lambda i, j, t=t: np.sqrt(((t.x[i] - t.x[j]) ** 2).sum(axis=-1))
+        assert sorted(t.order) == list(range(len(t.x)))
+        for node in t.nodes[:50]:
+            points = t.order[node["low"] : node["high"]]
+            assert node["centre"] in points and distance(points, node["centre"]).max() <= node["radius"]
+            nets = t.nodes["centre"][node["first"] : node["last"]]
+            if len(nets):
+                assert node["centre"] in nets and sorted(p for n in t.nodes[node["first"] : node["last"]] for p in t.order[n["low"] : n["high"]]) == sorted(points)
+                assert min(distance(nets[1:], nets[0]), default=np.inf) > node["radius"] / 2 * (1 - 1e-6)
+    best = topk.Best(own, 10)
+    bounds, products = topk.dual_tree(*trees, ids, topk.exact_products(q, x), best)
+    assert bounds > len(q) and products <= len(q) * len(x) and (sf == "sf0.01" or products < 0.5 * len(q) * len(x))
+    full = np.where(ids[None, :] == own[:, None], -np.inf, q @ x.T)
+    for i in range(len(q)):
+        assert best.found[i].tolist() == ids[np.lexsort((ids, -full[i]))[:10]].tolist()
+
+
+def test_trees_travel_and_hold_repeated_points():
+    import numpy as np
+
+    x = np.repeat(np.arange(12.0).reshape(4, 3), 30, axis=0)
+    t = topk.CoverTree(x)
+    again = topk.CoverTree(x, t.packed())
+    assert (again.order == t.order).all() and (again.nodes == t.nodes).all() and len(t.nodes) > 4
+    best = topk.Best(np.arange(120), 3)
+    topk.dual_tree(again, again, np.arange(120), topk.exact_products(x, x), best)
+    assert best.found[0].tolist() == [90, 91, 92] and best.found[119].tolist() == [90, 91, 92] and best.found[90].tolist() == [91, 92, 93]
+    lone = topk.CoverTree(x[:1])
+    assert len(lone.nodes) == 1 and lone.nodes["radius"][0] == 0
+
+
+def test_top_k_clashing_columns_and_huge_components(spark):
+    from pyspark.sql import functions as F
+
+    vectors = [(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [1e12, 2.0]), (4, [0.25, 1e-9]), (5, [0.5, 0.0]), (6, [1e12, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for name in ("id", "v", "width", "score", "rank", "x", "query_block", "task"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id in (0, 4)"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    most = topk.LARGEST
+    assert got[0] == [(1, most), (3, most), (4, most), (5, most), (6, most), (2, -most)]
+    assert got[4] == [(0, most), (1, most), (3, 256 * 1024 * 10**12), (6, 256 * 1024 * 10**12), (5, 256 * 512), (2, -most)]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
