@@ -289,3 +289,80 @@ def test_top_k_clashing_columns_and_huge_components(spark):
     assert got[0] == [(1, most), (3, most), (4, most), (5, most), (6, most), (2, -most)]
     assert got[4] == [(0, most), (1, most), (3, 256 * 1024 * 10**12), (6, 256 * 1024 * 10**12), (5, 256 * 512), (2, -most)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def archives(folder):
+    import pathlib
+
+    return {p.name: list(warc.scan(p.open("rb"), keep=True)) for p in sorted(pathlib.Path(folder).glob("part-*.warc.gz"))}
+
+
+def test_warc_references_resolve_and_archives_roll(spark, tmp_path):
+    """Each revisit names a record that exists, holds the same payload, and is of the page that it refers to; archives end after `roll` bytes."""
+    pages = spark.createDataFrame(PAGES + [(100 + i, None, f"<p>{i % 7}</p>" + "x" * 3000) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    out = warc.round_trip(pages, f"file://{tmp_path}/w", roll=2_000).collect()
+    found = archives(tmp_path / "w")
+    assert len(out) == pages.count() == sum(map(len, found.values())) and len(found) > 10
+    records = [r for rows in found.values() for r in rows]
+    ids = [f["warc-record-id"] for f, _, _ in records]
+    assert len(set(ids)) == len(ids)
+    by_id = {f["warc-record-id"]: f for f, _, _ in records}
+    revisits = [f for f, _, _ in records if f["warc-type"] == "revisit"]
+    assert len(revisits) > 50
+    for f in revisits:
+        target = by_id[f["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["warc-payload-digest"] == f["warc-payload-digest"]
+    assert {r.refers_to for r in out if r.record_type == "revisit"} == {7, *range(153, 160), 4}
+
+
+def test_warc_leftovers_of_failed_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    (tmp_path / "w" / "part-000000-999-00000.warc.gz").write_bytes(b"broken off")
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == len(PAGES)
+    name = next(n for n in (tmp_path / "w").glob("part-*.warc.gz") if "999-00000" not in n.name)
+    name.write_bytes(warc.record("response", 1, "", None, b"one", None))
+    with pytest.raises(Exception, match="records, not|CorruptArchive"):
+        warc.read(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_warc_lengths_are_checked():
+    response, revisit = (gzip.decompress(warc.record(kind, 1, "", None, b"ab", to)) for kind, to in (("response", None), ("revisit", 2)))
+    for good in (response, revisit):
+        assert [n for _, _, n in warc.scan(io.BytesIO(gzip.compress(good)))] == [2]
+        with pytest.raises(warc.CorruptArchive, match="length"):
+            list(warc.scan(io.BytesIO(gzip.compress(good.replace(b"X-Payload-Length: 2", b"X-Payload-Length: 9")))))
+    for bad in (response.replace(b"\r\nContent-Length: 2\r\n", b"\r\nContent-Length: 3\r\n"), response + b"more", response.replace(b"Content-Length", b"Content-Width", 1), b"WARC/1.1 " + b"x" * 200_000):
+        with pytest.raises(warc.CorruptArchive):
+            list(warc.scan(io.BytesIO(gzip.compress(bad))))
+
+
+def test_warc_records_are_read_bit_by_bit():
+    """A record that unpacks to much more than a reader takes at once: neither archive nor record is held whole."""
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            assert 0 < n <= warc.READ_BYTES
+            return super().read(n)
+
+    import tracemalloc
+
+    whole = warc.record("response", 1, "", None, b"a" * 80_000_000, None) * 2
+    tracemalloc.start()
+    assert [n for _, _, n in warc.scan(Slow(whole))] == [80_000_000] * 2
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
+def test_warc_hot_payloads_and_clashing_columns(spark, tmp_path):
+    """Hot payloads (here: all that repeat) are dealt evenly, null ids among them; columns with names of the operator's own are left alone."""
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 3 else None, "u", "hot") for i in range(3000)] + [(5000 + i, None, f"cold {i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for name in ("id", "uri", "payload", "key", "last", "hot", "deal", "n", "refers_to"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = Counter((r.page_id is None, r.record_type, r.refers_to) for r in warc.round_trip(df, f"file://{tmp_path}/w").collect())
+    assert got == Counter({(True, "response", None): 1000, (False, "revisit", 2999): 1999, (False, "response", None): 21} | {(False, "revisit", 5001 + 2 * k): 1 for k in range(20)})
+    sizes = [len(r) for r in archives(tmp_path / "w").values()]
+    assert len(sizes) == 4 and max(sizes) < 0.4 * len(rows)
