@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0x100000001B3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,17 +106,15 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes: a sum of the bytes, each times an odd number of its place that follows no rule."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         solid = self.buf[~self.blank]
         lengths = self.ends - self.starts
         at = np.cumsum(lengths) - lengths
         place = np.arange(len(solid), dtype=np.int64) - np.repeat(at, lengths)
-        powers = np.full(int(lengths.max()), _BASE, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        h = np.add.reduceat((solid.astype(np.uint64) + np.uint64(1)) * powers[place], at)
+        factors = mix(np.arange(int(lengths.max()), dtype=np.uint64)) | np.uint64(1)
+        h = np.add.reduceat((solid.astype(np.uint64) + np.uint64(1)) * factors[place], at)
         return mix(h ^ (lengths.astype(np.uint64) * _M2))
 
     def owners(self) -> np.ndarray:
@@ -158,12 +155,18 @@ def partitions(df: DataFrame, each: int = 64_000_000) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The folder that driver and executors share; where the session names none, one of its warehouse, which a cluster must share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith(("file:", "/"))):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{warehouse}/_shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read from there from now on; the table goes when the driver ends.
+    """df, written as a table to the shared folder and read from there from now on; the table goes when the driver ends, if not before.
 
     checkpoint() keeps the constraints and statistics of all plans before it, which pile up over rounds of an iteration.
     """
@@ -172,7 +175,23 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote and nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t._cut_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def one_a_id(rows: DataFrame, *others: str) -> DataFrame:
+    """(id, hash, text, others) of one row of each id: that whose text has the least hash; copies are dropped before the shuffle."""
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    return rows.groupBy("id").agg(F.min("hash").alias("hash"), F.min_by("text", F.struct("hash", F.length("text"))).alias("text"), *(F.first(c).alias(c) for c in others))
 
 
 def fold_of(column: str, folds: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, mix, steps, tidied, tidied_group, unit, windows, Words
+from paperloom.llm.batches import as_bytes, cut, discard, mix, steps, tidied, tidied_group, unit, windows, Words
 
 #: Hashes of a signature, in BANDS bands of ROWS: a pair of similarity 0.8 shares no band with probability 1.9e-6.
 BANDS, ROWS = 25, 4
@@ -22,6 +22,9 @@ SMALL_BUCKET = 48
 BLOCK, COLUMNS = 256, 8192
 
 _POINT, _PLACE, _BLOCK = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+_NEXT, _SIDE, _HALVES = np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F), (np.uint64(0xEB44ACCAB455D165), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Keys of texts that a task remembers, so that it sends each of them once; it bounds memory, not the result.
+REMEMBERED = 200_000
 
 
 def bags(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
@@ -47,37 +50,54 @@ def bags(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, m: int) -> np.ndarray:
     """m registers for each text, whose share of agreement between two texts is unbiased for their weighted Jaccard similarity.
 
-    The weights of a shingle are cut into the dyadic blocks (0,1], (1,2], (2,4], (4,8] ...; each block of each shingle has
-    a Poisson process of its own over time, weight and register, from a seed that all texts share. Its points come in order
-    of time; those whose weight coordinate is above the text's count are thinned out, and the earliest point stays in each
-    register. A process ends as soon as its time passes the text's largest register, so long texts take little more than
-    one point a shingle.
+    Each shingle has Poisson processes over time and weight, from seeds that all texts share: one for each of the dyadic
+    weight ranges (0,1], (1,2], (2,4], (4,8] ... that its count reaches. A process shows its first point alone. If the text's
+    count covers the process's range, the point may enter its register; then the process is split into those of the range's
+    halves, one of which keeps the point while the other draws a first one of its own after it, so that texts of different
+    counts see the same points wherever both have weight. Halves above the count are dropped, a range of one weight draws
+    its next point. A process ends as soon as its point comes after the text's last register, so long texts take little
+    more than one point a shingle. All processes of all texts take a step at once, the earliest points of each coming first.
     """
     registers = np.full(texts * m, np.inf)
     blocks = np.where(count > 1, np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64), 0) + 1
     one = np.repeat(np.arange(len(owner)), blocks)
     block = np.arange(len(one)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    o, w = owner[one], count[one].astype(np.float64)
-    low = np.where(block > 0, 2.0 ** (block - 1), 0.0)
-    length = np.where(block > 0, low, 1.0)
+    o, w = owner[one], count[one].astype(np.int64)
+    length = np.left_shift(np.int64(1), np.maximum(block - 1, 0))
+    low = np.where(block > 0, length, 0)
     seed = mix(shingle[one] ^ (block.astype(np.uint64) * _BLOCK))
-    time = np.zeros(len(o))
+
+    def wait(seed: np.ndarray, length) -> np.ndarray:
+        return -np.log(unit(mix(seed ^ _POINT))) / (length * m)
+
+    time, mark = wait(seed, length), mix(seed ^ _PLACE)  # a point keeps its mark, which tells its register, wherever it goes
     worst = np.full(texts, np.inf)
-    n = 0
     while len(o):
-        n += 1
-        point = mix(seed + np.array([n], np.uint64) * _POINT)
-        time = time - np.log(unit(point)) / (length * m)
         on = time < worst[o]
         if not on.all():
-            o, w, low, length, seed, time, point = o[on], w[on], low[on], length[on], seed[on], time[on], point[on]
-        place = mix(point ^ _PLACE)
-        register = ((place >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        coordinate = low + length * ((place & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
-        kept = coordinate <= w
-        np.minimum.at(registers, o[kept] * m + register[kept], time[kept])
+            o, w, low, length, seed, time, mark = o[on], w[on], low[on], length[on], seed[on], time[on], mark[on]
+        covered = low + length <= w
+        register = ((mark >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+        np.minimum.at(registers, o[covered] * m + register[covered], time[covered])
         active = np.flatnonzero(np.bincount(o, minlength=texts)) if len(o) else o
         worst[active] = registers.reshape(texts, m)[active].max(axis=1)
+        split = np.flatnonzero(length > 1)
+        # Ranges of one weight go on to their next point.
+        single = length == 1
+        seed = np.where(single, mix(seed ^ _NEXT), seed)
+        after, fresh = time + wait(seed, 1), mix(seed ^ _PLACE)
+        if not len(split):
+            time, mark = after, fresh
+            continue
+        half, upper = length[split] // 2, (mix(seed[split] ^ _SIDE) >> np.uint64(63)).astype(np.int64)  # upper: the half that keeps the point
+        halves = []
+        for side in (0, 1):
+            own, keeps = mix(seed[split] ^ _HALVES[side]), upper == side
+            halves.append((o[split], w[split], low[split] + side * half, half, own, np.where(keeps, time[split], time[split] + wait(own, half)), np.where(keeps, mark[split], mix(own ^ _PLACE))))
+        rest = (o[single], w[single], low[single], length[single], seed[single], after[single], fresh[single])
+        o, w, low, length, seed, time, mark = (np.concatenate(c) for c in zip(rest, *halves))
+        on = low < w
+        o, w, low, length, seed, time, mark = o[on], w[on], low[on], length[on], seed[on], time[on], mark[on]
     return registers.reshape(texts, m)
 
 
@@ -215,19 +235,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node that edges lead to.
 
     Each round takes the smallest label among the neighbours' and then the label's own label, until none changes; the
-    labels are written to the shared folder after each round.
+    labels are written to the shared folder after each round, and those of the round before are removed.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component"))
-    labels = cut(labels)
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.withColumnRenamed("component", "old").join(near, "node").select("node", "old", F.least("old", "near").alias("label"))
-        top = labels.select(F.col("node").alias("label"), F.col("component").alias("above"))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.col("node").alias("old"), F.least("node", "near").alias("component")))
+    while not labels.where("old <> component").isEmpty():
+        last = labels.select("node", "component")
+        near = both.join(last.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        new = last.withColumnRenamed("component", "old").join(near, "node").select("node", "old", F.least("old", "near").alias("label"))
+        top = last.select(F.col("node").alias("label"), F.col("component").alias("above"))
         new = cut(new.join(top, "label").select("node", "old", F.least("label", "above").alias("component")))
-        if new.where("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
+    discard(both)
+    return labels.select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -251,40 +272,49 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     # What is counted by a key is written before it is joined by that key, so that Spark may split a hot key's side of the join.
     shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last"))
     members = cut(banded.join(shared, "bucket"))
+    discard(shared)
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id", "key", "node")
-    found = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("node", "key", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # rows that share an id may hold other texts
-            texts = as_bytes(b.column(2))
-            good = np.zeros(len(texts), bool)
-            keys = b.column(1).to_pylist()
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for b in batches:
+            texts = as_bytes(b.column(0))
             for low, high in steps(texts):
                 w = Words(texts[low:high])
-                good[low:high] = [text_key(w, i) == keys[low + i] for i in range(high - low)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["node", "text"]).filter(pa.array(good))
-
-    texts = cut(found.mapInArrow(tidied(own), "node long, text string").groupBy("node").agg(F.first("text").alias("text")))
+                keys = [text_key(w, i) for i in range(high - low)]
+                new = [i for i, k in enumerate(keys) if k not in sent and not sent.add(k)]
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), b.column(0).take(pa.array([low + i for i in new]))], ["key", "text"])
+
+    # A text is found by its key, as ids may be null or stand for many texts; a task sends copies of a text once.
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("key", "node")
+    found = rows.select("text").mapInArrow(tidied(keyed), "key binary, text string").join(wanted, "key")
+    texts = cut(found.groupBy("node").agg(F.first("text").alias("text")))
 
     tested = cut(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    linked = components(verified(tested, texts, size, least))
-    linked = cut(members.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    links = components(verified(tested, texts, size, least))
+    linked = cut(members.select("node").distinct().join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
     def joined(links: DataFrame) -> DataFrame:
         """Components after more links: only what the links join is labelled anew, by components of components."""
         end = lambda name: linked.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
         between = cut(links.join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
         if between.isEmpty():
+            discard(between)
             return linked
         above = components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        return cut(linked.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+        new = cut(linked.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+        discard(between, linked)
+        return new
 
     def split() -> DataFrame:
         """Members of the buckets that still hold several components, and how many they are."""
         placed = members.select("bucket", "node").join(linked, "node")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held")
-        return cut(placed.join(cut(open_), "bucket"))
+        open_ = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low < high").select("bucket", "held"))
+        out = cut(placed.join(open_, "bucket"))
+        discard(open_)
+        return out
 
     def other(placed: DataFrame, partners: DataFrame) -> DataFrame:
         """Pairs of members and partners of one bucket and unlike components that were not compared before."""
@@ -292,16 +322,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
         pairs = placed.join(partners, "bucket").where("component <> other_component").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         return cut(pairs.join(tested, ["a", "b"], "left_anti"))
 
+    placed = split()
     for turn in range(1, LEADER_ROUNDS + 1):
-        placed = split()
+        if placed.isEmpty():
+            break
         order = F.xxhash64("node", "bucket", F.lit(turn))
         lead = placed.groupBy("bucket").agg(F.min(order).alias("order"))
         pairs = other(placed, placed.withColumn("order", order).join(lead, ["bucket", "order"]))
         linked = joined(verified(pairs, texts, size, least))
         tested = tested.union(pairs)
-    placed = split()
-    few = placed.where(F.col("held") <= SMALL_BUCKET)
-    linked = joined(verified(other(few, few), texts, size, least).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
+        discard(placed)
+        placed = split()
+    if not placed.isEmpty():
+        few = placed.where(F.col("held") <= SMALL_BUCKET)
+        linked = joined(verified(other(few, few), texts, size, least).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
+    discard(placed, texts, members)
     classes = nodes.select("key", "id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(classes.groupBy("component").agg(F.min("id").alias("class_id")))
     of_key = classes.join(named, "component").select("key", "class_id")
@@ -314,6 +349,13 @@ def keep_one(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: s
     Of repeated rows (same id and text) one stays. Rows without an id can't be named by a class; one stays of each text.
     """
     classes = near_duplicates(docs, size=size, least=least, id_column=id_column, text_column=text_column)
-    kept = classes.where(F.col(id_column) == F.col("class_id")).select(id_column).distinct().withColumnRenamed(id_column, "_kept")
-    named = docs.where(F.col(id_column).isNotNull()).join(kept, docs[id_column] == kept["_kept"], "left_semi")
-    return named.union(docs.where(F.col(id_column).isNull())).dropDuplicates([id_column, text_column])
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("id"), F.md5(F.col(text_column).cast("binary")).alias("hash"))  # names can't clash in here
+    kept = cut(classes.where(F.col(id_column) == F.col("class_id")).select(F.col(id_column).alias("kept")).distinct())
+    # Repeated rows are rare, so only hashes are counted, and texts move again only if some repeat.
+    again = cut(rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("hash").alias("again_hash")))
+    rows = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"), "left_semi").union(rows.where("id is null"))
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("again_id")) & F.col("hash").eqNullSafe(F.col("again_hash"))
+        rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["id", "hash"]))
+    return rows.select(*(F.col("row")[c].alias(c) for c in names))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,12 @@ GROUPS_PER_BUCKET = 2
 #: Bits of an anchor's hash that are sent; a chance agreement only adds a candidate.
 ANCHOR_BITS = np.uint64(2**48 - 1)
 
-#: tag is a checksum of the text; it tells apart the texts of rows that share an id.
-ENTRY = np.dtype([("hash", "<u8"), ("row", "<i8"), ("tag", "<u4"), ("place", "<i4")])
-RUN = np.dtype([("row", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("length", "<i4")])
+#: A pair of id and text that more than this share of all rows have is hot: there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+
+#: tag is a hash of the text; it tells apart the texts of rows that share an id. hash and check together are 96 bits of a window.
+ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("row", "<i8"), ("tag", "<i8"), ("place", "<i4")])
+RUN = np.dtype([("row", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("length", "<i4")])
 #: kind 0: entries of a bucket of hashes; kind 1: runs of a bucket of rows.
 SENT = "kind int, bucket int, blob binary"
 
@@ -79,9 +83,33 @@ def _runs(e: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def _row_bucket(row: np.ndarray, groups: int) -> np.ndarray:
-    """pmod(xxhash64(row), groups)."""
-    return xxhash64_long(np.ascontiguousarray(row)) % groups
+def _tags(texts: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each text."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
+#: Where the number of a hot text's group is mixed into its key.
+SPLIT_BIT = 44
+
+
+class Dealer:
+    """Which group of texts a run belongs to: one for each id and text, all groups among which the rows of a hot one are dealt."""
+
+    def __init__(self, groups: int, hot: dict[int, int]):
+        self.groups, self.hot, self.keys = groups, hot, np.array(sorted(hot), np.int64)
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """pmod(xxhash64(key), groups)."""
+        return xxhash64_long(np.ascontiguousarray(key)) % self.groups
+
+    def __call__(self, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = runs["row"] ^ runs["tag"]
+        yield from _by_bucket(1, runs, self.bucket(key))
+        if len(self.keys):
+            for k in np.intersect1d(key, self.keys).tolist():
+                mine = runs[key == k]
+                for split in range(1, self.hot[k]):
+                    yield from _by_bucket(1, mine, np.repeat(self.bucket(np.array([k ^ (split << SPLIT_BIT)], np.int64)), len(mine)))
 
 
 def _hash_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -89,27 +117,28 @@ def _hash_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _same(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries sorted by hash: which are the first of their hash, and how many share each one's."""
+    """Of entries sorted by hash and check: which are the first of theirs, and how many share each one's."""
     first = np.ones(len(e), bool)
-    first[1:] = e["hash"][1:] != e["hash"][:-1]
+    first[1:] = (e["hash"][1:] != e["hash"][:-1]) | (e["check"][1:] != e["check"][:-1])
     sizes = np.diff(np.append(np.flatnonzero(first), len(e)))
     return first, np.repeat(sizes, sizes)
 
 
-def _later(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries by hash, row and place; which have an earlier one of the same hash."""
-    e = e[np.lexsort((e["place"], e["row"], e["hash"]))]
+def _later(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by window, row and place; which are the first of their window, and which have an earlier one."""
+    e = e[np.lexsort((e["place"], e["row"], e["check"], e["hash"]))]
     first, _ = _same(e)
     lead = np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
-    return e, (e["row"] != e["row"][lead]) | (e["place"] != e["place"][lead])
+    return e, first, (e["row"] != e["row"][lead]) | (e["place"] != e["place"][lead])
 
 
-def _fill(texts: list[bytes], rows: np.ndarray, w: Words, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _fill(texts: list[bytes], rows: np.ndarray, w: Words, at: np.ndarray, h: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
     """Entries for the windows with hashes h that start at the words `at`."""
     owner = w.owners()[at]
-    tags = np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))
     out = np.zeros(len(at), ENTRY)
-    out["hash"], out["row"], out["tag"], out["place"] = h[at], rows[owner], tags[owner], w.places()[at]
+    out["hash"], out["row"], out["tag"], out["place"] = h[at], rows[owner], _tags(texts)[owner], w.places()[at]
+    if check is not None:
+        out["check"] = check[at] >> np.uint64(32)
     return out
 
 
@@ -119,7 +148,7 @@ def _anchors(texts: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
     owner = w.owners()
     h = windows(w.hashes(), size, salt=5)
     at = np.flatnonzero(np.isin(w.places()[: len(h)] % PERIOD, COVER) & (owner[: len(h)] == owner[size - 1 : size - 1 + len(h)]))
-    return _fill(texts, rows, w, h, at)
+    return _fill(texts, rows, w, at, h)
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id", text_column: str = "text", text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -137,18 +166,28 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     Anchors and windows travel in blobs by hash bucket, texts by a hash of their row. Within a task equal hashes are
     combined first, so a passage that a third of all rows hold sends one entry a task. Nothing is capped.
 
+    Windows are told apart by 96 bits. Texts are dealt by id and text, so that many rows without an id, or of one id, are
+    spread as well; the rows of a pair of id and text that is hot (at most 1 / HOT_SHARE pairs are) are dealt to several groups,
+    each of which gets what is found of that text.
+
     A null or empty text has no words. A null id counts as the smallest. Rows that share an id count as one document where
-    starts are compared: neither of two equal starts is the earlier, so repeated rows both keep their words. Columns
-    besides the two are not read. An empty table gives an empty result.
+    starts are compared: neither of two equal starts is the earlier, so repeated rows both keep their words. Ids that are
+    no whole numbers are an error. Columns besides the two are not read. An empty table gives an empty result.
     """
     if size < PERIOD:
         raise ValueError(f"size must be {PERIOD} at least")
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise TypeError(f"{id_column} must be of a whole number type, as the smaller id keeps a passage")
     buckets = partitions(docs)
     groups = buckets * GROUPS_PER_BUCKET
     anchor = size - PERIOD + 1
     null_row = -(2**63)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(null_row)).alias("row"), F.col(text_column).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    key = F.col("row").bitwiseXOR(F.xxhash64(F.coalesce("text", F.lit(""))))
+    most = max(1000, math.ceil(docs.count() * HOT_SHARE))
+    hot = {r["key"]: -(-r["n"] // most) for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
+    deal = Dealer(groups, hot)
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -161,7 +200,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                 order = np.argsort(e["hash"], kind="stable")
                 first, count = _same(e[order])
                 runs = _runs(e[order[count > 1]], anchor)  # shared within the task: nobody else need be asked
-                yield from _by_bucket(1, runs, _row_bucket(runs["row"], groups))
+                yield from deal(runs)
                 ask = e[np.sort(order[first])]
                 yield from _by_bucket(0, ask, _hash_bucket(ask["hash"], buckets))
 
@@ -182,7 +221,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
             if held:
                 runs = settle(_unpacked(held, ENTRY))
                 held.clear()
-                yield from _by_bucket(1, runs, _row_bucket(runs["row"], groups))
+                yield from deal(runs)
 
         for b in batches:
             kinds = b.column(0).to_numpy()
@@ -201,21 +240,24 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
         return _runs(e[_same(e)[1] > 1], anchor)
 
     def later_windows(e: np.ndarray) -> np.ndarray:
-        e, later = _later(e)
+        e, _, later = _later(e)
         return _runs(e[later], size)
 
     def with_runs(texts: pa.Table, blobs: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, Words, np.ndarray]]:
         """Steps of a bucket's texts with the words that runs cover."""
         runs = _unpacked(blobs.column("blob").to_pylist(), RUN)
-        runs = runs[np.argsort(runs["row"], kind="stable")]
+        keys = runs["row"] ^ runs["tag"]
+        order = np.argsort(keys, kind="stable")
+        runs, keys = runs[order], keys[order]
         ids, all_texts = (texts.column("row").to_numpy(), as_bytes(texts.column("text").combine_chunks())) if texts.num_rows else (None, [])
         for low, high in steps(all_texts, 1_000_000):
             w, own = Words(all_texts[low:high]), ids[low:high]
             change = np.zeros(len(w.starts) + 1, np.int32)
-            from_, to = np.searchsorted(runs["row"], own, "left"), np.searchsorted(runs["row"], own, "right")
+            tags = _tags(all_texts[low:high])
+            from_, to = (np.searchsorted(keys, own ^ tags, side) for side in ("left", "right"))
             for i in np.flatnonzero(to > from_).tolist():
                 mine = runs[from_[i] : to[i]]
-                mine = mine[mine["tag"] == zlib.crc32(all_texts[low + i])]
+                mine = mine[(mine["tag"] == tags[i]) & (mine["row"] == own[i])]
                 np.add.at(change, np.minimum(w.first[i] + mine["start"], w.first[i + 1]), 1)
                 np.add.at(change, np.minimum(w.first[i] + mine["start"] + mine["length"], w.first[i + 1]), -1)
             yield all_texts[low:high], own, w, np.cumsum(change[:-1]) > 0
@@ -228,14 +270,11 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                 # Whoever holds a shared anchor has all its words near one.
                 reach = np.concatenate([[0], np.cumsum(near)])
                 at = np.flatnonzero((reach[size : size + len(h)] - reach[: len(h)] >= anchor) & (owner[: len(h)] == owner[size - 1 : size - 1 + len(h)]))
-                found.append(_fill(own_texts, own, w, h, at))
+                found.append(_fill(own_texts, own, w, at, h, windows(w.hashes(), size, salt=11)))
         if found:
-            e, later = _later(np.concatenate(found))
-            runs = _runs(e[later], size)
-            first = ~later
-            first[1:] &= ~((e["hash"][1:] == e["hash"][:-1]) & first[:-1])  # of equal rows one entry is enough
-            out += _by_bucket(1, runs, _row_bucket(runs["row"], groups))
-            ask = e[first]
+            e, first, later = _later(np.concatenate(found))
+            out += deal(_runs(e[later], size))
+            ask = e[first]  # of equal rows one entry is enough
             ask = ask[np.argsort(ask["row"], kind="stable")]
             out += _by_bucket(0, ask, _hash_bucket(ask["hash"], buckets))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -269,7 +308,12 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
         dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket")
         return dealt.mapInArrow(tidied(lambda batches: in_buckets(batches, settle)), SENT).select("bucket", "blob")
 
-    dealt_texts = rows.select(F.expr(f"cast(pmod(xxhash64(row), {groups}) as int)").alias("bucket"), "row", "text", *["rest"] * bool(carry))
+    dealt_texts = rows.withColumn("key", key)
+    if hot:
+        splits = F.broadcast(docs.sparkSession.createDataFrame(list(hot.items()), "key long, splits int"))
+        split = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("splits", F.lit(1)))
+        dealt_texts = dealt_texts.join(splits, "key", "left").withColumn("key", F.col("key").bitwiseXOR(F.shiftleft(split, SPLIT_BIT)))
+    dealt_texts = dealt_texts.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("bucket"), "row", "text", *["rest"] * bool(carry))
     near = settled(rows.select("row", "text").mapInArrow(tidied(find_anchors), SENT), shared_anchors)
     cogroup = lambda runs, f, schema: dealt_texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(tidied_group(f), schema)
     gone = settled(cogroup(near, extend, SENT), later_windows)

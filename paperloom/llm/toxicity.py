@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, mix, steps, tidied
+from paperloom.llm.batches import as_bytes, cut, mix, one_a_id, steps, tidied
 
 #: Labelled documents that the model is fitted on, the first by a hash of their id.
 SAMPLE = 20_000
@@ -103,12 +103,13 @@ def _distinct(sentence: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model on documents (id, text) with labels (id, label); both as DataFrames, at most SAMPLE of them.
 
-    The sample is the first by a hash of the id, sent to all tasks (SAMPLE rows of id and label). Executors count in how
+    The sample is the first by a hash of the id, sent to all tasks (SAMPLE rows of id and label); of rows that share an id
+    one stands for it, that of the least hash, and an id with several labels is toxic if one of them says so. Executors count in how
     many toxic and other documents each feature occurs; the FEATURES most telling ones come to the driver, then which of
     them each sentence of the sample holds. There the noisy-or likelihood of the document labels is maximised.
     """
-    chosen = labels.where("id is not null and label is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = cut(docs.join(F.broadcast(chosen), "id").select("text", F.col("label").cast("int").alias("label")))
+    chosen = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = cut(one_a_id(docs.join(F.broadcast(chosen), "id").withColumn("label", F.col("label").cast("int")), "label").select("text", "label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -272,3 +272,79 @@ def test_bpe_encodes_copies_of_short_texts_once(tokenizer):
     got = [x.tolist() for x in encoder.batch(texts)]
     assert got == [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
     assert encoder.encoded == 3 and encoder.reused == 9
+
+
+def test_bag_min_hash_splits_agree():
+    """Registers of a bag are the least of those of its parts by weight: texts of other counts see the same points."""
+    import numpy as np
+
+    rng = np.random.RandomState(8)
+    shingles = rng.randint(0, 2**62, 40).astype(np.uint64)
+    counts = rng.randint(1, 70, 40)
+    less = np.maximum(1, counts - rng.randint(0, 40, 40))
+    run = lambda c: near_dup.bag_min_hash(np.zeros(len(c), int), shingles, c, 1, 512)[0]
+    a, b = run(counts), run(less)
+    assert (a <= b).all() and np.isfinite(b).all()  # more weight only adds points
+    share = less.sum() / counts.sum()
+    assert abs((a == b).mean() - share) < 4 * (share * (1 - share) / 512) ** 0.5
+    one = near_dup.bag_min_hash(np.zeros(1, int), shingles[:1], np.array([1 << 20]), 1, 64)[0]
+    assert abs(1 / one.mean() / (1 << 20) - 1) < 0.5  # the rate is the weight
+    both = near_dup.bag_min_hash(np.repeat([0, 1], 40), np.tile(shingles, 2), np.concatenate([counts, less]), 2, 512)
+    assert (both[0] == a).all() and (both[1] == b).all()
+
+
+def test_near_duplicates_with_thousands_of_null_ids(spark):
+    """Texts are found by their words, so null and much repeated ids cost no more than others."""
+    import time
+
+    near = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, near(k // 2) + (" tail" if k % 2 else ""), "en", "s", 1) for k in range(3000)] + [(7, near(5000 + k), "en", "s", 1) for k in range(1000)]
+    start = time.time()
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert time.time() - start < 60 and Counter((r.doc_id, r.class_id) for r in got) == Counter({(None, None): 3000, (7, 7): 1000})
+    kept = near_dup.keep_one(frame(spark, rows + rows[-3:] + rows[:2])).collect()
+    assert Counter(r.doc_id for r in kept) == Counter({None: 3000, 7: 1000})
+
+
+def test_word_hashes_hold_against_polynomial_collisions():
+    """Thue-Morse words collide under any polynomial modulo 2^64, whatever its base."""
+    from paperloom.llm.batches import Words
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = (bytes(97 + (x ^ flip) for x in bits) for flip in (0, 1))
+    assert len(set(Words([a + b" " + b]).hashes().tolist())) == 2
+
+
+def test_shared_folder_is_never_local_to_a_machine():
+    from types import SimpleNamespace as Space
+
+    from paperloom.llm.batches import shared_folder
+
+    conf = lambda named, warehouse: Space(get=lambda k, d=None: {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": warehouse}.get(k, d))
+    on = lambda master, named, warehouse: shared_folder(Space(conf=conf(named, warehouse), sparkContext=Space(master=master)))
+    assert on("spark://x", "/shared", "file:/w") == "/shared" and on("local[4]", None, "file:/w/") == "file:/w/_shared" and on("spark://x", None, "hdfs://w") == "hdfs://w/_shared"
+    with pytest.raises(RuntimeError):
+        on("spark://x", None, "file:/w")
+
+
+def test_substring_dedup_deals_null_and_hot_ids(spark):
+    """Many texts without an id, and one row that makes up much of the table, are spread over groups; the result is that of brute force."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    hot = " ".join(f"hot{k}" for k in range(25))
+    rows = [(None, f"n{i} {passage if i % 50 == 0 else ''} tail{i}", "en", "s", 1) for i in range(2000)] + [(5, hot, "en", "s", 1)] * 3000 + [(None, hot, "en", "s", 1)] * 1500 + [(9, hot + " more", "en", "s", 1)]
+    df = frame(spark, rows).repartition(5)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    # Rows without an id count as one document: equal starts keep their words. Those of larger ids go.
+    assert got == Counter({(None, 2, 0): 1960, (None, 32, 0): 40, (5, 25, 25): 3000, (None, 25, 0): 1500, (9, 26, 25): 1})
+    tags = substring_dedup._tags([b"", "é x".encode()])
+    assert tags.tolist() == list(spark.createDataFrame([("", "é x")], "a string, b string").selectExpr("xxhash64(a)", "xxhash64(b)").first())
+    deal = substring_dedup.Dealer(64, {5: 4})
+    runs = __import__("numpy").zeros(3, substring_dedup.RUN)
+    runs["row"] = [5, 6, 5]
+    sent = [(bucket, len(substring_dedup._unpacked([blob], substring_dedup.RUN))) for b in deal(runs) for bucket, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    assert sum(n for _, n in sent) == 1 + 2 * 4 and len({b for b, _ in sent}) >= 4
+
+
+def test_substring_dedup_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError):
+        substring_dedup.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
