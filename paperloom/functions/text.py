@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,19 +67,22 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is reckoned once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _after(c: Column, lead: str) -> Column:
     """What follows the first `lead`, whatever its case; null if there is none."""
-    at = F.locate(lead, F.lower(c))
-    return F.when(at > 0, F.substring(c, at + len(lead), F.length(c)))
+    return _let(c, lambda x: F.when(F.locate(lead, F.lower(x)) > 0, F.substring(x, F.locate(lead, F.lower(x)) + len(lead), F.length(x))))
 
 
 def _before(c: Column, mark: str) -> Column:
     return F.substring_index(F.lower(c), mark, 1)
 
 
-def _bare_doi(c: Column) -> Column:
-    """A reference without the resolver or the word that announces a DOI."""
-    item = _trimmed(c)
+def _bare_doi(item: Column) -> Column:
+    """A trimmed reference without the resolver or the word that announces a DOI."""
     resolver = _before(item, "doi.org/").isin([scheme + host for scheme in SCHEMES for host in ("", "dx.")])
     named = F.when(F.startswith(F.lower(item), F.lit("doi:")), _after(item, "doi:"))
     return _trimmed(F.coalesce(F.when(resolver, _after(item, "doi.org/")), named, item))
@@ -85,27 +90,24 @@ def _bare_doi(c: Column) -> Column:
 
 def norm_doi(c: Column) -> Column:
     """Lower-case DOI without its prefix or resolver; null if it doesn't start with 10."""
-    bare = F.lower(_bare_doi(c))
-    return F.when(F.startswith(bare, F.lit("10.")), bare)
+    return _let(_trimmed(c), lambda item: _let(F.lower(_bare_doi(item)), lambda bare: F.when(F.startswith(bare, F.lit("10.")), bare)))
 
 
-def _arxiv_path(c: Column, *sections: str) -> Column:
+def _arxiv_path(item: Column, *sections: str) -> Column:
     """What an arXiv address names in one of its sections, without file ending and parameters; null for anything else."""
-    path = _after(c, "arxiv.org/")
-    name = F.rtrim(F.get(F.split(_after(path, "/"), "[?#]"), F.lit(0)), F.lit("/"))
-    return F.when(_before(path, "/").isin(*sections), _no_pdf(name))
+    name = lambda path: F.rtrim(F.get(F.split(_after(path, "/"), "[?#]"), F.lit(0)), F.lit("/"))
+    return _let(_after(item, "arxiv.org/"), lambda path: F.when(_before(path, "/").isin(*sections), _no_pdf(name(path))))
 
 
 def _no_pdf(c: Column) -> Column:
-    return F.when(F.endswith(F.lower(c), F.lit(".pdf")), F.left(c, F.length(c) - 4)).otherwise(c)
+    return _let(c, lambda x: F.when(F.endswith(F.lower(x), F.lit(".pdf")), F.left(x, F.length(x) - 4)).otherwise(x))
 
 
 def norm_arxiv(c: Column) -> Column:
     """arXiv id from an id or address, without version; null if it is none. Old ids keep their case."""
-    item = _trimmed(c)
-    said = F.coalesce(_arxiv_path(item, "abs", "pdf", "html"), item)
-    said = F.when(F.startswith(F.lower(said), F.lit("arxiv:")), _trimmed(_after(said, "arxiv:"))).otherwise(said)
-    return blank_to_null(F.regexp_extract(said, rf"(?i)^({ARXIV_FORM})(?:v[0-9]+)?$", 1))
+    said = _let(_trimmed(c), lambda item: F.coalesce(_arxiv_path(item, "abs", "pdf", "html"), item))
+    bare = _let(said, lambda x: F.when(F.startswith(F.lower(x), F.lit("arxiv:")), _trimmed(_after(x, "arxiv:"))).otherwise(x))
+    return blank_to_null(F.regexp_extract(bare, rf"(?i)^({ARXIV_FORM})(?:v[0-9]+)?$", 1))
 
 
 def arxiv_of_doi(doi: Column) -> Column:
@@ -147,16 +149,26 @@ def _arxiv_reference(item: Column) -> Column:
     return F.when(~elsewhere, norm_arxiv(_no_pdf(item)))
 
 
+def _reference(c: Column) -> Column:
+    """(kind, value) of a user's reference."""
+
+    def read(item: Column) -> Column:
+        told = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        doi = _let(_bare_doi(item), lambda bare: F.when(bare.rlike(f"^{DOI_FORM}$"), told("doi", F.lower(bare))))
+        arxiv = _let(_arxiv_reference(item), lambda known: F.when(known.isNotNull(), told("arxiv", known)))
+        return F.coalesce(doi, arxiv, F.when(item.rlike("^[0-9a-f]{40}$"), told("s2", item)), told("title", item))
+
+    return _let(_trimmed(c), read)
+
+
 def reference_kind(c: Column) -> Column:
     """doi, arxiv, s2 or title: what a user's reference looks like."""
-    item = _trimmed(c)
-    return F.when(_bare_doi(item).rlike(f"^{DOI_FORM}$"), "doi").when(_arxiv_reference(item).isNotNull(), "arxiv").when(item.rlike("^[0-9a-f]{40}$"), "s2").otherwise("title")
+    return F.coalesce(_reference(c)["kind"], F.lit("title"))
 
 
 def reference_value(c: Column) -> Column:
     """A user's reference in normal form."""
-    item, kind = _trimmed(c), reference_kind(c)
-    return F.when(kind == "doi", norm_doi(item)).when(kind == "arxiv", _arxiv_reference(item)).otherwise(item)
+    return _reference(c)["value"]
 
 
 def clamped(c: Column) -> Column:

@@ -43,10 +43,15 @@ def eligible(papers: DataFrame, round_no: int, only_included: bool = False) -> D
     return out.where(paper.included()) if only_included else out.where(F.coalesce(F.col("status") != "exclude", F.lit(True)))
 
 
+def beyond(frontier: DataFrame, most: int = FRONTIER_LIMIT) -> DataFrame:
+    """One row: whether a frontier holds more than `most` papers (refused); only as many are counted."""
+    return frontier.limit(most + 1).agg((F.count("*") > most).alias("refused"))
+
+
 def guard(frontier: DataFrame, force: bool = False, most: int = FRONTIER_LIMIT) -> None:
-    """Refuses frontiers of more than `most` papers; only as many are counted."""
-    if not force and (n := frontier.limit(most + 1).count()) > most:
-        raise ValueError(f"the frontier holds more than {n - 1} papers; filter first, or use force")
+    """Refuses frontiers of more than `most` papers."""
+    if not force and beyond(frontier, most).first()["refused"]:
+        raise ValueError(f"the frontier holds more than {most} papers; filter first, or use force")
 
 
 def snowball_round(frontier: DataFrame, edges: DataFrame, corpus: DataFrame, round_no: int, *, direction: str = "both", max_references: int | None = 200, max_citations: int | None = 50) -> DataFrame:

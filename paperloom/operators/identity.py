@@ -29,15 +29,25 @@ def numbering(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBERING), F.lit(0))
 
 
-def may_be_similar(a: Column, b: Column) -> Column:
-    """What any pair of normalized titles of ratio SIMILAR satisfies: equal numbering, near lengths, few edits.
+def most_edits(a: Column, b: Column) -> Column:
+    """The most edits between two titles of ratio SIMILAR: it counts a common subsequence, so they are at most (1 - SIMILAR) times the summed lengths."""
+    return F.floor(F.lit(1 - SIMILAR) * (F.length(a) + F.length(b)) + F.lit(1e-6)).cast("int")
 
-    A ratio counts a common subsequence, so the edit distance is at most (1 - SIMILAR) times the summed lengths.
-    """
+
+def near_lengths(a: Column, b: Column) -> Column:
+    return 2 * F.least(F.length(a), F.length(b)) >= F.lit(SIMILAR) * (F.length(a) + F.length(b))
+
+
+def few_edits(a: Column, b: Column) -> Column:
+    """Whether at most so many edits lie between two titles; counting ends where there are more."""
+    return F.call_function("levenshtein", a, b, most_edits(a, b)) >= 0
+
+
+def may_be_similar(a: Column, b: Column) -> Column:
+    """What any pair of normalized titles of ratio SIMILAR satisfies: equal numbering, near lengths, few edits."""
     total = F.length(a) + F.length(b)
     edits = F.floor(F.lit(1 - SIMILAR) * total).cast("int") + 1
-    near = 2 * F.least(F.length(a), F.length(b)) >= F.lit(SIMILAR) * total
-    return near & (numbering(a) == numbering(b)) & (F.levenshtein(a, b) <= edits)
+    return near_lengths(a, b) & (numbering(a) == numbering(b)) & (F.call_function("levenshtein", a, b, edits) >= 0)
 
 
 def similar_titles(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -60,15 +70,21 @@ def key_edges(papers: DataFrame) -> DataFrame:
 def fuzzy_pairs(papers: DataFrame) -> DataFrame:
     """Pairs of (title, year) groups of one prefix block whose titles are near-identical and whose years fit.
 
-    Records of equal title and year are one side of a pair, so that copies of a title cost nothing; a direction is tried only
-    if some record of its first side precedes one of the second.
+    Distinct titles are compared, so that copies cost nothing; they meet by block and numbering, and lengths and edits are
+    tested once for the two directions of a pair. A direction's ratio is taken only if some record of its first side precedes
+    one of the second.
     """
     titled = papers.select("seq", "year", text.norm_title(F.col("title")).alias("name")).where(F.length("name") >= FUZZY)
-    sides = titled.groupBy(F.substring("name", 1, PREFIX).alias("block"), "name", "year").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
-    left = sides.select("block", *(F.col(c).alias(f"{c}_a") for c in ("name", "year", "low")))
-    right = sides.select("block", *(F.col(c).alias(f"{c}_b") for c in ("name", "year", "high")))
-    pairs = left.join(right, "block").where((F.col("name_a") != F.col("name_b")) & (F.col("low_a") < F.col("high_b")) & _years_fit("year_a", "year_b"))
-    return similar_titles(pairs, "name_a", "name_b").select("name_a", "year_a", "low_a", "name_b", "year_b", "high_b")
+    sides = stored(titled.groupBy("name", "year").agg(F.min("seq").alias("low"), F.max("seq").alias("high")))
+    names = sides.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("name", "low", "high", F.substring("name", 1, PREFIX).alias("block"), F.array_join(numbering(F.col("name")), " ").alias("numbers"))
+    side = lambda s: names.select("block", "numbers", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "low", "high")))
+    met = side("x").join(side("y"), ["block", "numbers"]).where("name_x < name_y").where(near_lengths(F.col("name_x"), F.col("name_y"))).where(few_edits(F.col("name_x"), F.col("name_y")))
+    way = lambda a, b: F.when(F.col(f"low_{a}") < F.col(f"high_{b}"), F.struct(F.col(f"name_{a}").alias("name_a"), F.col(f"name_{b}").alias("name_b")))
+    ways = met.select(F.explode(F.array_compact(F.array(way("x", "y"), way("y", "x")))).alias("w")).select("w.*")
+    near = ways.where(_ratio(F.col("name_a"), F.col("name_b")) >= SIMILAR)
+    end = lambda s: sides.select(*(F.col(c).alias(f"{c}_{s}") for c in ("name", "year", "low", "high")))
+    pairs = near.join(end("a"), "name_a").join(end("b"), "name_b").where((F.col("low_a") < F.col("high_b")) & _years_fit("year_a", "year_b"))
+    return pairs.select("name_a", "year_a", "low_a", "name_b", "year_b", "high_b")
 
 
 def fuzzy_edges(papers: DataFrame) -> DataFrame:

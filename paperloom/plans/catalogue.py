@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import boolean, paper, text
 from paperloom.operators import filters, graph, identity, layout, lookup, report, screening, search
+from paperloom.plans.registry import QUERIES, SQL, query
+from paperloom.plans.registry import with_views as _with
 from paperloom.plans.schema import conform
 from paperloom.plans.views import CORPUS_SQL, EDGES_SQL, PAPERS_SQL, SQUEEZE, documents_as_papers, frontier, order_corpus, order_edges, part_frontier, table
+from paperloom.sources import sheets
 from paperloom.streaming import results as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "merged_papers"]
 
 YEAR_NOW = 2026
 FILTERS = {
@@ -26,22 +25,6 @@ BOOLEAN = '("of the" OR anded OR eren*) AND (the* OR from) NOT scum'
 TAXONOMY = {"taxonomy": [{"name": "area 2", "children": ["topic 4", "topic 0"]}, "area 0"]}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query and its SQL; WITH clauses of the derived views are put before the SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def _with(*views: str, then: str) -> str:
-    return f"WITH {', '.join(views)} {then}"
-
-
 def _term_sql(term: str) -> str:
     """A term's pattern for an engine without look-around."""
     bare = term.strip().strip('"').lower()
@@ -520,12 +503,8 @@ def literal_cells(spark, sf_dir):
 
 @query("runs_islands", "SELECT l_orderkey, l_returnflag AS flag, min(l_linenumber) AS low, max(l_linenumber) AS high FROM (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS island FROM (SELECT *, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) = l_returnflag THEN 0 ELSE 1 END AS new FROM lineitem)) GROUP BY l_orderkey, l_returnflag, island")
 def runs_islands(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    new = F.when(F.lag("l_returnflag").over(order) == F.col("l_returnflag"), 0).otherwise(1)
-    rows = table(spark, sf_dir, "lineitem").withColumn("new", new).withColumn("island", F.sum("new").over(order))
-    return rows.groupBy("l_orderkey", F.col("l_returnflag").alias("flag"), "island").agg(F.min("l_linenumber").alias("low"), F.max("l_linenumber").alias("high")).drop("island")
+    out = sheets.islands(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_returnflag")
+    return out.groupBy("l_orderkey", F.col("l_returnflag").alias("flag"), "island").agg(F.min("l_linenumber").alias("low"), F.max("l_linenumber").alias("high")).drop("island")
 
 
 # ------------------------------------------------------------------ extensions: windows over events
@@ -544,3 +523,6 @@ def event_sessions(spark, sf_dir):
 def merged_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records, merged and filtered: the table that a review works on."""
     return filters.apply_filters(identity.dedup(conform(documents_as_papers(spark, sf_dir))), FILTERS, YEAR_NOW)
+
+
+from paperloom.plans import catalogue_records  # noqa: E402, F401  registers its queries

@@ -19,6 +19,10 @@ from paperloom.sources import config as configs
 from paperloom.sources import records, sheets
 
 
+#: Unknown ids, problems and missing results that a command tells of; where there are more, the whole list is a table in the review's folder.
+TOLD = 1000
+
+
 class Review:
     """The folder holds config.yaml, papers/ (one folder for each version), raw/, batches, and logs.
 
@@ -34,10 +38,10 @@ class Review:
     # -------------------------------------------------------------- state
 
     @classmethod
-    def create(cls, spark: SparkSession, topic: str, root: str = "reviews", *, today: str | None = None) -> Review:
+    def create(cls, spark: SparkSession, topic: str, root: str = "reviews", *, today: str | None = None, name: str | None = None) -> Review:
         """A new review with a default configuration; an existing folder is not touched."""
         today = today or datetime.date.today().isoformat()
-        folder = Path(root) / f"{today}-{text.slug(topic)}"
+        folder = Path(root) / f"{today}-{text.slug(name or topic)}"
         if (folder / "config.yaml").exists():
             raise FileExistsError(f"{folder} holds a review already")
         folder.mkdir(parents=True, exist_ok=True)
@@ -100,44 +104,71 @@ class Review:
         self.log(stage, f"{added} new papers", added=added)
         return added
 
-    def _years(self) -> dict:
+    def take(self, step: str, found: DataFrame, metadata: dict[str, DataFrame] | None = None) -> int:
+        """Merges records that a step found elsewhere; returns how many papers are new."""
+        return self._merge(step, step, found, metadata)
+
+    def years(self) -> dict:
         f = self.config["filters"]
         return {"year_min": f.get("year_min"), "year_max": f.get("year_max")}
 
     # -------------------------------------------------------------- commands
 
-    def doctor(self) -> dict:
-        """What is at hand: versions, optional modules, keys of services."""
-        import importlib.util
+    @staticmethod
+    def capabilities(spark: SparkSession, services: dict | None = None) -> dict:
+        """What is at hand: versions, modules, which services answer, which keys are set; and the verdict: ready, degraded or not ready.
 
+        A service that does not answer degrades a review, as others can be asked; a missing module stops it.
+        """
+        import importlib.util
+        import platform
+
+        reached = {}
+        for name, service in (services or {}).items():
+            try:
+                reached[name] = next(iter(service.search("systematic review", 1)), None) is not None
+            except Exception as e:  # whatever a service fails with is told
+                reached[name] = f"{type(e).__name__}: {e}"[:160]
         modules = {m: importlib.util.find_spec(m) is not None for m in ("yaml", "pyarrow", "pandas")}
-        return {"spark": self.spark.version, "modules": modules, "keys": {k: k in os.environ for k in ("OPENALEX_API_KEY", "S2_API_KEY")}, "papers": self.papers().count()}
+        keys = {k: k in os.environ for k in ("OPENALEX_API_KEY", "S2_API_KEY", "OPENALEX_EMAIL", "PAPERLOOM_SHEET_ACCOUNT")}
+        verdict = "not ready" if not all(modules.values()) else "degraded" if any(r is not True for r in reached.values()) else "ready"
+        return {"verdict": verdict, "python": platform.python_version(), "spark": spark.version, "modules": modules, "services": reached, "keys": keys}
 
-    def seed(self, corpora: dict[str, DataFrame], queries: list[str] | None = None, metadata: dict[str, DataFrame] | None = None) -> int:
+    def doctor(self, services: dict | None = None) -> dict:
+        """capabilities(), and how many papers the review holds; services are probed if given."""
+        return self.capabilities(self.spark, services) | {"papers": self.papers().count()}
+
+    def seed(self, corpora: dict[str, DataFrame], queries: list[str] | None = None, metadata: dict[str, DataFrame] | None = None, limit: int | None = None) -> int:
         """Searches natural-language queries, first source with an answer wins, and adds papers known before; returns how many are new."""
         own, prefix = queries or self.config["seed"]["queries"], "x" if queries else "q"
         parts = []
         if own:
-            parts.append(search.seed(list(corpora.values()), {f"{prefix}{i}": q for i, q in enumerate(own, 1)}, int(self.config["seed"]["per_query"]), **self._years()))
+            parts.append(search.seed(list(corpora.values()), {f"{prefix}{i}": q for i, q in enumerate(own, 1)}, int(limit or self.config["seed"]["per_query"]), **self.years()))
         if not queries and self.config["seed"]["papers"]:
             parts.append(self._resolved(self.config["seed"]["papers"], corpora, "seed:known")[0])
         return sum(self._merge("seed", "seed", p, metadata) for p in parts)
 
-    def search(self, corpora: dict[str, DataFrame], queries: list[str] | None = None, metadata: dict[str, DataFrame] | None = None) -> int:
+    def search(self, corpora: dict[str, DataFrame], queries: list[str] | None = None, metadata: dict[str, DataFrame] | None = None, limit: int | None = None) -> int:
         """Boolean queries over each configured source; returns how many papers are new."""
         own, prefix = queries or self.config["search"]["queries"], "x" if queries else "q"
         chosen = {k: c for k, c in corpora.items() if k in self.config["search"]["sources"]}
         if not own or not chosen:
             return 0
-        found = search.fan_out(chosen, {f"{prefix}{i}": q for i, q in enumerate(own, 1)}, int(self.config["search"]["per_query"]), **self._years())
+        found = search.fan_out(chosen, {f"{prefix}{i}": q for i, q in enumerate(own, 1)}, int(limit or self.config["search"]["per_query"]), **self.years())
         return self._merge("search", "search", found, metadata)
 
-    def snowball(self, edges: DataFrame, corpus: DataFrame, *, round_no: int | None = None, direction: str | None = None, force: bool = False, metadata: dict[str, DataFrame] | None = None) -> dict:
+    def frontier(self, round_no: int | None = None, force: bool = False, most: int = graph.FRONTIER_LIMIT) -> DataFrame:
+        """The papers that a round starts from, with their ids; refused if they are too many."""
+        papers = self.papers()
+        out = graph.eligible(papers, round_no or graph.next_round(papers), self.config["snowball"].get("from") == "included").withColumn("id", paper.paper_id())
+        graph.guard(out, force, most)
+        return out
+
+    def snowball(self, edges: DataFrame, corpus: DataFrame, *, round_no: int | None = None, direction: str | None = None, force: bool = False, most: int = graph.FRONTIER_LIMIT, metadata: dict[str, DataFrame] | None = None) -> dict:
         """One round of expansion; edges and corpus as in graph.snowball_round."""
-        s, papers = self.config["snowball"], self.papers()
-        n = round_no or graph.next_round(papers)
-        frontier = graph.eligible(papers, n, s.get("from") == "included").withColumn("id", paper.paper_id())
-        graph.guard(frontier, force)
+        s = self.config["snowball"]
+        n = round_no or graph.next_round(self.papers())
+        frontier = self.frontier(n, force, most)
         found = graph.snowball_round(frontier, edges, corpus, n, direction=direction or s["direction"], max_references=s["max_references"], max_citations=s["max_citations"])
         stats = graph.round_stats(frontier, found).first().asDict()
         numbered = layout.numbered(found, [F.col("start_id"), F.col("direction"), F.coalesce("citation_count", F.lit(0)).desc(), F.col("pos")], "_n").withColumn("seq", F.col("_n"))
@@ -152,22 +183,22 @@ class Review:
         found, errors = lookup.resolve(asked, first, second, tag, *list(corpora.values())[2:])
         return found.withColumn("seq", F.col("request_seq")), errors
 
-    def add(self, items: list[str], corpora: dict[str, DataFrame], metadata: dict[str, DataFrame] | None = None) -> tuple[int, list[str]]:
-        """Adds papers by DOI, arXiv id or title; they are protected from filters. Returns how many are new, and errors."""
-        found, errors = self._resolved(items, corpora, "manual")
+    def add(self, items: list[str], corpora: dict[str, DataFrame], metadata: dict[str, DataFrame] | None = None, tag: str = "manual") -> tuple[int, list[str]]:
+        """Adds papers by DOI, arXiv id or title; they are protected from filters. Returns how many are new, and an error for each item not found."""
+        found, errors = self._resolved(items, corpora, tag)
         added = self._merge("add", "manual", found, metadata)
         return added, [f"{r['item']}: {r['why']}" for r in errors.collect()]
 
-    def _completed(self, papers: DataFrame, metadata: dict[str, DataFrame]) -> DataFrame:
+    def _completed(self, papers: DataFrame, metadata: dict[str, DataFrame], force: bool = False) -> DataFrame:
         for source, table in metadata.items():
             key = {"s2": paper.lookup_key}.get(source, paper.lookup_doi)
-            out = lookup.complete(papers.withColumn("_key", key()), table.withColumn("_key", key()), "_key", source)
+            out = lookup.complete(papers.withColumn("_key", key()), table.withColumn("_key", key()), "_key", source, force=force)
             papers = out.drop("_key")
         return papers
 
-    def complete(self, metadata: dict[str, DataFrame]) -> None:
-        """Fills blanks from metadata tables by source, in order."""
-        self.save(self._completed(self.papers(), metadata))
+    def complete(self, metadata: dict[str, DataFrame], force: bool = False) -> None:
+        """Fills blanks from metadata tables by source, in order; with force also where a source was asked before."""
+        self.save(self._completed(self.papers(), metadata, force))
         self.log("complete", "metadata completed")
 
     def filter(self, year_now: int | None = None) -> dict[str, int]:
@@ -228,11 +259,13 @@ class Review:
             out = {
                 "files": len(fresh),
                 "applied": rows.where(screening.usable(stage)).join(screening.aliases(papers), rows["id"] == F.col("key"), "left_semi").count(),
-                "unknown_ids": [r["id"] for r in screening.unknown_ids(papers, rows).collect()],
-                "problems": [f"{r['id']}: {r['problem']}" for r in screening.problems(papers, rows, stage, names).collect()],
-                "bad_lines": [f"{r['file']}:{r['line']}" for r in bad.collect()],
-                "missing": {r["batch"]: sorted(r["ids"]) for r in screening.missing_results(saved, wanted, rows, stage).groupBy("batch").agg(F.collect_list("id").alias("ids")).collect()},
+                "unknown_ids": self._told(stage, "unknown_ids", screening.unknown_ids(papers, rows).select("id"), lambda r: r["id"]),
+                "problems": self._told(stage, "problems", screening.problems(papers, rows, stage, names), lambda r: f"{r['id']}: {r['problem']}"),
+                "bad_lines": self._told(stage, "bad_lines", bad, lambda r: f"{r['file']}:{r['line']}"),
+                "missing": {},
             }
+            for batch, ident in self._told(stage, "missing", screening.missing_results(saved, wanted, rows, stage).orderBy("batch", "id"), tuple):
+                out["missing"].setdefault(batch, []).append(ident)
         finally:
             rows.unpersist()
         if fresh:
@@ -242,6 +275,13 @@ class Review:
         self.log("apply", f"{out['applied']} {stage} results", **{k: out[k] for k in ("files", "applied")})
         return out
 
+    def _told(self, stage: str, what: str, rows: DataFrame, say) -> list:
+        """The first TOLD rows in words; all of them where they are more, as a table in the stage's folder."""
+        first = rows.limit(TOLD + 1).collect()
+        if len(first) > TOLD:
+            rows.write.mode("overwrite").json(self._uri(stage, "reports", what))
+        return [say(r) for r in first[:TOLD]]
+
     def _lines(self, stage: str, names: list[str]) -> DataFrame:
         """(file, file_no, line, value) of the given files of a stage, in their order."""
         empty = self.spark.createDataFrame([], "file string, file_no int, line int, value string")
@@ -265,13 +305,7 @@ class Review:
 
     def show(self, where: list[str] | None = None, fields: list[str] | None = None, sort: str | None = None, limit: int = 50) -> list[tuple]:
         """Papers that meet all conditions, as shortened texts; citations, found and reason are short names of fields."""
-        rows = filters.where(self.papers(), where or [])
-        rows = layout.sort_by(rows, sort) if sort else rows.orderBy("seq")
-        named = {"id": paper.paper_id(), "citations": F.col("citation_count"), "found": F.array_join(paper.found_kinds(), ","), "reason": F.coalesce("excluded_reason", "status_reason"), "hits": paper.hits(), "link": paper.link()}
-        chosen = fields or ["id", "year", "citations", "title"]
-        arrays = {f for f, t in self.papers().dtypes if t.startswith("array")}
-        column = lambda f: named.get(f, F.concat(F.array_join(F.slice(F.col(f), 1, 3), ", "), F.when(F.size(f) > 3, "…").otherwise("")) if f in arrays else F.col(f))
-        return [tuple(r) for r in rows.limit(limit).select(*(text.shorten(column(f).cast("string"), 110 if f in ("title", "short_summary") else 300).alias(f"f{i}") for i, f in enumerate(chosen))).collect()]
+        return [tuple(r) for r in layout.shown(self.papers(), where, fields, sort, limit).collect()]
 
     def set(self, ident: str, **changes) -> int:
         """Sets fields of a paper by hand; they are kept from results and merges. Returns how many papers it was."""
@@ -310,6 +344,6 @@ class Review:
         self.log("export", path)
         return path
 
-    def sheet_plan(self, spreadsheet: str, account: str | None = None) -> list[str]:
+    def sheet_plan(self, spreadsheet: str, account: str | None = None, papers_id: int = 0) -> list[str]:
         """Writes the plan of tool calls that builds the spreadsheet."""
-        return sheets.write_plan(sheets.sheet_plan(self.tabs(False), spreadsheet, account=account), str(self.folder / "sheet_plan"))
+        return sheets.write_plan(sheets.sheet_plan(self.tabs(False), spreadsheet, account=account, papers_id=papers_id), str(self.folder / "sheet_plan"))

@@ -131,6 +131,12 @@ def read_meta(path: str) -> dict:
     return (json.loads(first) if first else {}).get("_meta", {})
 
 
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, meta): the header rows of JSON-lines files, as JSON."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\uFEFF", "").alias("value"))
+    return lines.select("file", F.get_json_object("value", "$._meta").alias("meta")).where("meta is not null")
+
+
 def as_json(papers: DataFrame) -> DataFrame:
     """(seq, value): each record as a JSON object with its id, without nulls, empty lists and round 0."""
     empty = lambda n: F.when(F.size(n) > 0, F.col(n))
