@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.batches import cut
+
 #: The base patterns. Possessive repeats and look-behinds match what the plain forms match, leftmost and without overlap,
 #: but in time linear in the text: a run of characters is tried from its start (or from the end of the last match) alone.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -28,15 +30,15 @@ CANDIDATES = {
 }
 #: Gazetteers: words before a span that announce private data, words that announce public data, and common given names.
 PRIVATE_WORDS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "auth", "bearer", "ssn", "social security", "iban", "account", "contact", "e-mail", "email", "mail", "name is", "signed", "sincerely", "patient", "regards")
-PUBLIC_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "isbn", "issn", "doi", "version", "build", "uuid", "figure", "table", "chapter")
+PUBLIC_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "isbn", "issn", "doi", "version", "build", "uuid", "figure", "table", "chapter", "part", "model", "catalogue", "film", "brand")
 GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Maria", "Thomas", "Anna", "Peter", "Laura", "Hans", "Sabine", "Klaus", "Ursula", "Pierre", "Marie", "Jean", "Sophie", "Luc", "Carlos", "Carmen", "José", "Lucia", "Juan")
 #: Characters before and after a span that context labelers see.
 CONTEXT = 32
 #: Labelers, and how often a vote of each is thought to be right before any data are seen.
-LABELERS = {"announced": 0.9, "assigned": 0.8, "gazetteer": 0.8, "ordinary": 0.8, "shape": 0.55, "mixture": 0.55}
+LABELERS = {"announced": 0.9, "assigned": 0.8, "gazetteer": 0.8, "structure": 0.75, "followed": 0.75}
 #: What those beliefs weigh, in votes; the share of candidates on which a labeler is thought to have an opinion.
 BELIEF, OPINION = 10, 0.6
-EM_ROUNDS, FIT_ROUNDS = 60, 300
+EM_ROUNDS, FIT_ROUNDS = 60, 400
 
 
 def _digits(x: Column) -> Column:
@@ -59,27 +61,73 @@ def _valid(kind: str, x: Column) -> Column:
     return F.length(_digits(x)).between(8, 15)
 
 
-def _plausible(kind: str, x: Column) -> Column:
-    return x.rlike("[0-9]") & x.rlike("[A-Za-z]") if kind == "secret" else F.lit(True)
+def _mod97(x: Column) -> Column:
+    """The remainder that an account number's check digits make 1: letters count as 10 to 35, the first four characters come last."""
+    moved = F.concat(F.substring(x, 5, 40), F.substring(x, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def _distinct(x: Column) -> Column:
+    return F.size(F.array_distinct(F.split(x, "")))
+
+
+def _words(which: tuple[str, ...]) -> str:
+    return r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(which) + r")[\s\"'=:(\[]*$"
+
+
+def _near(which: tuple[str, ...]) -> str:
+    return r"(?i)^[^.!?\n]*?(?<![\p{L}\p{N}])(?:" + "|".join(which) + r")(?![\p{L}\p{N}])"
 
 
 def votes(kind: Column, x: Column, before: Column, after: Column) -> dict[str, Column]:
     """Each labeler's vote on a candidate: 1 private, -1 not, 0 no opinion."""
     vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
-    words = lambda w: r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(w) + r")[\s\"'=:(\[]*$"
-    hexes = x.rlike("^(?:[0-9a-fA-F]{20,}|[A-Za-z0-9_+/=-]{24,})$")
+    secret, person = kind == "secret", kind == "person"
+    named = x.rlike(" (?:" + "|".join(GIVEN_NAMES) + ")(?: |$)")
+    # All that the characters of a span tell is one labeler, as parts of it would agree for no other reason.
+    digits = F.regexp_count(x, F.lit("[0-9]"))
+    sound = (
+        F.when(kind == "iban", _mod97(x) == 1)
+        .when(kind == "national_id", x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"))
+        .when(kind == "spelled_email", x.rlike("(?:dot|DOT)[\\])] ?[A-Za-z]{2,6}$"))
+        .when(secret & ((digits == 0) | x.rlike("^[0-9-]+$|[-_/+=]{2,}|^(?:[A-Za-z]?[a-z]{2,}+[-_/+=]*+)++[0-9]{0,4}$") | (_distinct(x) < 8)), F.lit(False))
+        .when(secret & (_distinct(x) >= 11) & (digits * 16 >= F.length(x)), F.lit(True))
+    )
     return {
-        "shape": vote((kind != "secret") | hexes, (kind == "secret") & x.rlike("[-_/+=]{2,}")),
-        "announced": vote(before.rlike(words(PRIVATE_WORDS)), before.rlike(words(PUBLIC_WORDS))),
+        "announced": vote(before.rlike(_words(PRIVATE_WORDS)), before.rlike(_words(PUBLIC_WORDS))),
         "assigned": vote(before.rlike("[=:]\\s*[\"']?$"), before.rlike("[/\\\\.@#]$")),
-        "gazetteer": vote((kind == "person") & x.rlike(" (?:" + "|".join(GIVEN_NAMES) + ")(?: |$)"), after.rlike("^(?:/|\\.(?:html?|php|png|jpe?g|js|css|zip|gz))")),
-        "ordinary": vote(F.lit(False), x.rlike("^(?:[a-z]{2,}+[-_/+=]?+)++[0-9]{0,4}$")),
-        "mixture": vote(F.length(F.regexp_replace(x, "[^0-9]", "")) * 4 >= F.length(x), ~x.rlike("[0-9]") & (kind == "secret")),
+        "gazetteer": vote(person & named, person | after.rlike("^(?:/|\\.(?:html?|php|png|jpe?g|js|css|zip|gz))")),
+        "structure": vote(F.coalesce(sound, F.lit(False)), ~F.coalesce(sound, F.lit(True))),
+        "followed": vote(after.rlike(_near(PRIVATE_WORDS)), after.rlike(_near(PUBLIC_WORDS))),
     }
 
 
 _SPAN = "struct<kind:string,start:int,stop:int,value:string,before:string,after:string>"
-_LENGTHS = (16, 24, 33, 41)
+_LENGTHS = (20, 28, 36)
+
+
+def traits(c: Column) -> dict[str, Column]:
+    """What the classifier sees of a candidate: its kind, features of the span, and of what stands around it. None is a vote; each has few values."""
+    x, before = c["value"], c["before"]
+    share = lambda pattern: F.regexp_count(x, F.lit(pattern)) * 4 / F.length(x)
+    steps = F.lit(0)
+    for n in _LENGTHS:
+        steps = steps + F.when(F.length(x) >= n, 1).otherwise(0)
+    return {
+        "kind": c["kind"],
+        "length": steps,
+        "digits": F.least(F.ceil(share("[0-9]")), F.lit(2)).cast("int"),
+        "capitals": F.least(F.ceil(share("[A-Z]")), F.lit(2)).cast("int"),
+        "kinds_of_characters": F.when(_distinct(x) >= 11, 2).when(_distinct(x) >= 8, 1).otherwise(0),
+        "sound": F.when((c["kind"] == "iban") & (_mod97(x) == 1) | (c["kind"] == "person") & x.rlike("\\. \\p{Lu}\\p{L}+ \\p{Lu}") | (c["kind"] == "national_id") & ~x.rlike("^(?:000|666|9)|-00-|0000$"), 1).otherwise(0),
+        "lead": F.when(before.rlike("[=:]\\s*[\"']?$"), 2).when(before.rlike("\\s$|^$"), 0).otherwise(1),
+        "topic": F.when(before.rlike(_words(PRIVATE_WORDS)), 2).when(before.rlike(_words(PUBLIC_WORDS)), 0).otherwise(1),
+    }
+
+
+#: The most patterns of traits that come to the driver: all there can be.
+PATTERNS = 5 * 4 * 3 * 3 * 3 * 2 * 3 * 3
 
 
 def _matches(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -92,13 +140,19 @@ def _matches(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return rows.select("*", *gaps)
 
 
+#: Matches of a text whose positions are added up at once; the sums of such blocks are added up in turn, so that no list is rebuilt for each match.
+BLOCK = 128
+
+
 def _spans(kind: str, keep) -> Column:
     """The matches of a kind that keep(value) accepts, as an array of _SPAN; positions in code points, end exclusive.
 
     The lengths of gaps and matches add up to positions.
     """
     gaps, found = F.col(f"_gaps_{kind}"), F.col(f"_found_{kind}")
-    none = F.array().cast(f"array<{_SPAN}>")
+    none, places = F.array().cast(f"array<{_SPAN}>"), F.array().cast("array<int>")
+    last = F.size(found) - 1
+    of = lambda b: F.sequence(b, F.least(b + (BLOCK - 1), last))
 
     def step(a: Column, i: Column) -> Column:
         x, gap = F.get(found, i), F.get(gaps, i)
@@ -107,8 +161,14 @@ def _spans(kind: str, keep) -> Column:
         row = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"))
         return F.struct(stop.alias("at"), F.when(keep(x), F.concat(a["spans"], F.array(row))).otherwise(a["spans"]).cast(f"array<{_SPAN}>").alias("spans"))
 
-    collected = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-    return F.when(F.size(found) > 0, collected).otherwise(none)
+    def add(a: Column, b: Column) -> Column:
+        length = F.aggregate(of(b), F.lit(0), lambda n, i: n + F.length(F.get(gaps, i)) + F.length(F.get(found, i)))
+        return F.struct((a["at"] + length).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+
+    blocks = F.sequence(F.lit(0), last, F.lit(BLOCK))
+    starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), places.alias("starts")), add, lambda a: a["starts"])
+    within = lambda at, k: F.aggregate(of(k * BLOCK), F.struct(at.alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+    return F.when(F.size(found) > 0, F.flatten(F.transform(starts, within))).otherwise(none)
 
 
 def _keeper(test, kind: str):
@@ -117,93 +177,122 @@ def _keeper(test, kind: str):
 
 @dataclass(frozen=True)
 class SpanModel:
-    """How much a labeler's vote for private speaks for it (0.5: nothing), and the span classifier's weights by feature."""
+    """By kind and labeler: how much a vote for private speaks for it (0.5: nothing). And the span classifier's weights by feature."""
 
-    reliability: dict[str, float]
+    reliability: dict[tuple[str, str], float]
     weights: dict[str, float]
 
     def log_odds(self, c: Column) -> Column:
+        """The classifier: a sum of weights of the features that a candidate has."""
+        values = traits(c)
         total = F.lit(self.weights.get("bias", 0.0))
-        for name, value in _traits(c).items():
-            for feature, w in self.weights.items():
-                if feature.startswith(f"{name}="):
-                    total = total + F.when(value == _typed(feature.split("=", 1)[1]), w).otherwise(0.0)
+        for feature, w in self.weights.items():
+            if feature != "bias":
+                kind, _, (name, _, value) = (*feature.partition(":")[:2], feature.partition(":")[2].partition("="))
+                same = values[name] == (value if name == "kind" else int(value))
+                total = total + F.when(same if name == "kind" else (values["kind"] == kind) & same, w).otherwise(0.0)
         return total
 
 
-def _typed(x: str):
-    return int(x) if x.lstrip("-").isdigit() else x
+def _features(r: dict) -> list[str]:
+    """The features of a pattern of traits: its kind, and each trait by itself for that kind."""
+    return ["bias", f"{r['kind']}:kind={r['kind']}", *(f"{r['kind']}:{k}={v}" for k, v in r.items() if k not in ("kind", "n", "p"))]
 
 
-def _traits(c: Column) -> dict[str, Column]:
-    """What EM and the classifier see of a candidate: its kind, length class and votes; few values each."""
-    length = F.length(c["value"])
-    steps = F.lit(0)
-    for n in _LENGTHS:
-        steps = steps + F.when(length >= n, 1).otherwise(0)
-    return {"kind": c["kind"], "length": steps, **votes(c["kind"], c["value"], c["before"], c["after"])}
+_logit = lambda p: math.log(p / (1 - p))
+_sigmoid = lambda z: 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit(docs: DataFrame, *, text_column: str = "text") -> SpanModel:
-    """Fits the span classifier on all candidates of all documents, without labels.
+def estimate(counts: list[dict]) -> tuple[list[float], dict[tuple[str, str], float]]:
+    """Expectation-maximisation over counts of vote patterns (kind, a vote by each labeler, n): the chance that each is private, and reliabilities.
 
-    Candidates are counted by kind, length class and votes (at most 18,225 rows, whatever the corpus), and only the counts
-    come to the driver. Expectation-maximisation over them estimates each kind's share of private spans and how each labeler
-    votes on private spans and on others, abstaining included, starting from what is believed of it; so a labeler that says
-    the same of everything counts for nothing. A logistic classifier is then fitted on the posteriors.
+    For each kind, its share of private spans and how each labeler votes on private spans and on others, abstaining
+    included, start from what is believed and follow the data; a labeler that says the same of everything counts for nothing.
     """
-    rows = _matches(docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("_text")), CANDIDATES)
-    found = rows.select(F.explode(F.concat(*(_spans(k, _keeper(_plausible, k)) for k in CANDIDATES))).alias("c"))
-    traits = [v.alias(k) for k, v in _traits(F.col("c")).items()]
-    counts = [r.asDict() for r in found.select(*traits).groupBy("kind", "length", *LABELERS).count().orderBy("kind", "length", *LABELERS).collect()]
-
-    believed = {x: {True: {1: OPINION * r, -1: OPINION * (1 - r), 0: 1 - OPINION}, False: {1: OPINION * (1 - r), -1: OPINION * r, 0: 1 - OPINION}} for x, r in LABELERS.items()}
-    chance = believed  # of each vote of each labeler, given whether the candidate is private
-    share = {k: 0.5 for k in CANDIDATES}
-    logit = lambda p: math.log(p / (1 - p))
-    sigmoid = lambda z: 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-    posterior = [0.5] * len(counts)
+    belief = {x: {True: {1: OPINION * r, -1: OPINION * (1 - r), 0: 1 - OPINION}, False: {1: OPINION * (1 - r), -1: OPINION * r, 0: 1 - OPINION}} for x, r in LABELERS.items()}
+    kinds = sorted({r["kind"] for r in counts})
+    chance, share, posterior = {k: belief for k in kinds}, dict.fromkeys(kinds, 0.5), [0.5] * len(counts)
     for _ in range(EM_ROUNDS):
-        posterior = [sigmoid(logit(share[r["kind"]]) + sum(math.log(chance[x][True][r[x]] / chance[x][False][r[x]]) for x in LABELERS)) for r in counts]
-        for k in CANDIDATES:
-            own = [(p, r["count"]) for p, r in zip(posterior, counts) if r["kind"] == k]
-            share[k] = (sum(p * n for p, n in own) + 1) / (sum(n for _, n in own) + 2)
-        chance = {x: {} for x in LABELERS}
-        for x in LABELERS:
-            for private in (True, False):
-                seen = {v: BELIEF * believed[x][private][v] for v in (1, 0, -1)}
-                for p, r in zip(posterior, counts):
-                    seen[r[x]] += r["count"] * (p if private else 1 - p)
-                whole = sum(seen.values())
-                chance[x][private] = {v: n / whole for v, n in seen.items()}
-    sure = {x: round(c[True][1] / (c[True][1] + c[False][1]), 6) for x, c in chance.items()}
-
-    total = sum(r["count"] for r in counts) or 1
-    names = [["bias", *(f"{k}={r[k]}" for k in ("kind", "length", *LABELERS) if k not in LABELERS or r[k])] for r in counts]
-    weights = dict.fromkeys((n for row in names for n in row), 0.0)
-    for _ in range(FIT_ROUNDS if counts else 0):
+        posterior = [_sigmoid(_logit(share[r["kind"]]) + sum(math.log(c[True][r[x]] / c[False][r[x]]) for x, c in chance[r["kind"]].items())) for r in counts]
+        for k in kinds:
+            own = [(p, r) for p, r in zip(posterior, counts) if r["kind"] == k]
+            share[k] = (sum(p * r["n"] for p, r in own) + 1) / (sum(r["n"] for _, r in own) + 2)
+            chance[k] = {x: {} for x in LABELERS}
+            for x in LABELERS:
+                for private in (True, False):
+                    seen = {v: BELIEF * belief[x][private][v] for v in (1, 0, -1)}
+                    for p, r in own:
+                        seen[r[x]] += r["n"] * (p if private else 1 - p)
+                    chance[k][x][private] = {v: n / sum(seen.values()) for v, n in seen.items()}
+    return posterior, {(k, x): round(c[True][1] / (c[True][1] + c[False][1]), 6) for k in kinds for x, c in chance[k].items()}
+
+
+def _trained(patterns: list[dict]) -> dict[str, float]:
+    """Logistic weights by feature for patterns of traits with n candidates, of which p are private by expectation.
+
+    Kinds count alike, and a pattern by the root of its n, so that what is rare is learnt beside what is common.
+    """
+    names = [_features(r) for r in patterns]
+    weights, held = dict.fromkeys((n for row in names for n in row), 0.0), {}
+    for r in patterns:
+        held[r["kind"]] = held.get(r["kind"], 0) + math.sqrt(r["n"])
+    for _ in range(FIT_ROUNDS if patterns else 0):
         slope = dict.fromkeys(weights, 0.0)
-        for row, p, r in zip(names, posterior, counts):
-            error = (sigmoid(sum(weights[n] for n in row)) - p) * r["count"] / total
+        for row, r in zip(names, patterns):
+            error = (_sigmoid(sum(weights[n] for n in row)) - r["p"] / r["n"]) * math.sqrt(r["n"]) / held[r["kind"]] / len(held)
             for n in row:
                 slope[n] += error
         for n in weights:
-            weights[n] -= 1.0 * (slope[n] + 1e-4 * weights[n])
-    return SpanModel(sure, {n: round(w, 6) for n, w in weights.items()})
+            weights[n] -= 2.0 * (slope[n] + 1e-4 * weights[n])
+    return {n: round(w, 6) for n, w in weights.items()}
 
 
-def annotate(docs: DataFrame, model: SpanModel, *, text_column: str = "text") -> DataFrame:
-    """docs with base and spans: arrays of (kind, start, stop), by kind as listed in BASE and CANDIDATES, then by start.
+def fit(spotted: DataFrame) -> SpanModel:
+    """Fits the span classifier on all candidates (column `more` of spot()) of all documents, without labels.
 
-    base holds the base patterns' valid matches; spans adds the candidates that the classifier accepts. A null text has none.
+    Only counts come to the driver, bounded whatever the corpus holds: candidates by kind and votes (five times 3^5 rows at
+    most), from which estimate() has reliabilities and the chance that a candidate is private; then, with these chances added
+    up, candidates by their traits (PATTERNS rows at most), which a logistic classifier is trained on.
     """
+    c = F.col("c")
+    seen = votes(c["kind"], c["value"], c["before"], c["after"])
+    told = [v.alias(f"t_{k}") for k, v in traits(c).items()]
+    counted = spotted.select(F.explode("more").alias("c")).select(*(v.alias(k) for k, v in seen.items()), *told)
+    counted = cut(counted.groupBy(*counted.columns).agg(F.count("*").alias("n")))
+    key = [F.col("t_kind").alias("kind"), *LABELERS]
+    counts = [r.asDict() for r in counted.groupBy(*key).agg(F.sum("n").alias("n")).orderBy("kind", *LABELERS).collect()]
+    if not counts:
+        return SpanModel({}, {})
+    posterior, reliability = estimate(counts)
+    chances = spotted.sparkSession.createDataFrame([(r["kind"], *(r[x] for x in LABELERS), p) for r, p in zip(counts, posterior)], ", ".join(["t_kind string", *(f"{x} int" for x in LABELERS), "p double"]))
+    names = [t for t in counted.columns if t.startswith("t_")]
+    summed = counted.join(F.broadcast(chances), ["t_kind", *LABELERS]).groupBy(*names).agg(F.sum("n").alias("n"), F.sum(F.round(F.col("n") * F.col("p"), 9)).alias("p")).orderBy(*names)
+    patterns = [{k.removeprefix("t_"): v for k, v in r.asDict().items()} for r in summed.collect()]
+    return SpanModel(reliability, _trained(patterns))
+
+
+def spot(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """docs with base (arrays of kind, start, stop of the base patterns' valid matches) and more (the candidates, with what stands around them)."""
     keep = docs.columns
     rows = _matches(docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit(""))), BASE | CANDIDATES)
-    rows = rows.select(*keep, F.concat(*(_spans(k, _keeper(_valid, k)) for k in BASE)).alias("_base"), F.concat(*(_spans(k, _keeper(_plausible, k)) for k in CANDIDATES)).alias("_more"))
-    short = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
-    base = F.transform("_base", short)
-    more = F.transform(F.filter("_more", lambda c: model.log_odds(c) > 0), short)
-    return rows.select(*keep, base.alias("base"), F.concat(base, more).alias("spans"))
+    every = lambda kind, x: F.lit(True)
+    base, more = (F.concat(*(_spans(k, _keeper(test, k)) for k in kinds)) for kinds, test in ((BASE, _valid), (CANDIDATES, every)))
+    return rows.select(*keep, F.transform(base, _short).alias("base"), more.alias("more"))
+
+
+def _short(c: Column) -> Column:
+    return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
+
+
+def judged(spotted: DataFrame, model: SpanModel) -> DataFrame:
+    """spotted with spans in place of more: base and the candidates that the classifier accepts, by kind as listed in BASE and CANDIDATES, then by start."""
+    accepted = F.transform(F.filter("more", lambda c: model.log_odds(c) > 0), _short)
+    return spotted.withColumn("spans", F.concat("base", accepted)).drop("more")
+
+
+def annotate(docs: DataFrame, model: SpanModel, *, text_column: str = "text") -> DataFrame:
+    """docs with base and spans (see judged()). A null text has none."""
+    return judged(spot(docs, text_column=text_column), model)
 
 
 def listed(spans: str) -> Column:
@@ -225,18 +314,23 @@ def redacted(text: Column, spans: str) -> Column:
 
 
 def redact(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """docs with each personal span of its text replaced by its kind in brackets; other columns as they are, null stays null."""
+    """docs with each personal span of its text replaced by its kind in brackets; other columns as they are, null stays null.
+
+    Texts are searched once: they are written with what was found in them, as the classifier is fitted on all of it.
+    """
     others = [c for c in docs.columns if c != text_column]
     rows = docs.select(F.col(text_column).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("others"))  # names can't clash in here
-    found = annotate(rows, fit(rows))
+    spotted = cut(spot(rows))
+    found = judged(spotted, fit(spotted))
     return found.select(*(redacted(F.col("text"), "spans").alias(c) if c == text_column else F.col("others")[c].alias(c) for c in docs.columns))
 
 
 def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, base and spans of every row of docs (see annotate), with a classifier fitted on all of docs.
+    """id, base and spans of every row of docs (see judged()), with a classifier fitted on all of docs.
 
-    Row by row, without a shuffle of text. A null or empty text has no spans; repeated rows and null ids stay as they are;
-    other columns are not read. Without any candidate only the base patterns count.
+    Row by row, without a shuffle of text: texts are searched once, and what is found is written, not the texts. A null or
+    empty text has no spans; repeated rows and null ids stay as they are; other columns are not read. Without any candidate
+    only the base patterns count.
     """
-    rows = docs.select(id_column, text_column)
-    return annotate(rows, fit(rows, text_column=text_column), text_column=text_column).select(id_column, "base", "spans")
+    spotted = cut(spot(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))).select("id", "base", "more"))
+    return judged(spotted, fit(spotted)).select(F.col("id").alias(id_column), "base", "spans")

@@ -348,3 +348,60 @@ def test_substring_dedup_deals_null_and_hot_ids(spark):
 def test_substring_dedup_ids_must_be_numbers(spark):
     with pytest.raises(TypeError):
         substring_dedup.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def private_cases(rng) -> list[tuple[str, str, str, bool]]:
+    """(kind, text with {} for the span, span, private): spans of each kind with and without words that announce them, and look-alikes."""
+    sha = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    key = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(rng.randint(22, 38))) + "7k"
+    lower = lambda n: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(n))
+    name = lambda: lower(rng.randint(4, 8)).capitalize()
+
+    def iban(sound: bool) -> str:
+        country, account = rng.choice(["DE", "GB", "FR"]), "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+        return f"{country}{(check if sound else (check + rng.randint(1, 90)) % 97):02d}{account}"
+
+    ssn = lambda sound: f"{rng.randint(100, 665) if sound else rng.choice(['000', '666', '912'])}-{rng.randint(11, 98)}-{rng.randint(1000, 9999)}"
+    given = lambda: rng.choice(pii.GIVEN_NAMES)
+    made = {
+        "secret": ([('note token = "{}" end', sha), ("the api_key: {} here", key), ("password {} was set", key), ("she typed {} twice", key)], [("see commit {} there", sha), ("the md5 {} of it", sha), ("a {} idea", lambda: "-".join(lower(rng.randint(4, 7)) for _ in range(4))), ("the {} road", lambda: lower(24))]),
+        "national_id": ([("his SSN {} is known", lambda: ssn(True)), ("social security: {} of hers", lambda: ssn(True)), ("the number {} on file", lambda: ssn(True))], [("part {} is out of stock", lambda: ssn(False)), ("model {} sold well", lambda: ssn(False)), ("see figure {} below", lambda: ssn(rng.random() < 0.3))]),
+        "iban": ([("IBAN {} please", lambda: iban(True)), ("my account: {} there", lambda: iban(True)), ("pay {} soon", lambda: iban(True))], [("isbn {} is listed", lambda: iban(False)), ("catalogue {} of things", lambda: iban(False)), ("the code {} is odd", lambda: iban(False))]),
+        "spelled_email": ([("contact {} for more", lambda: f"{lower(6)} [at] {lower(5)} [dot] org"), ("e-mail: {} now", lambda: f"{lower(6)}[at]{lower(5)}[dot]com"), ("or {} instead", lambda: f"{lower(7)} (at) {lower(4)} (dot) net")], [("chapter {} of it", lambda: f"{lower(3)} [at] {lower(3)} [dot] {rng.randint(10, 99)}"), ("figure {} shows", lambda: f"{lower(3)} [at] {lower(3)} [dot] {rng.randint(100, 999)}")]),
+        "person": ([("signed {}, with thanks", lambda: f"Dr. {given()} {name()}"), ("patient {} came", lambda: f"Mrs {given()} {name()}"), ("then {} spoke", lambda: f"Mr. {given()} {name()}")], [("film {} was long", lambda: f"Dr. {name()}"), ("brand {} cleans", lambda: f"Mr. {name()}"), ("the {} drink", lambda: f"Dr. {name()}")]),
+    }
+    return [(kind, text, make(), good) for kind, sides in made.items() for good, side in zip((True, False), sides) for text, make in side for _ in range(30)]
+
+
+def test_pii_classifier_on_labelled_spans(spark):
+    """Each kind's precision and recall, beside a majority vote of the labelers; spans and context weigh differently, by kind."""
+    from pyspark.sql import functions as F
+
+    cases = private_cases(random.Random(12))
+    rows = [(i, text.format(span), "en", "s", 1) for i, (_, text, span, _) in enumerate(cases)]
+    spotted = pii.cut(pii.spot(frame(spark, rows).select("doc_id", "text")))
+    model = pii.fit(spotted)
+    assert len(set(model.weights.values())) > 25 and {k for k, _ in model.reliability} == set(pii.CANDIDATES)
+    assert all(r != 0.5 for (k, x), r in model.reliability.items() if x == "announced")
+    c = F.col("c")
+    majority = sum(pii.votes(c["kind"], c["value"], c["before"], c["after"]).values()) > 0
+    seen = spotted.select("doc_id", F.explode("more").alias("c")).select("doc_id", c["kind"].alias("kind"), c["value"].alias("value"), (model.log_odds(c) > 0).alias("ours"), majority.alias("majority")).collect()
+    right = {"ours": 0, "majority": 0}
+    for kind in pii.CANDIDATES:
+        own = [r for r in seen if r.kind == kind and cases[r.doc_id][0] == kind]
+        assert {r.doc_id for r in own if r.value == cases[r.doc_id][2]} == {i for i, case in enumerate(cases) if case[0] == kind}
+        for who in right:
+            hit = sum(r[who] and cases[r.doc_id][3] for r in own)
+            precision, recall = hit / max(1, sum(r[who] for r in own)), hit / sum(cases[r.doc_id][3] for r in own)
+            right[who] += sum(r[who] == cases[r.doc_id][3] for r in own) / len(own)
+            print(kind, who, round(precision, 3), round(recall, 3))
+            assert who != "ours" or (precision >= 0.9 and recall >= 0.7), (kind, precision, recall)  # secrets that nothing announces are missed
+    assert right["ours"] >= 0.95 * right["majority"]  # 4.875 beside 5.0 of 5: a vote takes unannounced secrets for private, the estimate leaves them open
+
+
+def test_pii_positions_in_texts_with_many_matches(spark):
+    """More matches than a block holds, of all kinds, by brute force."""
+    text = " ".join(f"é{i}@b.cd 1.2.3.{i % 256} x" for i in range(700))
+    found = pii.annotate(frame(spark, [(1, text, "en", "s", 1)]).select("text"), pii.SpanModel({}, {"bias": -9.0})).select(pii.listed("base").alias("base")).first().base
+    assert found == ",".join(brute_spans(text)) and found.count(",") > 1300
