@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +35,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _unescape(text: str | None) -> str | None:
+@F.arrow_udf(T.StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
     import html
 
-    return None if text is None else html.unescape(text)
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def unescape(c: Column) -> Column:
@@ -45,11 +47,25 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _decompose(text: str | None) -> str | None:
+@cache
+def _combining() -> str:
+    """A character class of all combining marks."""
     import unicodedata
 
-    return None if text is None else "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+    marks, spans = [i for i in range(0x110000) if unicodedata.combining(chr(i))], []
+    for i in marks:
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in spans) + "]"
+
+
+@F.arrow_udf(T.StringType())
+def _decompose(texts: pa.Array) -> pa.Array:
+    import pyarrow.compute as pc
+
+    return pc.replace_substring_regex(pc.utf8_normalize(texts.cast(pa.string()), form="NFKD"), pattern=_combining(), replacement="")
 
 
 def without_accents(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,24 @@ def few_edits(a: Column, b: Column) -> Column:
     return F.call_function("levenshtein", a, b, most_edits(a, b)) >= 0
 
 
+#: Letters whose counts are compared before titles are, in two parts as a long has room for sixteen counts.
+LETTERS = ("abcdefghijklmno", "pqrstuvwxyz ")
+
+
+def letter_counts(title: Column, name: str) -> list[Column]:
+    """Columns name0, name1: counts of letters in four bits each, coded so that at least as many bits differ as counts differ less than by eight."""
+    codes = F.array(*(F.lit(x).cast("long") for x in (0, 1, 3, 7, 15, 14, 12, 8)))
+    count = lambda c: F.length(title) - F.length(F.replace(title, c, F.lit("")))
+    bits = lambda letters: F.aggregate(F.array(*(F.lit(x) for x in letters)), F.lit(0).cast("long"), lambda b, c: b * 16 + F.get(codes, count(c) % 8))
+    return [bits(x).alias(f"{name}{i}") for i, x in enumerate(LETTERS)]
+
+
+def few_letters(a: str, b: str) -> Column:
+    """Whether the letters of two titles, whose counts are in columns of their names, leave it open that few edits lie between them."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(len(LETTERS))))
+    return differ <= most_edits(F.col(a), F.col(b))
+
+
 def may_be_similar(a: Column, b: Column) -> Column:
     """What any pair of normalized titles of ratio SIMILAR satisfies: equal numbering, near lengths, few edits."""
     total = F.length(a) + F.length(b)
@@ -59,26 +79,34 @@ def _years_fit(a: str, b: str) -> Column:
     return F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1, F.lit(True))
 
 
-def key_edges(papers: DataFrame) -> DataFrame:
-    """Edges (a, b) from the first holder of each key to its other holders; a title counts only if the years fit."""
-    keyed = papers.select("seq", "year", F.explode(F.array_compact(F.concat(paper.identifier_keys(), F.array(paper.title_key(TITLE_KEY))))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("seq", "year")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.seq").alias("a"), F.col("first.year").alias("first_year"))
+def keyed(papers: DataFrame) -> DataFrame:
+    """(seq, year, keys, name) of papers: identifiers and the normalized title, reckoned once for all that compares them."""
+    return stored(papers.select("seq", "year", paper.identifier_keys().alias("keys"), text.norm_title(F.col("title")).alias("name")))
+
+
+def key_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of keyed() rows from the first holder of each key to its other holders; a title counts only if the years fit."""
+    title = F.when(F.length("name") >= TITLE_KEY, F.concat(F.lit("title:"), "name"))
+    each = rows.select("seq", "year", F.explode(F.array_compact(F.concat("keys", F.array(title)))).alias("key"))
+    first = each.groupBy("key").agg(F.min(F.struct("seq", "year")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.seq").alias("a"), F.col("first.year").alias("first_year"))
     first = stored(first)  # so that Spark may split a hot key's side of the join
-    return keyed.join(first, "key").where((F.col("seq") != F.col("a")) & (~F.startswith("key", F.lit("title:")) | _years_fit("year", "first_year"))).select("a", F.col("seq").alias("b"))
+    return each.join(first, "key").where((F.col("seq") != F.col("a")) & (~F.startswith("key", F.lit("title:")) | _years_fit("year", "first_year"))).select("a", F.col("seq").alias("b"))
 
 
-def fuzzy_pairs(papers: DataFrame) -> DataFrame:
-    """Pairs of (title, year) groups of one prefix block whose titles are near-identical and whose years fit.
+def fuzzy_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of (title, year) groups of keyed() rows of one prefix block whose titles are near-identical and whose years fit.
 
-    Distinct titles are compared, so that copies cost nothing; they meet by block and numbering, and lengths and edits are
-    tested once for the two directions of a pair. A direction's ratio is taken only if some record of its first side precedes
-    one of the second.
+    Distinct titles are compared, so that copies cost nothing. They meet by block and numbering; then lengths, letters and
+    edits are tested, once for both directions of a pair. A direction's ratio is taken only if some record of its first side
+    precedes one of the second. The titles of a block are spread over tasks.
     """
-    titled = papers.select("seq", "year", text.norm_title(F.col("title")).alias("name")).where(F.length("name") >= FUZZY)
-    sides = stored(titled.groupBy("name", "year").agg(F.min("seq").alias("low"), F.max("seq").alias("high")))
-    names = sides.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("name", "low", "high", F.substring("name", 1, PREFIX).alias("block"), F.array_join(numbering(F.col("name")), " ").alias("numbers"))
-    side = lambda s: names.select("block", "numbers", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "low", "high")))
-    met = side("x").join(side("y"), ["block", "numbers"]).where("name_x < name_y").where(near_lengths(F.col("name_x"), F.col("name_y"))).where(few_edits(F.col("name_x"), F.col("name_y")))
+    sides = stored(rows.where(F.length("name") >= FUZZY).groupBy("name", "year").agg(F.min("seq").alias("low"), F.max("seq").alias("high")))
+    names = sides.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    names = stored(names.select("name", "low", "high", F.substring("name", 1, PREFIX).alias("block"), F.array_join(numbering(F.col("name")), " ").alias("numbers"), *letter_counts(F.col("name"), "name")))
+    side = lambda s: names.select("block", "numbers", *(F.col(c).alias(f"{c[:4]}_{s}{c[4:]}") for c in ("name", "name0", "name1", "low", "high")))
+    left = side("x").repartition(max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "name_x")
+    met = left.join(side("y"), ["block", "numbers"]).where((F.col("name_x") < F.col("name_y")) & near_lengths(F.col("name_x"), F.col("name_y")) & few_letters("name_x", "name_y"))
+    met = met.where(few_edits(F.col("name_x"), F.col("name_y")))
     way = lambda a, b: F.when(F.col(f"low_{a}") < F.col(f"high_{b}"), F.struct(F.col(f"name_{a}").alias("name_a"), F.col(f"name_{b}").alias("name_b")))
     ways = met.select(F.explode(F.array_compact(F.array(way("x", "y"), way("y", "x")))).alias("w")).select("w.*")
     near = ways.where(_ratio(F.col("name_a"), F.col("name_b")) >= SIMILAR)
@@ -87,19 +115,20 @@ def fuzzy_pairs(papers: DataFrame) -> DataFrame:
     return pairs.select("name_a", "year_a", "low_a", "name_b", "year_b", "high_b")
 
 
-def fuzzy_edges(papers: DataFrame) -> DataFrame:
-    """Edges (a, b) between records of near-identical titles: a record precedes its partner."""
-    rows = papers.select("seq", F.col("year").alias("own_year"), text.norm_title(F.col("title")).alias("name"))
-    pairs = fuzzy_pairs(papers)
+def fuzzy_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between keyed() rows of near-identical titles: a record precedes its partner."""
+    own = rows.select("seq", F.col("year").alias("own_year"), "name")
+    pairs = stored(fuzzy_pairs(rows))
     of = lambda side: (F.col("name") == F.col(f"name_{side}")) & F.col("own_year").eqNullSafe(F.col(f"year_{side}"))
-    before = rows.join(pairs, of("a")).where("seq < high_b").select(F.col("seq").alias("a"), F.col("high_b").alias("b"))
-    after = rows.join(pairs, of("b")).where("seq > low_a").select(F.col("low_a").alias("a"), F.col("seq").alias("b"))
+    before = own.join(pairs, of("a")).where("seq < high_b").select(F.col("seq").alias("a"), F.col("high_b").alias("b"))
+    after = own.join(pairs, of("b")).where("seq > low_a").select(F.col("low_a").alias("a"), F.col("seq").alias("b"))
     return before.union(after)
 
 
 def groups(papers: DataFrame) -> DataFrame:
     """papers with gid: the seq of the first record of each one's group."""
-    found = connected_components(key_edges(papers).union(fuzzy_edges(papers)))
+    rows = keyed(papers)
+    found = connected_components(key_edges(rows).union(fuzzy_edges(rows)))
     return papers.join(found.withColumnRenamed("node", "seq"), "seq", "left").withColumn("gid", F.coalesce("component", "seq")).drop("component")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
 from paperloom.operators.components import stored
-from paperloom.operators.identity import SIMILAR, may_be_similar, numbering, similar_titles
+from paperloom.operators.identity import few_letters, letter_counts, may_be_similar, numbering, SIMILAR, similar_titles
 
 #: Fields that metadata fills where they are blank.
 COMPLETED = ("abstract", "citation_count", "doi", "arxiv_id", "s2_id", "openalex_id", "venue", "year", "pdf_url", "language")
@@ -63,7 +61,6 @@ def resolve(references: DataFrame, first: DataFrame, second: DataFrame, tag: str
 
 #: Edits that a title may have for each of its characters, as a partner has at most (2 - SIMILAR) / SIMILAR times its length.
 EDITS = 2 * (1 - SIMILAR) / SIMILAR
-LETTERS = ("abcdefghijklmno", "pqrstuvwxyz ")
 
 
 def _edits(length: Column) -> Column:
@@ -89,13 +86,6 @@ def _grams(title: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(sizes, lambda q: F.transform(F.sequence(F.lit(1), n - q + 1), lambda p: F.substring(title, p, q)))))
 
 
-def _letter_bits(title: Column, letters: str) -> Column:
-    """Counts of letters in four bits each, of which one at least as many differ as counts differ less than by eight."""
-    codes = F.array(*(F.lit(x).cast("long") for x in (0, 1, 3, 7, 15, 14, 12, 8)))
-    count = lambda c: F.length(title) - F.length(F.replace(title, c, F.lit("")))
-    return F.aggregate(F.array(*(F.lit(x) for x in letters)), F.lit(0).cast("long"), lambda bits, c: bits * 16 + F.get(codes, count(c) % 8))
-
-
 def match_titles(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first candidate (by source_rank, seq) whose title equals or nearly equals each asked one; asked has request_seq and asked.
 
@@ -106,15 +96,14 @@ def match_titles(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     once = Window.partitionBy("_have").orderBy("source_rank", "seq")
     have = candidates.withColumn("_have", text.norm_title(F.col("title"))).where("_have <> ''")
     have = have.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    bits = lambda name: [_letter_bits(F.col(name), x).alias(f"{name}{i}") for i, x in enumerate(LETTERS)]
+    bits = lambda name: letter_counts(F.col(name), name)
     # Stored, or else filters on the pieces are pushed below, with the normal form computed in them for each substring.
     titles = stored(have.select("_have", "source_rank", "seq"))
     equal = stored(want.select("_want").distinct().join(titles, F.col("_want") == F.col("_have"), "left"))
     left = equal.select("_want", F.col("source_rank").alias("_rank"), F.col("seq").alias("_seq"), *bits("_want"), numbering(F.col("_want")).alias("_numbers"), F.explode(_pieces(F.col("_want"))).alias("_gram"))
     right = titles.select("_have", "source_rank", "seq", *bits("_have"), numbering(F.col("_have")).alias("_numbers"), F.explode(_grams(F.col("_have"))).alias("_gram"))
     before = F.col("_rank").isNull() | (F.col("source_rank") < F.col("_rank")) | ((F.col("source_rank") == F.col("_rank")) & (F.col("seq") < F.col("_seq")))
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"_want{i}").bitwiseXOR(F.col(f"_have{i}"))) for i in range(len(LETTERS))))
-    few = differ <= F.floor(F.lit(1 - SIMILAR) * (F.length("_want") + F.length("_have")) + F.lit(1e-6))
+    few = few_letters("_want", "_have")
     near = left.join(right, ["_gram", "_numbers"]).where(before & few & (F.col("_want") != F.col("_have")) & may_be_similar(F.col("_have"), F.col("_want")))
     near = similar_titles(near.select("_want", "_have", "source_rank", "seq").distinct(), "_have", "_want")
     both = equal.where("_have is not null").unionByName(near)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import boolean, paper, text
 from paperloom.operators import filters, graph, identity, layout, lookup, report, screening, search
+from paperloom.plans.catalogue_terms import term_sql as _term_sql
 from paperloom.plans.registry import QUERIES, SQL, query
 from paperloom.plans.registry import with_views as _with
 from paperloom.plans.schema import conform
@@ -25,15 +26,6 @@ BOOLEAN = '("of the" OR anded OR eren*) AND (the* OR from) NOT scum'
 TAXONOMY = {"taxonomy": [{"name": "area 2", "children": ["topic 4", "topic 0"]}, "area 0"]}
 
 
-def _term_sql(term: str) -> str:
-    """A term's pattern for an engine without look-around."""
-    bare = term.strip().strip('"').lower()
-    words = r"[\s-]+".join(bare.rstrip("*").split())
-    edge = r"[^\p{L}\p{N}_]"
-    tail = "" if bare.endswith("*") else rf"(s|es)?({edge}|$)"
-    return rf"regexp_matches(body, '(?i)(^|{edge}){words}{tail}')"
-
-
 _BODY = "body AS (SELECT *, title || ' ' || abstract AS body FROM papers)"
 _KINDS = "list_transform(found_via, lambda v: CASE WHEN split_part(v, ':', 1) = 'search' THEN split_part(v, ':', 2) ELSE split_part(v, ':', 1) END)"
 _HITS = "len(list_distinct(list_transform(list_filter(found_via, lambda v: v LIKE 'backward:%' OR v LIKE 'forward:%'), lambda v: substr(v, strpos(v, ':') + 1))))"
@@ -252,7 +244,7 @@ def dedup_groups(spark, sf_dir):
 
 @query("fuzzy_pairs")
 def fuzzy_pairs(spark, sf_dir):
-    return identity.fuzzy_pairs(documents_as_papers(spark, sf_dir))
+    return identity.fuzzy_pairs(identity.keyed(documents_as_papers(spark, sf_dir)))
 
 
 _TITLES = f"n AS (SELECT *, list_filter(string_split(name, ' '), lambda t: regexp_full_match(t, '[0-9]+|i{{1,3}}|iv|vi{{0,3}}|ix|x')) AS numbers FROM (SELECT DISTINCT {_NAME} AS name FROM papers) WHERE length(name) >= 30)"
@@ -525,4 +517,4 @@ def merged_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply_filters(identity.dedup(conform(documents_as_papers(spark, sf_dir))), FILTERS, YEAR_NOW)
 
 
-from paperloom.plans import catalogue_records  # noqa: E402, F401  registers its queries
+from paperloom.plans import catalogue_records, catalogue_reviews  # noqa: E402, F401  register their queries

@@ -366,7 +366,7 @@ def near_titles(spark, sf_dir):
 
 @query("fuzzy_planted", with_views(_PLANTED_SQL, then="SELECT a AS low_a, b AS high_b FROM near JOIN planted x ON a = x.seq JOIN planted y ON b = y.seq WHERE near.more > 0 AND abs(x.year - y.year) <= 1"))
 def fuzzy_planted(spark, sf_dir):
-    return identity.fuzzy_pairs(_planted(spark, sf_dir)).select("low_a", "high_b")
+    return identity.fuzzy_pairs(identity.keyed(_planted(spark, sf_dir))).select("low_a", "high_b")
 
 
 @query("dedup_planted", with_views(_PLANTED_SQL, then="SELECT p.seq, coalesce(n.a, p.seq) AS gid FROM planted p LEFT JOIN (SELECT a, b FROM near JOIN planted x ON a = x.seq JOIN planted y ON b = y.seq WHERE abs(x.year - y.year) <= 1) n ON p.seq = n.b"))

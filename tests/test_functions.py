@@ -118,3 +118,11 @@ def test_unbalanced_queries():
     for bad in ("AND a", "a OR", "a)", "NOT"):
         with pytest.raises(ValueError):
             boolean.evaluate(bad, F.lit("x"))
+
+
+def test_accents_of_all_scripts(spark):
+    """Every assigned letter and mark, as Unicode's decomposition without combining marks has it."""
+    letters = [chr(i) for i in range(0xA0, 0x30000) if unicodedata.category(chr(i))[0] in "LMN"]
+    made = ["a".join(letters[k : k + 200]) for k in range(0, len(letters), 200)] + ["plain", None, ""]
+    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert values(spark, "string", made, text.without_accents) == [plain(t) for t in made]
