@@ -405,3 +405,37 @@ def test_pii_positions_in_texts_with_many_matches(spark):
     text = " ".join(f"é{i}@b.cd 1.2.3.{i % 256} x" for i in range(700))
     found = pii.annotate(frame(spark, [(1, text, "en", "s", 1)]).select("text"), pii.SpanModel({}, {"bias": -9.0})).select(pii.listed("base").alias("base")).first().base
     assert found == ",".join(brute_spans(text)) and found.count(",") > 1300
+
+
+def test_quality_rules_equal_sql_where_strata_are_certified(spark):
+    """The registered SQL on a table with two strata in which unlike rules are certified, a third with too few labels, and a null stratum."""
+    import duckdb
+    import pandas as pd
+
+    from paperloom.llm.queries import QUERIES, SQL
+
+    rng = random.Random(7)
+    words = lambda i, mark="": " ".join(f"w{i}x{k}{mark}" for k in range(24))
+    lines = lambda i: "\n".join([f"a line of text number {i}", f"one more line about {i} here"] + ["twice the same line"] * 2 + [f"last words of {i}"])
+    rows = [(i, words(i), "en") for i in range(1500)] + [(2000 + i, words(i, "***"), "en") for i in range(150)]
+    rows += [(5000 + i, words(i), "de") for i in range(1500)] + [(7000 + i, lines(i), "de") for i in range(150)] + [(8000 + i, words(i, "##"), "de") for i in range(40)]
+    rows += [(9000 + i, words(i, "***"), "fr") for i in range(30)] + [(9500 + i, words(i, "***"), None) for i in range(5)] + [(9900, None, "en"), (9901, "few words", "de"), (9902, "again and again and so on " * 6, "en")]
+    bad = set(range(2000, 2150)) | set(range(7000, 7150))
+    labels = [(i, int(i not in bad), 0) for i, *_ in rows if rng.random() < 0.95 and i < 9500]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], SCHEMA)
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        df = QUERIES["op2_quality_rules"](spark, folder)
+        got = sorted(tuple(r) for r in df.collect())
+    con = duckdb.connect(config={"memory_limit": "2GB", "threads": 2})
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang"]))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]))
+    out = con.execute(SQL["op2_quality_rules"])
+    place = [[d[0] for d in out.description].index(c) for c in df.columns]
+    assert got == sorted(tuple(r[i] for i in place) for r in out.fetchall())
+    verdicts = {r[0]: (r[-2], r[-1]) for r in got}
+    assert all(verdicts[i] == (False, False) for i in bad) and sum(v == (False, False) for v in verdicts.values()) == len(bad)
+    assert verdicts[9000] == verdicts[9500] == verdicts[8000] == (False, True) and verdicts[9901][0] and verdicts[9902][0]
