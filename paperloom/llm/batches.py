@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,6 +47,18 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield low, len(texts)
 
 
+def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """steps() over a column of texts, each with its texts; only those of one step are taken out of the column at a time."""
+    low = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if held and held + n > most:
+            yield low, i, as_bytes(column.slice(low, i - low))
+            low, held = i, 0
+        held += n + 1
+    if low < len(column):
+        yield low, len(column), as_bytes(column.slice(low))
+
+
 def release() -> None:
     """Gives unused memory back to the system."""
     import contextlib

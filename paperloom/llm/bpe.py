@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.batches import as_bytes, steps, tidied
+from paperloom.llm.batches import text_steps, tidied
 
 #: A chunk ends where the rolling hash of the last 16 bytes is 0 in these bits: once in 1,024 bytes on the whole.
 CUT_MASK = 0x3FF
@@ -156,10 +156,9 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, *, id_column: str = "do
         encoder = ChunkEncoder(Vocabulary(vocabulary_path))
         v = encoder.v
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for low, high in steps(texts):
+            for low, high, texts in text_steps(b.column(1)):
                 n, a, d, lists = [], [], [], []
-                for x in encoder.batch(texts[low:high]):
+                for x in encoder.batch(texts):
                     n.append(len(x))
                     a.append(hashlib.sha256(v.decimal(x)).hexdigest())
                     d.append(hashlib.sha256(v.decode(x)).hexdigest())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, discard, mix, steps, tidied, tidied_group, unit, windows, Words
+from paperloom.llm.batches import as_bytes, cut, discard, mix, steps, text_steps, tidied, tidied_group, unit, windows, Words
 
 #: Hashes of a signature, in BANDS bands of ROWS: a pair of similarity 0.8 shares no band with probability 1.9e-6.
 BANDS, ROWS = 25, 4
@@ -120,9 +120,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for low, high in steps(texts, 4_000_000):
-                owner, shingle, count, w = bags(texts[low:high], size)
+            for low, high, texts in text_steps(b.column(1)):
+                owner, shingle, count, w = bags(texts, size)
                 keys = band_keys(bag_min_hash(owner, shingle, count, high - low, BANDS * ROWS))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()), mask=pa.array(w.counts == 0))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array([text_key(w, i) for i in range(high - low)], pa.binary()), lists], ["id", "key", "bands"])
@@ -277,9 +276,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for b in batches:
-            texts = as_bytes(b.column(0))
-            for low, high in steps(texts):
-                w = Words(texts[low:high])
+            for low, high, texts in text_steps(b.column(0)):
+                w = Words(texts)
                 keys = [text_key(w, i) for i in range(high - low)]
                 new = [i for i, k in enumerate(keys) if k not in sent and not sent.add(k)]
                 if len(sent) > REMEMBERED:

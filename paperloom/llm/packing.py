@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, tidied
+from paperloom.llm.batches import text_steps, tidied
 from paperloom.llm.bpe import Vocabulary
 
 
@@ -50,7 +50,7 @@ def pack(docs: DataFrame, vocabulary_path: str, *, most: int = 1024, end_id: int
                 owners.clear()
                 return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids)
 
-            for i, text in enumerate(as_bytes(b.column(1))):
+            for i, text in enumerate(t for _, _, texts in text_steps(b.column(1)) for t in texts):
                 x = np.concatenate([v.encode(text), end])
                 for start, size in pieces(len(x), most):
                     part = x[start : start + size]

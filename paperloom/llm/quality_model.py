@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, one_a_id, steps, tidied, windows, Words
+from paperloom.llm.batches import cut, text_steps, tidied, windows, Words
 
 #: Trusted positives, and unlabelled documents, that the model is fitted on: the first of each by a hash of their id.
 SAMPLE = 8000
@@ -127,26 +127,26 @@ def estimate_prior(scores: np.ndarray, positive: np.ndarray, more: np.ndarray |
     return float(np.clip(((share_u + error) / share_p).min(), 0.01, 0.99))
 
 
-def _reached(docs: DataFrame, known: DataFrame, stood: DataFrame, models: list[tuple[Model, np.ndarray]]) -> list[np.ndarray]:
-    """For each model, how many unlabelled rows reach how many of its cutoffs, but for the rows that stood in the sample for their ids; texts are not shuffled."""
+def _reached(docs: DataFrame, known: DataFrame, models: list[tuple[Model, np.ndarray]]) -> list[np.ndarray]:
+    """For each model, how many unlabelled rows reach how many of its cutoffs; texts are not shuffled."""
     out = [np.zeros(52, np.int64) for _ in models]
     if not models:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(2))
-            for low, high in steps(texts):
-                x = features(texts[low:high])
-                at = np.stack([np.searchsorted(cuts, model(x), "right") for model, cuts in models], axis=1)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(low, high - low) for c in (0, 1)), pa.array(list(at), pa.list_(pa.int64()))], ["id", "hash", "at"])
-
-    scored = docs.where("id is not null").select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, hash long, at array<long>")
-    rows = scored.groupBy("id", "hash", "at").agg(F.count("*").alias("n")).join(known.select("id"), "id", "left_anti")
-    rows = rows.join(F.broadcast(stood.withColumn("one", F.lit(1))), ["id", "hash"], "left")
-    for r in rows.groupBy("at").agg(F.sum(F.col("n") - F.coalesce("one", F.lit(0))).alias("n")).collect():
-        for counts, k in zip(out, r["at"]):
-            counts[k] += r["n"]
+            for low, high, texts in text_steps(b.column(1)):
+                x, at = features(texts), np.zeros(high - low, np.int64)
+                for model, cuts in models:
+                    at = at * 64 + np.searchsorted(cuts, model(x), "right")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(at)], ["id", "at"])
+
+    scored = docs.where("id is not null").select("id", "text").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, at long")
+    for r in scored.join(known.select("id"), "id", "left_anti").groupBy("at").count().collect():
+        at = r["at"]
+        for counts in reversed(out):
+            counts[at % 64] += r["count"]
+            at //= 64
     return out
 
 
@@ -154,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits the model on documents (id, text): positives are ids with label 1, unlabelled ones those without any label.
 
     At most SAMPLE ids of each kind are taken, the first by a hash of the id, and sent to all tasks; of rows that share an id
-    one stands for it, that of the least hash. Labels of 0 are not used. Executors compute the features; the driver gets SAMPLE rows of numbers of each kind at most. The prior comes from
-    all unlabelled rows: those that were not chosen are scored by both cross-fitted models and counted.
+    one stands for it, that of the least hash. Labels of 0 are not used. Executors compute the features; the driver gets
+    SAMPLE rows of numbers of each kind at most. The prior comes from all unlabelled rows: those that do not stand in the
+    sample are scored by both cross-fitted models and counted.
     """
     known = labels.where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
     first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -165,13 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(2))
-            for low, high in steps(texts):
-                said = [b.column(c).slice(low, high - low) for c in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([*said, pa.array(list(features(texts[low:high])), pa.list_(pa.float64()))], ["id", "hash", "positive", "x"])
+            for low, high, texts in text_steps(b.column(2)):
+                said = [b.column(c).slice(low, high - low) for c in (0, 1, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*said, pa.array(list(features(texts)), pa.list_(pa.float64()))], ["id", "hash", "at", "positive", "x"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    rows = one_a_id(docs.join(F.broadcast(chosen), "id"), "positive").mapInArrow(tidied(run), f"id {kind}, hash long, positive boolean, x array<double>").collect()
+    rows = docs.join(F.broadcast(chosen), "id").select("id", F.xxhash64("text").alias("hash"), "text", F.monotonically_increasing_id().alias("at"), "positive")
+    rows = rows.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, hash long, at long, positive boolean, x array<double>")
+    rows = sorted(rows.groupBy("id").agg(F.min(F.struct("hash", "at", "positive", "x")).alias("r")).select("r.*").collect(), key=lambda r: r["at"])
     positive = np.array([r["positive"] for r in rows], bool)
     if not positive.any() or positive.all():
         return None
@@ -186,9 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         if 0 < positive[side].sum() < side.sum() and 0 < positive[~side].sum() < (~side).sum():
             model = Model(mean, spread, _train(z[side], positive[side], None), 0.5)
             held.append((model, model(x[~side]), positive[~side]))
-    stood = docs.sparkSession.createDataFrame([(r["id"], r["hash"]) for r in rows], f"id {kind}, hash long")
-    more = _reached(docs, known, stood, [(model, cutoffs(scores[own])) for model, scores, own in held])
-    priors = [estimate_prior(scores, own, counts) for (_, scores, own), counts in zip(held, more)]
+    models = [(model, cutoffs(scores[own])) for model, scores, own in held]
+    # The sample's own rows are among all rows, and are no further ones.
+    seen = [np.bincount(np.searchsorted(cuts, model(x[~positive]), "right"), minlength=52) for model, cuts in models]
+    priors = [estimate_prior(scores, own, np.maximum(counts - some, 0)) for (_, scores, own), counts, some in zip(held, _reached(docs, known, models), seen)]
     prior = float(np.mean(priors)) if priors else 0.5
     return Model(mean, spread, _train(z, positive, prior), prior)
 
@@ -198,9 +200,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for low, high in steps(texts):
-                s = np.ones(high - low) if model is None else model(features(texts[low:high]))
+            for low, high, texts in text_steps(b.column(1)):
+                s = np.ones(high - low) if model is None else model(features(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(s)], ["id", "score"])
 
     return docs.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, score double")
@@ -227,8 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(b.schema.get_field_index(text_column)))
-            for low, high in steps(texts):
-                yield b.slice(low, high - low).filter(pa.array(model(features(texts[low:high])) >= least))
+            for low, high, texts in text_steps(b.column(b.schema.get_field_index(text_column))):
+                yield b.slice(low, high - low).filter(pa.array(model(features(texts)) >= least))
 
     return docs.mapInArrow(tidied(run), docs.schema)

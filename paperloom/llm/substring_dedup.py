@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.batches import as_bytes, partitions, steps, tidied, tidied_group, windows, Words, xxhash64_long
+from paperloom.llm.batches import as_bytes, partitions, steps, text_steps, tidied, tidied_group, windows, Words, xxhash64_long
 
 #: The perfect difference cover of period 13: each remainder is the difference of two of these (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -205,9 +205,9 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                 yield from _by_bucket(0, ask, _hash_bucket(ask["hash"], buckets))
 
         for b in batches:
-            texts, ids = as_bytes(b.column(1)), b.column(0).to_numpy()
-            for low, high in steps(texts, 1_000_000):
-                held.append(_anchors(texts[low:high], ids[low:high], anchor))
+            ids = b.column(0).to_numpy()
+            for low, high, texts in text_steps(b.column(1), 1_000_000):
+                held.append(_anchors(texts, ids[low:high], anchor))
                 if sum(map(len, held)) > GATHER:
                     yield from send()
         yield from send()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import as_bytes, cut, mix, one_a_id, steps, tidied
+from paperloom.llm.batches import cut, mix, one_a_id, text_steps, tidied
 
 #: Labelled documents that the model is fitted on, the first by a hash of their id.
 SAMPLE = 20_000
@@ -113,9 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, label = as_bytes(b.column(0)), b.column(1).to_numpy()
-            for low, high in steps(texts):
-                s = Sentences(texts[low:high])
+            label = b.column(1).to_numpy()
+            for low, high, texts in text_steps(b.column(0)):
+                s = Sentences(texts)
                 word, feature = s.features()
                 owner = s.owner[word]
                 order = np.lexsort((owner, feature))
@@ -145,9 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(known)
         for b in batches:
-            texts = as_bytes(b.column(0))
-            for low, high in steps(texts):
-                s = Sentences(texts[low:high])
+            for low, high, texts in text_steps(b.column(0)):
+                s = Sentences(texts)
                 word, feature = s.features()
                 at, place = find(feature)
                 sentence, place = _distinct(s.sentence[word[at]], place)
@@ -192,9 +191,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Lookup(model.known)
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for low, high in steps(texts):
-                s = Sentences(texts[low:high])
+            for low, high, texts in text_steps(b.column(1)):
+                s = Sentences(texts)
                 word, feature = s.features()
                 at, place = find(feature)
                 sentence, place = _distinct(s.sentence[word[at]], place)
