@@ -350,9 +350,9 @@ def keep_one(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: s
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("id"), F.md5(F.col(text_column).cast("binary")).alias("hash"))  # names can't clash in here
     kept = cut(classes.where(F.col(id_column) == F.col("class_id")).select(F.col(id_column).alias("kept")).distinct())
-    # Repeated rows are rare, so only hashes are counted, and texts move again only if some repeat.
+    # The join is the same at every size; repeated rows are rare, so only hashes are counted, and texts move again only if some repeat.
     again = cut(rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("hash").alias("again_hash")))
-    rows = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"), "left_semi").union(rows.where("id is null"))
+    rows = rows.where("id is not null").join(kept.hint("merge"), F.col("id") == F.col("kept"), "left_semi").union(rows.where("id is null"))
     if not again.isEmpty():
         same = F.col("id").eqNullSafe(F.col("again_id")) & F.col("hash").eqNullSafe(F.col("again_hash"))
         rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["id", "hash"]))
