@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, near_dup, packing, pii, quality_model, quality_rules, substring_dedup, topk, toxicity, warc
+from paperloom.llm import bpe, byte_bpe, near_dup, packing, pii, quality_model, quality_rules, ranked, substring_dedup, topk, toxicity, warc, whitening
 from paperloom.llm.batches import fold_of
 
 
@@ -25,6 +25,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    """Where the public rank file for many languages lies; a parameter as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,6 +82,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    rows = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "value"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -86,10 +107,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 _GRIDS = ", ".join(f"('{r.name}', [{', '.join(map(str, r.grid))}])" for r in quality_rules.RULES)
 _VALUES = " ".join(f"WHEN '{r.name}' THEN {r.value.replace(' DIV ', ' // ')}" for r in quality_rules.RULES)
 _LIMITS = " OR ".join(f"coalesce(({r.value.replace(' DIV ', ' // ')}) > max(cutoff) FILTER (rule = '{r.name}'), false)" for r in quality_rules.RULES)
@@ -152,4 +178,14 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
     CAST(1 + (('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5))::INTEGER // [32768, 1024, 32, 1][1 + i % 4]) % 32 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
 FROM k""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS length FROM d WHERE len(ts) > 0),
+i AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM i JOIN p USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
