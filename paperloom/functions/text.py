@@ -61,17 +61,24 @@ def _combining() -> str:
     return "[" + "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in spans) + "]"
 
 
-@F.arrow_udf(T.StringType())
-def _decompose(texts: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
+@cache
+def _decompose():
+    """A function of a column; the class of marks is made on the driver and sent along."""
+    marks = _combining()
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        return pc.replace_substring_regex(pc.utf8_normalize(texts.cast(pa.string()), form="NFKD"), pattern=marks, replacement="")
 
-    return pc.replace_substring_regex(pc.utf8_normalize(texts.cast(pa.string()), form="NFKD"), pattern=_combining(), replacement="")
+    return run
 
 
 def without_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks; ASCII texts are their own."""
     plain = c.rlike(r"^[\x00-\x7f]*$")
-    return F.when(plain, c).otherwise(_decompose(F.when(~plain, c)))
+    return F.when(plain, c).otherwise(_decompose()(F.when(~plain, c)))
 
 
 def norm_title(c: Column) -> Column:

@@ -10,17 +10,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
-from paperloom.operators.components import connected_components, stored
+from paperloom.operators.components import connected_components, discard, stored
+from paperloom.operators.near import few_missing, letter_counts, missing_at_most, near_pairs, SIMILAR
 from paperloom.plans.schema import EDITABLE, FIELDS, FILLED
 
-SIMILAR = 0.93
 #: Title lengths from which a title is a key, and from which near-identical titles are looked for; length of a block's prefix.
 TITLE_KEY, FUZZY, PREFIX = 20, 30, 20
+#: Titles of a block up to which they are compared one by one; those of larger blocks meet by their pieces.
+LARGE_BLOCK = 64
 NUMBERING = r"(?<![\p{L}\p{N}_])(?:\p{Nd}+|i{1,3}|iv|vi{0,3}|ix|x)(?![\p{L}\p{N}_])"
 
 
 @F.udf(T.DoubleType(), useArrow=True)
-def _ratio(a: str | None, b: str | None) -> float | None:
+def sequence_ratio(a: str | None, b: str | None) -> float | None:
     import difflib
 
     return None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
@@ -31,36 +33,14 @@ def numbering(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBERING), F.lit(0))
 
 
-def most_edits(a: Column, b: Column) -> Column:
-    """The most edits between two titles of ratio SIMILAR: it counts a common subsequence, so they are at most (1 - SIMILAR) times the summed lengths."""
-    return F.floor(F.lit(1 - SIMILAR) * (F.length(a) + F.length(b)) + F.lit(1e-6)).cast("int")
-
-
 def near_lengths(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= F.lit(SIMILAR) * (F.length(a) + F.length(b))
 
 
-def few_edits(a: Column, b: Column) -> Column:
-    """Whether at most so many edits lie between two titles; counting ends where there are more."""
-    return F.call_function("levenshtein", a, b, most_edits(a, b)) >= 0
-
-
-#: Letters whose counts are compared before titles are, in two parts as a long has room for sixteen counts.
-LETTERS = ("abcdefghijklmno", "pqrstuvwxyz ")
-
-
-def letter_counts(title: Column, name: str) -> list[Column]:
-    """Columns name0, name1: counts of letters in four bits each, coded so that at least as many bits differ as counts differ less than by eight."""
-    codes = F.array(*(F.lit(x).cast("long") for x in (0, 1, 3, 7, 15, 14, 12, 8)))
-    count = lambda c: F.length(title) - F.length(F.replace(title, c, F.lit("")))
-    bits = lambda letters: F.aggregate(F.array(*(F.lit(x) for x in letters)), F.lit(0).cast("long"), lambda b, c: b * 16 + F.get(codes, count(c) % 8))
-    return [bits(x).alias(f"{name}{i}") for i, x in enumerate(LETTERS)]
-
-
 def few_letters(a: str, b: str) -> Column:
     """Whether the letters of two titles, whose counts are in columns of their names, leave it open that few edits lie between them."""
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(len(LETTERS))))
-    return differ <= most_edits(F.col(a), F.col(b))
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in (0, 1)))
+    return differ <= missing_at_most(F.length(a) + F.length(b))
 
 
 def may_be_similar(a: Column, b: Column) -> Column:
@@ -72,7 +52,7 @@ def may_be_similar(a: Column, b: Column) -> Column:
 
 def similar_titles(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of df whose normalized titles a and b are near-identical; a is the title that comes first, as the ratio is asymmetric."""
-    return df.where(may_be_similar(F.col(a), F.col(b))).where(_ratio(F.col(a), F.col(b)) >= SIMILAR)
+    return df.where(may_be_similar(F.col(a), F.col(b))).where(sequence_ratio(F.col(a), F.col(b)) >= SIMILAR)
 
 
 def _years_fit(a: str, b: str) -> Column:
@@ -96,29 +76,37 @@ def key_edges(rows: DataFrame) -> DataFrame:
 def fuzzy_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of (title, year) groups of keyed() rows of one prefix block whose titles are near-identical and whose years fit.
 
-    Distinct titles are compared, so that copies cost nothing. They meet by block and numbering; then lengths, letters and
-    edits are tested, once for both directions of a pair. A direction's ratio is taken only if some record of its first side
-    precedes one of the second. The titles of a block are spread over tasks.
+    Distinct titles are compared, so that copies cost nothing. They meet by block and numbering: in small blocks each with
+    each, tested for lengths, letters and edits; in large ones by their rarest pieces (near.candidates()). A direction's
+    ratio is taken only if some record of its first side precedes one of the second.
     """
     sides = stored(rows.where(F.length("name") >= FUZZY).groupBy("name", "year").agg(F.min("seq").alias("low"), F.max("seq").alias("high")))
     names = sides.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    names = stored(names.select("name", "low", "high", F.substring("name", 1, PREFIX).alias("block"), F.array_join(numbering(F.col("name")), " ").alias("numbers"), *letter_counts(F.col("name"), "name")))
-    side = lambda s: names.select("block", "numbers", *(F.col(c).alias(f"{c[:4]}_{s}{c[4:]}") for c in ("name", "name0", "name1", "low", "high")))
-    left = side("x").repartition(max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "name_x")
-    met = left.join(side("y"), ["block", "numbers"]).where((F.col("name_x") < F.col("name_y")) & near_lengths(F.col("name_x"), F.col("name_y")) & few_letters("name_x", "name_y"))
-    met = met.where(few_edits(F.col("name_x"), F.col("name_y")))
+    names = stored(names.select("name", "low", "high", F.substring("name", 1, PREFIX).alias("block"), F.array_join(numbering(F.col("name")), " ").alias("numbers"), F.monotonically_increasing_id().alias("id")))
+    sizes = names.groupBy("block", "numbers").agg(F.count("*").alias("held")).where("held > 1")
+    sized = stored(names.join(sizes, ["block", "numbers"]))
+    small, large = sized.where(F.col("held") <= LARGE_BLOCK), sized.where(F.col("held") > LARGE_BLOCK)
+    side = lambda s: small.select("block", "numbers", F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), *letter_counts(F.col("name"), f"name_{s}"))
+    met = side("x").join(side("y"), ["block", "numbers"]).where((F.col("id_x") > F.col("id_y")) & near_lengths(F.col("name_x"), F.col("name_y")) & few_letters("name_x", "name_y"))
+    met = met.where(few_missing(F.col("name_x"), F.col("name_y"))).select("name_x", "name_y")
+    if not large.isEmpty():
+        met = met.union(near_pairs(large.withColumn("limit", F.col("id")), large, ["block", "numbers"]).select("left_name", "right_name"))
+    span = lambda s: names.select(*(F.col(c).alias(f"{c}_{s}") for c in ("name", "low", "high")))
+    met = met.join(span("x"), "name_x").join(span("y"), "name_y")
     way = lambda a, b: F.when(F.col(f"low_{a}") < F.col(f"high_{b}"), F.struct(F.col(f"name_{a}").alias("name_a"), F.col(f"name_{b}").alias("name_b")))
     ways = met.select(F.explode(F.array_compact(F.array(way("x", "y"), way("y", "x")))).alias("w")).select("w.*")
-    near = ways.where(_ratio(F.col("name_a"), F.col("name_b")) >= SIMILAR)
+    near = ways.where(sequence_ratio(F.col("name_a"), F.col("name_b")) >= SIMILAR)
     end = lambda s: sides.select(*(F.col(c).alias(f"{c}_{s}") for c in ("name", "year", "low", "high")))
     pairs = near.join(end("a"), "name_a").join(end("b"), "name_b").where((F.col("low_a") < F.col("high_b")) & _years_fit("year_a", "year_b"))
-    return pairs.select("name_a", "year_a", "low_a", "name_b", "year_b", "high_b")
+    out = stored(pairs.select("name_a", "year_a", "low_a", "name_b", "year_b", "high_b"))
+    discard(sides, names, sized)
+    return out
 
 
 def fuzzy_edges(rows: DataFrame) -> DataFrame:
     """Edges (a, b) between keyed() rows of near-identical titles: a record precedes its partner."""
     own = rows.select("seq", F.col("year").alias("own_year"), "name")
-    pairs = stored(fuzzy_pairs(rows))
+    pairs = fuzzy_pairs(rows)
     of = lambda side: (F.col("name") == F.col(f"name_{side}")) & F.col("own_year").eqNullSafe(F.col(f"year_{side}"))
     before = own.join(pairs, of("a")).where("seq < high_b").select(F.col("seq").alias("a"), F.col("high_b").alias("b"))
     after = own.join(pairs, of("b")).where("seq > low_a").select(F.col("low_a").alias("a"), F.col("seq").alias("b"))
@@ -129,6 +117,7 @@ def groups(papers: DataFrame) -> DataFrame:
     """papers with gid: the seq of the first record of each one's group."""
     rows = keyed(papers)
     found = connected_components(key_edges(rows).union(fuzzy_edges(rows)))
+    discard(rows)
     return papers.join(found.withColumnRenamed("node", "seq"), "seq", "left").withColumn("gid", F.coalesce("component", "seq")).drop("component")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
-from paperloom.operators.components import stored
-from paperloom.operators.identity import few_letters, letter_counts, may_be_similar, numbering, SIMILAR, similar_titles
+from paperloom.operators.components import discard, stored
+from paperloom.operators.identity import numbering, sequence_ratio as _ratio
+from paperloom.operators.near import near_pairs, SIMILAR
 
 #: Fields that metadata fills where they are blank.
 COMPLETED = ("abstract", "citation_count", "doi", "arxiv_id", "s2_id", "openalex_id", "venue", "year", "pdf_url", "language")
@@ -59,56 +60,27 @@ def resolve(references: DataFrame, first: DataFrame, second: DataFrame, tag: str
     return found, missing.union(unmatched)
 
 
-#: Edits that a title may have for each of its characters, as a partner has at most (2 - SIMILAR) / SIMILAR times its length.
-EDITS = 2 * (1 - SIMILAR) / SIMILAR
-
-
-def _edits(length: Column) -> Column:
-    return F.floor(length * F.lit(EDITS) + F.lit(1e-6)).cast("int")
-
-
-def _gram_size(length: Column) -> Column:
-    return F.floor(length / (_edits(length) + 1)).cast("int")
-
-
-def _pieces(title: Column) -> Column:
-    """One more disjoint pieces than a near title can have edits, so that it holds one of them unchanged; none if it must be equal."""
-    n, k = F.length(title), _edits(F.length(title))
-    cut = F.transform(F.sequence(F.lit(0), k), lambda i: F.substring(title, F.floor(i * n / (k + 1)).cast("int") + 1, _gram_size(n)))
-    return F.when(k > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
-
-
-def _grams(title: Column) -> Column:
-    """All substrings of the sizes that the pieces of titles of near lengths have."""
-    n = F.length(title)
-    low, high = F.floor(n * F.lit(SIMILAR / (2 - SIMILAR))).cast("int"), F.ceil(n * F.lit((2 - SIMILAR) / SIMILAR)).cast("int")
-    sizes = F.filter(F.array_distinct(F.transform(F.sequence(low, high), _gram_size)), lambda q: (q > 0) & (q <= n))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda q: F.transform(F.sequence(F.lit(1), n - q + 1), lambda p: F.substring(title, p, q)))))
-
-
 def match_titles(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first candidate (by source_rank, seq) whose title equals or nearly equals each asked one; asked has request_seq and asked.
 
-    Distinct titles are compared. Near ones meet by a piece of the asked title, wherever it stands in the other; pairs whose
-    letter counts alone take too many edits are dropped in the join, as are those that come after an equal title.
+    Distinct titles are compared. Near ones meet by the rarest pieces of the asked title (near.candidates()), but for those
+    that come after an equal title.
     """
-    want = asked.withColumn("_want", text.norm_title(F.col("asked"))).where("_want <> ''")
-    once = Window.partitionBy("_have").orderBy("source_rank", "seq")
-    have = candidates.withColumn("_have", text.norm_title(F.col("title"))).where("_have <> ''")
-    have = have.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    bits = lambda name: letter_counts(F.col(name), name)
-    # Stored, or else filters on the pieces are pushed below, with the normal form computed in them for each substring.
-    titles = stored(have.select("_have", "source_rank", "seq"))
-    equal = stored(want.select("_want").distinct().join(titles, F.col("_want") == F.col("_have"), "left"))
-    left = equal.select("_want", F.col("source_rank").alias("_rank"), F.col("seq").alias("_seq"), *bits("_want"), numbering(F.col("_want")).alias("_numbers"), F.explode(_pieces(F.col("_want"))).alias("_gram"))
-    right = titles.select("_have", "source_rank", "seq", *bits("_have"), numbering(F.col("_have")).alias("_numbers"), F.explode(_grams(F.col("_have"))).alias("_gram"))
-    before = F.col("_rank").isNull() | (F.col("source_rank") < F.col("_rank")) | ((F.col("source_rank") == F.col("_rank")) & (F.col("seq") < F.col("_seq")))
-    few = few_letters("_want", "_have")
-    near = left.join(right, ["_gram", "_numbers"]).where(before & few & (F.col("_want") != F.col("_have")) & may_be_similar(F.col("_have"), F.col("_want")))
-    near = similar_titles(near.select("_want", "_have", "source_rank", "seq").distinct(), "_have", "_want")
-    both = equal.where("_have is not null").unionByName(near)
-    best = both.groupBy("_want").agg(F.min(F.struct("source_rank", "seq", "_have"))["_have"].alias("_have"))
-    return want.join(best, "_want").join(have, "_have").drop("_want", "_have")
+    at = F.struct("source_rank", "seq")
+    said = candidates.select("title", at.alias("at"), F.lit(False).alias("wanted")).union(asked.select("asked", F.lit(None).cast(candidates.select(at.alias("at")).schema["at"].dataType), F.lit(True)))
+    distinct = stored(said.groupBy("title").agg(F.min("at").alias("at"), F.max("wanted").alias("wanted")))  # normal forms are reckoned once a title
+    forms = stored(distinct.withColumn("name", text.norm_title(F.col("title"))).where("name <> ''"))
+    numbers = F.array_join(numbering(F.col("name")), " ").alias("numbers")
+    # Ids follow the order of candidates, so the first of some is the one with the least.
+    titles = stored(forms.where("at is not null").groupBy("name").agg(F.min("at").alias("at")).select("name", "at.*").orderBy("source_rank", "seq").withColumn("id", F.monotonically_increasing_id()))
+    own = titles.select("name", F.col("id").alias("limit"))
+    names = stored(forms.where("wanted").select("name").distinct().join(own, "name", "left").select("name", "limit", numbers, F.monotonically_increasing_id().alias("id")))
+    near = near_pairs(names, titles.select("id", "name", numbers), ["numbers"])
+    near = near.where(_ratio(F.col("right_name"), F.col("left_name")) >= SIMILAR).groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("best"))
+    found = names.join(near, "id", "left").select("name", F.coalesce("best", "limit").alias("id")).where("id is not null")
+    best = stored(forms.where("wanted").select("title", "name").join(found, "name").join(titles.select("id", "source_rank", "seq"), "id").select(F.col("title").alias("asked"), "source_rank", "seq"))
+    discard(distinct, forms, titles, names)
+    return asked.join(best, "asked").join(candidates, ["source_rank", "seq"]).select(*asked.columns, *candidates.columns)
 
 
 def aligned(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
