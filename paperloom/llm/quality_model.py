@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.batches import cut, text_steps, tidied, windows, Words
+from paperloom.llm.batches import cut, discard, text_steps, tidied, windows, Words
 
-#: Trusted positives, and unlabelled documents, that the model is fitted on: the first of each by a hash of their id.
+#: Trusted positives that the model is fitted on, the first by a hash of their id; of unlabelled documents as many make the
+#: start of the fit and the models that tell the prior, while the risk itself is of all of them.
 SAMPLE = 8000
 HIDDEN, STEPS, DECAY, SEED = 12, 400, 1e-3, 7
+#: Steps over all unlabelled documents, each of which is one pass over their features.
+WHOLE_STEPS = 12
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -127,22 +131,38 @@ def estimate_prior(scores: np.ndarray, positive: np.ndarray, more: np.ndarray |
     return float(np.clip(((share_u + error) / share_p).min(), 0.01, 0.99))
 
 
-def _reached(docs: DataFrame, known: DataFrame, models: list[tuple[Model, np.ndarray]]) -> list[np.ndarray]:
-    """For each model, how many unlabelled rows reach how many of its cutoffs; texts are not shuffled."""
+def tabled(docs: DataFrame) -> DataFrame:
+    """(id, hash, x): the features of every row of (id, text), written to the shared folder; texts are read once and not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high, texts in text_steps(b.column(1)):
+                x = features(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(2).slice(low, high - low), lists], ["id", "hash", "x"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return cut(docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(tidied(run), f"id {kind}, hash long, x array<double>"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _reached(unlabelled: DataFrame, models: list[tuple[Model, np.ndarray]]) -> list[np.ndarray]:
+    """For each model, how many unlabelled rows reach how many of its cutoffs."""
     out = [np.zeros(52, np.int64) for _ in models]
     if not models:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low, high, texts in text_steps(b.column(1)):
-                x, at = features(texts), np.zeros(high - low, np.int64)
-                for model, cuts in models:
-                    at = at * 64 + np.searchsorted(cuts, model(x), "right")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(at)], ["id", "at"])
+            x, at = _matrix(b.column(0)), np.zeros(b.num_rows, np.int64)
+            for model, cuts in models:
+                at = at * 64 + np.searchsorted(cuts, model(x), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
 
-    scored = docs.where("id is not null").select("id", "text").mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, at long")
-    for r in scored.join(known.select("id"), "id", "left_anti").groupBy("at").count().collect():
+    for r in unlabelled.select("x").mapInArrow(tidied(run), "at long").groupBy("at").count().collect():
         at = r["at"]
         for counts in reversed(out):
             counts[at % 64] += r["count"]
@@ -150,33 +170,75 @@ def _reached(docs: DataFrame, known: DataFrame, models: list[tuple[Model, np.nda
     return out
 
 
+def _pulled(p: list[np.ndarray], z: np.ndarray, pull) -> tuple[float, list[np.ndarray]]:
+    """The summed loss of a label of 0, and the gradients of what pulls the scores of rows z by pull(s)."""
+    hidden = np.tanh(z @ p[0] + p[1])
+    s = 1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -50, 50)))
+    by = pull(s)
+    back = (by[:, None] * p[2]) * (1 - hidden**2)
+    return float(-np.log(np.maximum(1 - s, 1e-12)).sum()), [z.T @ back, back.sum(0), hidden.T @ by, np.array([by.sum()])]
+
+
+def _refined(unlabelled: DataFrame, model: Model, z_p: np.ndarray) -> tuple:
+    """The model's layers after WHOLE_STEPS steps down the non-negative risk of the positives z_p and all unlabelled rows.
+
+    Each step is one pass over the features: tasks add up losses and gradients, of which as many numbers as the model has
+    weights come back.
+    """
+    p, prior = [a.copy() for a in model.layers], model.prior
+    shapes = [a.shape for a in p]
+    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    for step in range(1, WHOLE_STEPS + 1):
+        now = [a.copy() for a in p]
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + sum(a.size for a in now))
+            for b in batches:
+                z = np.clip((_matrix(b.column(0)) - model.mean) / model.spread, -6, 6)
+                loss, grads = _pulled(now, z, lambda s: s)
+                total += np.concatenate([[len(z), loss], *(g.ravel() for g in grads)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "s"])
+
+        sums = unlabelled.select("x").mapInArrow(tidied(run), "k int, s double").groupBy("k").agg(F.sum("s").alias("s"))
+        total = np.array([r.s for r in sums.agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("all")).first()["all"]])
+        n_u, n_p = max(total[0], 1), len(z_p)
+        of_u = [g.reshape(shape) / n_u for g, shape in zip(np.split(total[2:], np.cumsum([a.size for a in p])[:-1]), shapes)]
+        loss_p, minus_p = _pulled(p, z_p, lambda s: s * prior / n_p)
+        _, plus_p = _pulled(p, z_p, lambda s: (s - 1) * prior / n_p)
+        rest = total[1] / n_u - prior * loss_p / n_p
+        for i in range(len(p)):
+            g = of_u[i] - minus_p[i] + plus_p[i] if rest >= 0 else minus_p[i] - of_u[i]
+            g = g + DECAY * p[i] * (i in (0, 2))
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
+            p[i] = p[i] - 0.005 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+    return tuple(p)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits the model on documents (id, text): positives are ids with label 1, unlabelled ones those without any label.
+    """fit_tabled() of documents (id, text)."""
+    table = tabled(docs)
+    out = fit_tabled(table, labels)
+    discard(table)
+    return out
+
 
-    At most SAMPLE ids of each kind are taken, the first by a hash of the id, and sent to all tasks; of rows that share an id
-    one stands for it, that of the least hash. Labels of 0 are not used. Executors compute the features; the driver gets
-    SAMPLE rows of numbers of each kind at most. The prior comes from all unlabelled rows: those that do not stand in the
-    sample are scored by both cross-fitted models and counted.
+def fit_tabled(table: DataFrame, labels: DataFrame) -> Model | None:
+    """Fits the model on tabled() documents: positives are ids with label 1, unlabelled rows those whose id has no label.
+
+    At most SAMPLE positives are taken, the first by a hash of the id; of rows that share an id one stands for it, that of
+    the least hash. Labels of 0 are not used. The driver gets SAMPLE rows of numbers of each kind at most: with these the fit
+    starts. Class prior and risk are of all unlabelled rows: both cross-fitted models score and count them, and the last
+    steps go down the risk of all of them.
     """
     known = labels.where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
-    first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    positives = first(known.where("label = 1").select("id")).withColumn("positive", F.lit(True))
-    unlabelled = first(docs.select("id").where("id is not null").distinct().join(known.select("id"), "id", "left_anti")).withColumn("positive", F.lit(False))
-    chosen = cut(positives.union(unlabelled))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high, texts in text_steps(b.column(2)):
-                said = [b.column(c).slice(low, high - low) for c in (0, 1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*said, pa.array(list(features(texts)), pa.list_(pa.float64()))], ["id", "hash", "at", "positive", "x"])
-
-    rows = docs.join(F.broadcast(chosen), "id").select("id", F.xxhash64("text").alias("hash"), "text", F.monotonically_increasing_id().alias("at"), "positive")
-    rows = rows.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, hash long, at long, positive boolean, x array<double>")
-    rows = sorted(rows.groupBy("id").agg(F.min(F.struct("hash", "at", "positive", "x")).alias("r")).select("r.*").collect(), key=lambda r: r["at"])
-    positive = np.array([r["positive"] for r in rows], bool)
-    if not positive.any() or positive.all():
+    positives = known.where("label = 1").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows_p = table.join(F.broadcast(positives), "id").groupBy("id").agg(F.min(F.struct("hash", "x")).alias("r")).select("r.x").collect()
+    unlabelled = cut(table.where("id is not null").join(known.select("id"), "id", "left_anti").select("id", "hash", "x"))
+    rows_u = unlabelled.orderBy(F.xxhash64("id", "hash"), "id", "hash").limit(SAMPLE).select("x").collect()
+    if not rows_p or not rows_u:
+        discard(unlabelled)
         return None
-    x = np.array([r["x"] for r in rows])
+    x, positive = np.array([r.x for r in rows_p + rows_u]), np.arange(len(rows_p) + len(rows_u)) < len(rows_p)
     order = np.lexsort(x.T[::-1])  # the same sums whatever order rows came in
     x, positive = x[order], positive[order]
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -190,21 +252,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     models = [(model, cutoffs(scores[own])) for model, scores, own in held]
     # The sample's own rows are among all rows, and are no further ones.
     seen = [np.bincount(np.searchsorted(cuts, model(x[~positive]), "right"), minlength=52) for model, cuts in models]
-    priors = [estimate_prior(scores, own, np.maximum(counts - some, 0)) for (_, scores, own), counts, some in zip(held, _reached(docs, known, models), seen)]
+    priors = [estimate_prior(scores, own, np.maximum(counts - some, 0)) for (_, scores, own), counts, some in zip(held, _reached(unlabelled, models), seen)]
     prior = float(np.mean(priors)) if priors else 0.5
-    return Model(mean, spread, _train(z, positive, prior), prior)
+    start = Model(mean, spread, _train(z, positive, prior), prior)
+    out = Model(mean, spread, _refined(unlabelled, start, z[positive]), prior)
+    discard(unlabelled)
+    return out
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(id, score) of every row of (id, text)."""
+def score(table: DataFrame, model: Model | None) -> DataFrame:
+    """(id, score) of every row of tabled() documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low, high, texts in text_steps(b.column(1)):
-                s = np.ones(high - low) if model is None else model(features(texts))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(s)], ["id", "score"])
+            s = np.ones(b.num_rows) if model is None else model(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["id", "score"])
 
-    return docs.mapInArrow(tidied(run), f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    return table.select("id", "x").mapInArrow(tidied(run), f"id {table.schema['id'].dataType.simpleString()}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
@@ -216,7 +280,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", te
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
-    return score(rows, fit(rows, known)).withColumnRenamed("id", id_column)
+    table = tabled(rows)
+    return score(table, fit_tabled(table, known)).withColumnRenamed("id", id_column)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
