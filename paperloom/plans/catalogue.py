@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import boolean, paper, text
 from paperloom.operators import filters, graph, identity, layout, lookup, report, screening, search
+from paperloom.operators.components import scratch
+from paperloom.operators.entity_index import EntityIndex
+from paperloom.operators.text_index import TextIndex
 from paperloom.plans.catalogue_terms import term_sql as _term_sql
 from paperloom.plans.registry import QUERIES, SQL, query
 from paperloom.plans.registry import with_views as _with
@@ -210,6 +213,29 @@ def search_fan_out(spark, sf_dir):
     return found.select("seq", F.get("found_via", F.lit(0)).alias("tag"))
 
 
+MANY = {"q1": BOOLEAN, "q2": "idiot OR moron*", "q3": '"in the" NOT eren*', "q4": "NOT (the OR der OR de)", "q5": '"of the" AND "to the"'}
+_MANY = " UNION ALL ".join(f"SELECT '{q}' AS query, seq, {' + '.join(f'CAST({_term_sql(t)} AS INTEGER)' for t in own)} AS score, citation_count FROM body WHERE {test}" for q, own, test in (
+    ("q1", ("of the", "anded", "eren*", "the*", "from", "scum"), f"({_term_sql('of the')} OR {_term_sql('anded')} OR {_term_sql('eren*')}) AND ({_term_sql('the*')} OR {_term_sql('from')}) AND NOT {_term_sql('scum')}"),
+    ("q2", ("idiot", "moron*"), f"({_term_sql('idiot')} OR {_term_sql('moron*')})"),
+    ("q3", ("in the", "eren*"), f"{_term_sql('in the')} AND NOT {_term_sql('eren*')}"),
+    ("q4", ("the", "der", "de"), f"NOT ({_term_sql('the')} OR {_term_sql('der')} OR {_term_sql('de')})"),
+    ("q5", ("of the", "to the"), f"{_term_sql('of the')} AND {_term_sql('to the')}"),
+))
+
+
+@query("boolean_search_many", _with(PAPERS_SQL, _BODY, then=f"SELECT query, seq, score FROM ({_MANY})"))
+def boolean_search_many(spark, sf_dir):
+    """Five queries in one pass over the papers."""
+    return search.search_many(documents_as_papers(spark, sf_dir), MANY, None).select("query", "seq", "score")
+
+
+@query("indexed_search", _with(PAPERS_SQL, _BODY, then=f"SELECT query, seq, score FROM (SELECT query, seq, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, coalesce(citation_count, 0) DESC, seq) AS k FROM ({_MANY})) WHERE k <= 200"))
+def indexed_search(spark, sf_dir):
+    """The same queries from an inverted index of the papers, each with its first 200."""
+    p = documents_as_papers(spark, sf_dir)
+    return TextIndex(spark, scratch(spark, "postings")).build(p).search_many(p, MANY, 200)
+
+
 @query("fallback_first_source", _with(PAPERS_SQL, _BODY, then=f"SELECT seq, 'seed:' || q AS tag FROM (SELECT b.seq, q, r, min(r) OVER (PARTITION BY q) AS best, row_number() OVER (PARTITION BY q, r ORDER BY coalesce(citation_count, 0) DESC, seq) AS k FROM (SELECT *, CASE WHEN seq % 10 = 3 THEN 0 ELSE 1 END AS r FROM body) b, (VALUES ('q1'), ('q2')) v(q) WHERE CASE q WHEN 'q1' THEN {_term_sql('thing')} ELSE {_term_sql('clown')} AND {_term_sql('worthless')} END) WHERE r = best AND k <= 20"))
 def fallback_first_source(spark, sf_dir):
     p = documents_as_papers(spark, sf_dir)
@@ -283,6 +309,16 @@ def merge_into_added(spark, sf_dir):
     return identity.merge_into(p.where(F.col("seq") <= half), p.where(F.col("seq") > half))[1].agg(F.count("*").alias("added"))
 
 
+@query("upsert_groups", _with(PAPERS_SQL, _GROUPS, then="SELECT seq, gid FROM g").replace("WITH ", "WITH RECURSIVE ", 1))
+def upsert_groups(spark, sf_dir):
+    """Groups by identifiers (the SQL has no near titles), from an index of two thirds of the papers to which the others are added."""
+    p = documents_as_papers(spark, sf_dir).withColumn("title", F.lit(""))
+    at = p.agg(F.max("seq")).first()[0] * 2 // 3
+    index = EntityIndex(spark, scratch(spark, "entities")).build(p.where(F.col("seq") <= at))
+    index.upsert(p.where(F.col("seq") > at))
+    return index.records().select("seq", "gid")
+
+
 # ------------------------------------------------------------------ graph
 
 _STEP = "SELECT start_id, id, direction FROM (SELECT start_id, id, direction, row_number() OVER (PARTITION BY direction, start_id ORDER BY coalesce(citation_count, 0) DESC, pos, id) AS k FROM near) WHERE k <= CASE direction WHEN 'backward' THEN 3 ELSE 5 END"
