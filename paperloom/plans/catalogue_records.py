@@ -118,6 +118,19 @@ def jsonl_lines(spark, sf_dir):
     return out.select("title", "year", "doi", "round", "relevance", *_joined("authors"), F.array_join("extra.manual", "; ").alias("manual"), F.regexp_replace(F.col("extra.rest")["odd"], " ", "").alias("odd"))
 
 
+@query("jsonl_order", "SELECT k AS seq, 'c' || conv_id || ' ' || turn AS title FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS k FROM conversations)")
+def jsonl_order(spark, sf_dir):
+    """Records of files of very unlike sizes get the numbers of their lines."""
+    folder = scratch(spark, "order")
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(" "), F.col("turn").cast("string")).alias("title"))).alias("value"))
+    last = lines.agg(F.max("conv_id")).first()[0] or 0
+    # The first file holds the first tenth of the conversations, the second one nearly all others, the third what is left.
+    part = F.when(F.col("conv_id") * 10 < last, 0).when(F.col("conv_id") * 100 < last * 99, 1).otherwise(2)
+    for k, files in enumerate((2, 16, 1)):
+        lines.where(part == k).repartitionByRange(files, "conv_id", "turn", "text").sortWithinPartitions("conv_id", "turn", "text").select("value").write.text(f"{folder}/{k}")
+    return records.read_papers(spark, [f"{folder}/{k}" for k in range(3)], normalize=False).select("seq", "title")
+
+
 @query("jsonl_headers", "SELECT count(*) AS n, 'x' AS stage FROM conversations WHERE turn % 5 = 0")
 def jsonl_headers(spark, sf_dir):
     folder = scratch(spark, "headers")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
+from paperloom.operators.components import stored
 from paperloom.plans.schema import FIELDS, PAPER, conform
 
 #: A work of the first service.
@@ -105,12 +108,29 @@ def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0))).alias("value"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(seq, file, value) of the lines of text files: seq is a line's number over all files, in order of the paths given, of file names and of lines.
+
+    Spark reads files in an order and in blocks of its own. The lines of each block are counted first, without being parsed;
+    what comes before a block is added to a line's place in it, so no line is sorted or moved.
+    """
+    one = lambda i, p: spark.read.text(p).select(F.lit(i).alias("given"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = [one(i, p) for i, p in enumerate([path] if isinstance(path, str) else path)]
+    out = []
+    counts = reduce(DataFrame.union, (lines.groupBy("given", "file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")) for lines in parts))
+    before = F.sum("n").over(Window.orderBy("given", "file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block of files
+    blocks = stored(counts.select("given", "file", "block", "first", F.coalesce(before, F.lit(0)).alias("before")))
+    for lines in parts:
+        out.append(lines.join(blocks, ["given", "file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("seq"), "file", "value"))
+    return reduce(DataFrame.union, out)
+
+
 def read_papers(spark: SparkSession, path: str | list[str], *, normalize: bool = True) -> DataFrame:
-    """Records of JSON-lines files in order of file and line; header rows are skipped, unknown fields go to extra.rest.
+    """Records of JSON-lines files with seq in order of file and line; header rows are skipped, unknown fields go to extra.rest.
 
     A line that is no JSON object fails the query.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("seq"))
+    lines = numbered_lines(spark, path).select("value", "seq")
     lines = lines.withColumn("value", F.regexp_replace("value", r"^\uFEFF", "")).where(F.trim("value") != "")
     row = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     known = T.StructType([f for f in PAPER.fields if f.name not in ("seq", "extra")])
