@@ -23,7 +23,7 @@ OPTIONS: dict[str, dict] = {
     "--root": {"default": ROOT, "help": "where reviews lie"}, "--name": {"help": "the folder's name in place of one from the topic"}, "--review": {"help": "the review's folder; the one that changed last if not given"},
     "--query": {"action": "append", "help": "instead of the configured ones; may be repeated"}, "--limit": {"type": int, "help": "papers of a query, or rows"}, "--sources": {"help": "names, comma-separated"},
     "--corpus": {"action": "append", "metavar": "name=path", "help": "a local table of records (Parquet or JSON lines) in place of services; may be repeated"}, "--edges": {"metavar": "path", "help": "a local table parent_id, child_id, pos"},
-    "--round": {"type": int}, "--from": {"dest": "start", "choices": ["all", "included"]}, "--direction": {"choices": ["backward", "forward", "both"]}, "--max-references": {"type": int}, "--max-citations": {"type": int}, "--max-frontier": {"type": int, "default": 300},
+    "--round": {"type": int}, "--from": {"dest": "start", "choices": ["all", "included"]}, "--direction": {"choices": ["backward", "forward", "both"]}, "--backend": {"choices": ["auto", "openalex", "semantic_scholar"]}, "--max-references": {"type": int}, "--max-citations": {"type": int}, "--max-frontier": {"type": int, "default": 300},
     "--force": {"action": "store_true"}, "--all": {"action": "store_true", "help": "what was done before as well"}, "--stage": {"choices": STAGES, "required": True}, "--size": {"type": int},
     "--where": {"action": "append", "metavar": "field=value"}, "--fields": {"help": "comma-separated"}, "--sort": {}, "--out": {}, "--spreadsheet-id": {"required": True}, "--sheet-id": {"type": int, "default": 0}, "--account": {"default": os.environ.get(ACCOUNT)},
     "--cache": {"help": "a folder for answers of services; below the review if not given"}, "--no-cache": {"action": "store_true"},
@@ -35,7 +35,7 @@ COMMANDS: dict[str, tuple[tuple[str, ...], str]] = {
     "doctor": ((), "check modules, services and keys"),
     "seed": (("--query", "--limit", *_FETCH), "first queries, and papers known before"),
     "search": (("--query", "--sources", "--limit", *_FETCH), "boolean queries in databases"),
-    "snowball": (("--round", "--from", "--direction", "--max-references", "--max-citations", "--max-frontier", "--force", "--edges", *_FETCH), "one round along citations"),
+    "snowball": (("--round", "--from", "--direction", "--backend", "--max-references", "--max-citations", "--max-frontier", "--force", "--edges", *_FETCH), "one round along citations"),
     "complete": (("--all", *_FETCH), "fill missing abstracts and citation counts"),
     "filter": ((), "apply the filters of the configuration"),
     "batches": (("--stage", "--size", "--force"), "write batches for judges"),
@@ -86,8 +86,9 @@ class Commands:
     def corpora(self) -> dict[str, DataFrame]:
         return {name: self.table(path) for name, _, path in (c.partition("=") for c in self.args.corpus or [])}
 
-    def _fetched(self, step: str, found: tuple[DataFrame, list[str]]) -> dict:
-        return {"added": self.review.take(step, found[0], fetch.metadata(self.spark, self.connectors, found[0])), "errors": found[1]}
+    def _fetched(self, step: str, found: tuple[DataFrame, list[str], dict]) -> dict:
+        records, errors, totals = found
+        return {"added": self.review.take(step, records, fetch.metadata(self.spark, self.connectors, records), totals=totals, errors=errors), "errors": errors} | ({"totals": totals} if any(t["total"] is not None for t in totals.values()) else {})
 
     def _queries(self, section: str) -> dict[str, str]:
         own, prefix = (self.args.query, "x") if self.args.query else (self.review.config[section]["queries"], "q")
@@ -128,8 +129,8 @@ class Commands:
             corpus = next(iter(self.corpora().values()))
             return self.review.snowball(self.table(a.edges), corpus, round_no=a.round, force=a.force, most=a.max_frontier)
         frontier = self.review.frontier(a.round, a.force, a.max_frontier)
-        edges, corpus, report = fetch.neighbours(self.spark, self.connectors, frontier, direction=s["direction"], most_citing=2000 if s["max_citations"] is None else int(s["max_citations"]))
-        return self.review.snowball(edges, corpus, round_no=a.round, force=a.force, most=a.max_frontier) | {"errors": report["errors"]}
+        edges, corpus, report = fetch.neighbours(self.spark, self.connectors, frontier, direction=s["direction"], most_citing=2000 if s["max_citations"] is None else int(s["max_citations"]), backend=a.backend or s.get("backend") or "auto")
+        return self.review.snowball(edges, corpus, round_no=a.round, force=a.force, most=a.max_frontier) | {k: report[k] for k in ("errors", "failed", "unresolved", "backend")}
 
     def complete(self):
         self.review.complete(self.corpora() or fetch.metadata(self.spark, self.connectors, self.review.papers()), force=self.args.all)

@@ -26,22 +26,24 @@ def decoded(spark: SparkSession, answers: list[tuple[str, str, str]]) -> DataFra
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAPER)
 
 
-def searched(spark: SparkSession, connectors: dict, queries: dict[str, str], limit: int, **years) -> tuple[DataFrame, list[str]]:
-    """Each query on each service: (records, errors)."""
-    rows, errors = services.search_all(connectors, queries, limit, **years)
-    return decoded(spark, [(s, f"search:{s}:{q}", value) for s, q, _, value in rows]), errors
+def searched(spark: SparkSession, connectors: dict, queries: dict[str, str], limit: int, **years) -> tuple[DataFrame, list[str], dict]:
+    """Each query on each service: (records, errors, totals)."""
+    totals: dict = {}
+    rows, errors = services.search_all(connectors, queries, limit, totals, **years)
+    return decoded(spark, [(s, f"search:{s}:{q}", value) for s, q, _, value in rows]), errors, totals
 
 
-def seeded(spark: SparkSession, connectors: dict, queries: dict[str, str], limit: int, **years) -> tuple[DataFrame, list[str]]:
-    """Natural-language queries, for each the first service with an answer: (records, errors)."""
-    rows, errors = services.seed_all(connectors, queries, limit, **years)
-    return decoded(spark, [(s, f"seed:{q}", value) for s, q, _, value in rows]), errors
+def seeded(spark: SparkSession, connectors: dict, queries: dict[str, str], limit: int, **years) -> tuple[DataFrame, list[str], dict]:
+    """Natural-language queries, for each the first service with an answer: (records, errors, totals)."""
+    totals: dict = {}
+    rows, errors = services.seed_all(connectors, queries, limit, totals, **years)
+    return decoded(spark, [(s, f"seed:{q}", value) for s, q, _, value in rows]), errors, totals
 
 
-def neighbours(spark: SparkSession, connectors: dict, frontier: DataFrame, *, direction: str = "both", most_citing: int = 50) -> tuple[DataFrame, DataFrame, dict]:
+def neighbours(spark: SparkSession, connectors: dict, frontier: DataFrame, *, direction: str = "both", most_citing: int = 50, backend: str = "auto") -> tuple[DataFrame, DataFrame, dict]:
     """(edges, corpus, report) of a frontier, as graph.snowball_round() takes them; a frontier is bounded by graph.guard()."""
     asked = [r.asDict() for r in frontier.select("id", "openalex_id", "doi", "arxiv_id", "s2_id").collect()]
-    rows, report = services.expand(asked, connectors["openalex"], connectors["semantic_scholar"], backward=direction != "forward", most_citing=most_citing if direction != "backward" else 0)
+    rows, report = services.expand(asked, connectors["openalex"], connectors["semantic_scholar"], backward=direction != "forward", most_citing=most_citing if direction != "backward" else 0, backend=backend)
     found = decoded(spark, [(service, f"{way}:{parent}", value) for parent, way, service, _, value in rows]).withColumn("id", paper.paper_id())
     tag = F.get("found_via", F.lit(0))
     other, way = F.regexp_extract(tag, r"(?s)^[^:]*:(.*)$", 1), F.split_part(tag, F.lit(":"), F.lit(1))

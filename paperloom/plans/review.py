@@ -96,17 +96,17 @@ class Review:
         with open(self.folder / "log.md", "a", encoding="utf-8") as f:
             f.write(f"- {self.today} **{stage}**: {summary}\n")
 
-    def _merge(self, stage: str, prefix: str, found: DataFrame, metadata: dict[str, DataFrame] | None) -> int:
+    def _merge(self, stage: str, prefix: str, found: DataFrame, metadata: dict[str, DataFrame] | None, **more) -> int:
         fetched = self.save_raw(prefix, layout.numbered(conform(found), [F.col("seq")], "_n").withColumn("seq", F.col("_n")).drop("_n"))
         merged, new = identity.merge_into(self.papers(), fetched)
         added = new.count()
         self.save(self._completed(merged, metadata) if metadata else merged)
-        self.log(stage, f"{added} new papers", added=added)
+        self.log(stage, f"{added} new papers", added=added, **more)
         return added
 
-    def take(self, step: str, found: DataFrame, metadata: dict[str, DataFrame] | None = None) -> int:
-        """Merges records that a step found elsewhere; returns how many papers are new."""
-        return self._merge(step, step, found, metadata)
+    def take(self, step: str, found: DataFrame, metadata: dict[str, DataFrame] | None = None, **more) -> int:
+        """Merges records that a step found elsewhere; returns how many papers are new. The log tells more about the step, such as its totals."""
+        return self._merge(step, step, found, metadata, **more)
 
     def years(self) -> dict:
         f = self.config["filters"]

@@ -5,7 +5,9 @@ Services limit requests for each client, so connectors fetch from the driver or
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import http.client
 import json
 import os
 import re
@@ -18,6 +20,9 @@ from pathlib import Path
 
 _SECRET = re.compile(r"((?:api[_-]?key|apikey|key|token|secret|password|mailto|email)=)[^&#\s]+", re.I)
 _last: dict[str, float] = {}
+#: Seconds beyond which a service that asks to wait (a quota that is renewed once a day) is not waited for.
+LONGEST_WAIT = 120.0
+_WAIT_IN = re.compile(r"retry in (\d+)\s*s", re.I)
 
 
 class HttpError(Exception):
@@ -54,10 +59,11 @@ class Client:
             return place.read_text(encoding="utf-8")
         answer = self._fetch(url, body, headers or {}, interval)
         if place and (keep is None or keep(answer)):
-            place.parent.mkdir(parents=True, exist_ok=True)
-            hidden = place.with_suffix(".part")
-            hidden.write_text(answer, encoding="utf-8")
-            os.replace(hidden, place)
+            with contextlib.suppress(OSError):  # an answer is worth more than its copy
+                place.parent.mkdir(parents=True, exist_ok=True)
+                hidden = place.with_suffix(".part")
+                hidden.write_text(answer, encoding="utf-8")
+                os.replace(hidden, place)
         return answer
 
     def json(self, base: str, params: dict | None = None, **options):
@@ -78,8 +84,8 @@ class Client:
             request = urllib.request.Request(url, data=data, headers={"Accept": "*/*", **({"Content-Type": "application/json"} if data else {}), **headers})
             try:
                 status, got, answer = self.transport(request, self.timeout)
-            except OSError as e:
-                status, got, answer = None, {}, str(e)
+            except (OSError, http.client.HTTPException) as e:  # a body that breaks off is no OSError
+                status, got, answer = None, {}, f"{type(e).__name__}: {e}"
             if status == 200:
                 return answer
             if status == 404:
@@ -87,11 +93,22 @@ class Client:
             again = status is None or status == 429 or status >= 500
             if not again or attempt == self.retries - 1:
                 raise HttpError(status, f"{host} answered {status}: {answer[:200]}", persistent=status in (401, 403))
-            asked = got.get("Retry-After") or got.get("retry-after")
-            self.sleep(min(120.0, float(asked)) if asked and asked.replace(".", "", 1).isdigit() else min(60.0, 2.0**attempt))
+            wait = self._wait(got, answer, attempt)
+            if wait > LONGEST_WAIT or attempt and "api key" in answer.lower():
+                raise HttpError(status, f"{host} refused with {status}: {answer[:200]}", persistent=True)
+            self.sleep(wait)
         raise HttpError(None, f"{host}: no attempts allowed")
 
 
+    @staticmethod
+    def _wait(headers: dict, answer: str, attempt: int) -> float:
+        """Seconds until the next attempt: what the service asks for in a header or in words, else twice as long each time."""
+        asked, said = headers.get("Retry-After") or headers.get("retry-after") or "", _WAIT_IN.search(answer)
+        if asked.replace(".", "", 1).isdigit():
+            return float(asked)
+        return float(said[1]) + 1 if said else min(60.0, 2.0**attempt)
+
+
 def _send(request: urllib.request.Request, timeout: float) -> tuple[int, dict, str]:
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:
