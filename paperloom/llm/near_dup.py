@@ -250,8 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: its id and class_id, the smallest id of its class.
+def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text", counts: bool = False) -> DataFrame:
+    """One row for each row of docs: its id and class_id, the smallest id of its class; with counts, class_docs and class_texts too.
+
+    class_docs counts the rows of its class, class_texts their different texts.
 
     Two texts are linked if their multisets of `size`-word shingles have a Jaccard similarity of at least `least`; texts of
     equal words are one text; classes are what links connect. Signatures find candidates, an exact comparison decides.
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     signed = cut(signatures(rows, size))
-    nodes = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     # What is counted by a key is written before it is joined by that key, so that Spark may split a hot key's side of the join.
     shared = cut(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last"))
@@ -335,10 +337,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_co
         few = placed.where(F.col("held") <= SMALL_BUCKET)
         linked = joined(verified(other(few, few), texts, size, least).union(block_links(placed.where(F.col("held") > SMALL_BUCKET).drop("held"), texts, size, least)))
     discard(placed, texts, members)
-    classes = nodes.select("key", "id", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = cut(classes.groupBy("component").agg(F.min("id").alias("class_id")))
-    of_key = classes.join(named, "component").select("key", "class_id")
-    return signed.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_column), "class_id")
+    classes = nodes.select("key", "id", "copies", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = ["class_docs", "class_texts"] * counts
+    named = cut(classes.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_docs"), F.count("*").alias("class_texts")))
+    of_key = classes.join(named, "component").select("key", "class_id", *more)
+    return signed.select("id", "key").join(of_key, "key").select(F.col("id").alias(id_column), "class_id", *more)
 
 
 def keep_one(docs: DataFrame, *, size: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -48,7 +48,7 @@ def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), counts=True)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +152,8 @@ p AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS both_have FROM c
 l AS (SELECT a, b FROM p JOIN z x ON a = x.node JOIN z y ON b = y.node WHERE 5 * both_have >= 4 * (x.total + y.total - both_have)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(node, other) AS (SELECT node, node FROM t UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
-k AS (SELECT node, min(other) AS class_id FROM r GROUP BY node)
-SELECT doc_id, class_id FROM w JOIN t ON array_to_string(w.ws, ' ') = t.words JOIN k USING (node)""",
+k AS (SELECT node, class_id, count(*) OVER (PARTITION BY class_id) AS class_texts FROM (SELECT node, min(other) AS class_id FROM r GROUP BY node))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_docs, class_texts FROM w JOIN t ON array_to_string(w.ws, ' ') = t.words JOIN k USING (node)""",
     "op5_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
