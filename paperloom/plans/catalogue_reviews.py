@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -38,10 +40,11 @@ unnest([found, found - uniq, uniq, filtered, todo, 0, out, core, skim, core, (to
 @query("review_run", _SQL)
 def review_run(spark, sf_dir):
     """Init, seed, search, filter, snowball, filter, batches, apply, enrichment of core papers, status and export, in a folder of the shared one."""
-    path = scratch(spark, "review").removeprefix("file:")
-    review = Review.create(spark, "Reviews of notes", "/" + path.lstrip("/"), today="2026-01-02")
+    # The driver alone reads and writes configuration, batches and results; tables are in the shared folder.
+    home = tempfile.TemporaryDirectory(prefix="review-")
+    review = Review.create(spark, "Reviews of notes", home.name, today="2026-01-02", tables=scratch(spark, "review"))
     (review.folder / "config.yaml").write_text(CONFIG, encoding="utf-8")
-    review = Review.latest(spark, "/" + path.lstrip("/"))
+    review = Review.latest(spark, home.name)
     review.today = "2026-01-02"
     docs = table(spark, sf_dir, "documents")
     number = F.col("doc_id").cast("string")
@@ -69,11 +72,14 @@ def review_run(spark, sf_dir):
     s = review.status()
     sheets = len(review.tabs())
     log = len((review.folder / "runlog.jsonl").read_text().splitlines())
+    if not zipfile.is_zipfile(review.export()):
+        raise ValueError("the workbook is none")
     rows = [
         ("identified", s["identified_total"]), ("duplicates", s["duplicates"]), ("unique", s["unique"]), ("filtered out", s["filtered_out"]), ("screened", s["screened"]), ("awaiting screening", s["awaiting_screening"]),
         ("excluded at screening", s["excluded_at_screening"]), ("core", s["core"]), ("skim", s["skim"]), ("enriched", s["enriched"]), ("batches", len(screened)), ("results applied", applied),
         ("rounds", review.papers().agg(F.max("round")).first()[0]), ("sheets", sheets), ("log entries", log),
     ]
+    home.cleanup()
     return spark.createDataFrame(rows, "what string, n long")
 
 

@@ -6,7 +6,7 @@ import datetime
 import json
 import os
 import re
-import shutil
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from paperloom.operators import filters, graph, identity, layout, lookup, report
 from paperloom.plans.schema import EDITABLE, PAPER, PRIORITIES, STATUSES, conform
 from paperloom.sources import config as configs
 from paperloom.sources import records, sheets
+from paperloom.sources.commits import Commits, Conflict
 
 
 #: Unknown ids, problems and missing results that a command tells of; where there are more, the whole list is a table in the review's folder.
@@ -24,9 +25,11 @@ TOLD = 1000
 
 
 class Review:
-    """The folder holds config.yaml, papers/ (one folder for each version), raw/, batches, and logs.
+    """The folder, on the driver, holds config.yaml, batches, results, and logs.
 
-    Tables are versioned, as Spark can't overwrite what it reads: a new version is written whole and then named in CURRENT.
+    Papers and raw records are tables below `tables`, a place in any file system that Spark reaches: the folder itself, or
+    what create() was told (a cluster needs one that its executors share). Papers are versioned: a new version is written
+    whole and counts once it is committed; of two who save after reading the same version the second one gets a Conflict.
     corpora maps a source's name to a DataFrame of records; commands that search take them instead of remote services.
     """
 
@@ -34,18 +37,26 @@ class Review:
         self.spark, self.folder = spark, Path(folder)
         self.config = configs.load(str(self.folder / "config.yaml"))
         self.today = today or datetime.date.today().isoformat()
+        named = self.folder / "TABLES"
+        self.apart = named.exists()
+        self.tables = named.read_text(encoding="utf-8").strip().rstrip("/") if self.apart else "file://" + str(self.folder.resolve())
+        if not self.apart and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster a review needs tables= in create(): a place that driver and executors share")
+        self.versions, self.seen = Commits(spark, f"{self.tables}/papers"), None
 
     # -------------------------------------------------------------- state
 
     @classmethod
-    def create(cls, spark: SparkSession, topic: str, root: str = "reviews", *, today: str | None = None, name: str | None = None) -> Review:
-        """A new review with a default configuration; an existing folder is not touched."""
+    def create(cls, spark: SparkSession, topic: str, root: str = "reviews", *, today: str | None = None, name: str | None = None, tables: str | None = None) -> Review:
+        """A new review with a default configuration, its tables below `tables` if told; an existing folder is not touched."""
         today = today or datetime.date.today().isoformat()
         folder = Path(root) / f"{today}-{text.slug(name or topic)}"
         if (folder / "config.yaml").exists():
             raise FileExistsError(f"{folder} holds a review already")
         folder.mkdir(parents=True, exist_ok=True)
         (folder / "config.yaml").write_text(configs.render(topic, today), encoding="utf-8")
+        if tables:
+            (folder / "TABLES").write_text(f"{tables.rstrip('/')}/{folder.name}", encoding="utf-8")
         return cls(spark, str(folder), today=today)
 
     @classmethod
@@ -57,34 +68,34 @@ class Review:
         return cls(spark, str(max(found, key=lambda p: p.stat().st_mtime)))
 
     def _uri(self, *parts: str) -> str:
-        return "file://" + str(self.folder.resolve().joinpath(*parts))
+        return "/".join((self.tables, *parts))
 
     def papers(self) -> DataFrame:
-        current = self.folder / "papers" / "CURRENT"
-        if not current.exists():
-            return self.spark.createDataFrame([], PAPER)
-        return self.spark.read.schema(PAPER).parquet(self._uri("papers", current.read_text().strip()))
+        """The papers of the last version."""
+        self.seen, document = self.versions.latest()
+        return self.spark.read.schema(PAPER).parquet(self._uri("papers", document["papers"])) if document else self.spark.createDataFrame([], PAPER)
 
     def save(self, papers: DataFrame, keep: int = 2) -> DataFrame:
-        """A new version of the papers; the last `keep` versions stay."""
-        folder = self.folder / "papers"
-        current = folder / "CURRENT"
-        version = int(current.read_text().strip()[1:]) + 1 if current.exists() else 1
-        conform(papers).write.parquet(self._uri("papers", f"v{version:06d}"))
-        (folder / "CURRENT.part").write_text(f"v{version:06d}")
-        os.replace(folder / "CURRENT.part", current)
-        for old in sorted(folder.glob("v*"))[:-keep]:
-            shutil.rmtree(old, ignore_errors=True)
+        """A new version of the papers after the one that was read last; the last `keep` versions stay."""
+        version = (self.versions.latest()[0] if self.seen is None else self.seen) + 1
+        name = f"v{version:06d}-{uuid.uuid4().hex[:8]}"
+        conform(papers).write.parquet(self._uri("papers", name))
+        try:
+            self.versions.commit(version, {"papers": name})
+        except Conflict:
+            self.versions.remove(name)
+            raise
+        for old in self.versions.versions()[:-keep]:
+            self.versions.remove(self.versions.read(old)["papers"])
         return self.papers()
 
     def raw(self) -> DataFrame:
-        if not any((self.folder / "raw").glob("*/_SUCCESS")):
-            return self.spark.createDataFrame([], PAPER)
-        return self.spark.read.schema(PAPER).parquet(*(self._uri("raw", p.parent.name) for p in sorted((self.folder / "raw").glob("*/_SUCCESS"))))
+        whole = Commits(self.spark, self._uri("raw")).whole_folders()
+        return self.spark.read.schema(PAPER).parquet(*(self._uri("raw", name) for name in whole)) if whole else self.spark.createDataFrame([], PAPER)
 
     def save_raw(self, prefix: str, found: DataFrame) -> DataFrame:
         """One folder for each fetch, numbered within its prefix."""
-        n = len(list((self.folder / "raw").glob(f"{prefix}-*"))) + 1
+        n = sum(name.startswith(f"{prefix}-") for name in Commits(self.spark, self._uri("raw")).whole_folders()) + 1
         path = self._uri("raw", f"{prefix}-{n:02d}")
         conform(found).write.parquet(path)
         return self.spark.read.schema(PAPER).parquet(path)
@@ -287,6 +298,9 @@ class Review:
         empty = self.spark.createDataFrame([], "file string, file_no int, line int, value string")
         if not names:
             return empty
+        if self.apart:  # judges write beside the configuration, executors read from where the tables are
+            for n in names:
+                self.versions.upload(str(self.folder.resolve() / stage / n), self._uri(stage, n))
         whole = self.spark.read.text([self._uri(stage, n) for n in names], wholetext=True)
         order = self.spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, file_no int")
         lines = whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))

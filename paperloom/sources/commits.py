@@ -60,3 +60,14 @@ class Commits:
     def remove(self, *parts: str) -> None:
         """Removes files that no version refers to any more."""
         self.fs.delete(self._path(*parts), True)
+
+    def whole_folders(self) -> list[str]:
+        """Folders of tables that were written whole, by name."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        names = [s.getPath().getName() for s in self.fs.listStatus(where) if s.isDirectory()] if self.fs.exists(where) else []
+        return sorted(n for n in names if self.fs.exists(self._path(n, "_SUCCESS")))
+
+    def upload(self, file: str, to: str) -> None:
+        """Copies a file of this machine to a place that Spark reaches."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self.fs.copyFromLocalFile(False, True, path("file://" + file), path(to))

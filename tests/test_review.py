@@ -88,3 +88,24 @@ def test_titles_of_the_third_source_are_found(spark, tmp_path):
     added, errors = r.add([LONG.format("Held by the third only"), LONG.format("A study"), "Nowhere at all"], corpora(spark) | {"arxiv": third})
     assert added == 2 and errors == ["Nowhere at all: no confirmed match for this title"]
     assert r.papers().where("doi = '10.1234/a' and venue = 'KDD'").count() == 1
+
+
+def test_tables_apart_and_concurrent_saves(spark, tmp_path):
+    """Tables elsewhere by URI; of two who read one version the second can't save."""
+    from paperloom.sources.commits import Conflict
+
+    r = Review.create(spark, "Apart", str(tmp_path / "here"), today="2026-01-02", tables=f"file://{tmp_path}/there")
+    (r.folder / "config.yaml").write_text("search: {queries: ['citation']}\n")
+    r = Review.latest(spark, str(tmp_path / "here"))
+    assert r.search(corpora(spark)) > 0 and r.raw().count() > 0
+    assert not (r.folder / "papers").exists() and list((tmp_path / "there" / r.folder.name / "papers").glob("v*/_SUCCESS"))
+    path = Path(r.batches("screen")[0])
+    ids = [json.loads(x)["id"] for x in path.read_text().splitlines()[1:]]
+    path.with_name("batch_001.result.jsonl").write_text("".join(json.dumps({"id": i, "status": "core"}) + "\n" for i in ids))
+    assert r.apply("screen")["applied"] == len(ids) == r.status()["core"]
+    one, two = Review(spark, str(r.folder)), Review(spark, str(r.folder))
+    first, second = one.papers(), two.papers()
+    one.save(first.limit(1))
+    with pytest.raises(Conflict):
+        two.save(second)
+    assert two.papers().count() == 1 and two.save(two.papers()).count() == 1
