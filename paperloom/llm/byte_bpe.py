@@ -16,6 +16,10 @@ from paperloom.llm.batches import text_steps, tidied
 
 #: White space of Unicode (fixed values). A character that is none, followed by one that is, always ends a match of the pattern.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ASCII signs (fixed values): where one follows a letter or number, a match of the pattern ends too.
+SIGNS = r"!-/:-@\[-`{-~"
+#: Pieces that are encoded in one string, as each starts with white space and ends with none.
+JOINED = 256
 #: Characters of pieces that a task remembers before it forgets them and starts anew; it bounds memory, not the result.
 STORE_CHARS = 8_000_000
 
@@ -60,7 +64,9 @@ class RankedTokenizer:
         width = len(str(size)) + 1
         self.digits = np.frombuffer("".join(f"{i},".ljust(width) for i in range(size)).encode(), np.uint8).reshape(size, width)
         self.digits_used = self.digits != 32
-        self.pieces = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        # Letters end where a sign follows; anything else goes on to the next white space.
+        self.pieces = re.compile(rf"[{WHITE}]*+[^\W\d_]++(?![^{SIGNS}{WHITE}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.white = re.compile(f"[{WHITE}]")
         self._forget()
 
     def _forget(self) -> None:
@@ -70,15 +76,23 @@ class RankedTokenizer:
     def _learn(self, new: list[str]) -> None:
         if self.held > STORE_CHARS:
             self._forget()
-        got = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        white = self.white.match
+        led = [p for p in new if white(p) and not white(p[-1])]
+        rest = [p for p in new if not white(p) or white(p[-1])]
+        rows = [led[i : i + JOINED] for i in range(0, len(led), JOINED)]
+        got = [np.array(e.ids, np.int32) for e in self.core.encode_batch_fast(["".join(r) for r in rows] + rest, add_special_tokens=False)]
+        counts = []
+        for row, ids in zip(rows, got):
+            ends = np.cumsum([len(p.encode()) for p in row])
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends), prepend=-1))
+        counts = np.concatenate([*counts, np.fromiter(map(len, got[len(rows) :]), np.int64, len(rest))]).astype(np.int64)
+        self.known.update(zip(led + rest, range(len(self.known), len(self.known) + len(new))))
         self.held += sum(map(len, new)) + 16 * len(new)
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.int32, int(counts.sum()))])
+        self.ids = np.concatenate([self.ids, *got])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Pieces from white space to white space are encoded once for all texts that hold them."""
+        """The ids of each text. Pieces that a match never goes beyond are encoded once for all texts that hold them."""
         cut = [self.pieces.findall(t) for t in texts]
         wanted = set().union(*cut)
         new = [p for p in wanted if p not in self.known]

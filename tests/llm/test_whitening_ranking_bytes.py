@@ -252,3 +252,12 @@ def test_whole_characters():
             head, rest = byte_bpe.whole_characters(raw[:k])
             assert head + rest == raw[:k] and head.decode() == raw[:k].decode("utf-8", "ignore")
     assert byte_bpe.whole_characters(b"\x80\x80\x80\x80") == (b"\x80\x80\x80\x80", b"")
+
+
+def test_pieces_are_matches_of_the_pattern(reference_encoding):
+    """Letters of many scripts, numbers, marks, signs, contractions and white space next to each other."""
+    alphabet = ["a", "Z", "é", "²", "1", "'", "'s", "'re", "n't", "_", "-", ".", "!", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "漢", "😀", "́", "ǅ", "ª", "Ⅷ", "$", "~", "[", "\\", "^"]
+    rng, tokenizer = random.Random(3), byte_bpe.RankedTokenizer(ranks_path())
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(8_000)]
+    assert [x.tolist() for x in tokenizer.encode(texts)] == [reference_encoding.encode_ordinary(t) for t in texts]
+    assert all("".join(tokenizer.pieces.findall(t)) == t for t in texts)
