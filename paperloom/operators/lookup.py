@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import paper, text
 from paperloom.operators.components import discard, stored
-from paperloom.operators.identity import numbering, sequence_ratio as _ratio
-from paperloom.operators.near import near_pairs, SIMILAR
+from paperloom.operators.identity import numbering, sequence_ratio
+from paperloom.operators.near import first_near, SIMILAR
 
 #: Fields that metadata fills where they are blank.
 COMPLETED = ("abstract", "citation_count", "doi", "arxiv_id", "s2_id", "openalex_id", "venue", "year", "pdf_url", "language")
@@ -75,8 +75,7 @@ def match_titles(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     titles = stored(forms.where("at is not null").groupBy("name").agg(F.min("at").alias("at")).select("name", "at.*").orderBy("source_rank", "seq").withColumn("id", F.monotonically_increasing_id()))
     own = titles.select("name", F.col("id").alias("limit"))
     names = stored(forms.where("wanted").select("name").distinct().join(own, "name", "left").select("name", "limit", numbers, F.monotonically_increasing_id().alias("id")))
-    near = near_pairs(names, titles.select("id", "name", numbers), ["numbers"])
-    near = near.where(_ratio(F.col("right_name"), F.col("left_name")) >= SIMILAR).groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("best"))
+    near = first_near(names, titles.select("id", "name", numbers), ["numbers"], lambda a, b: sequence_ratio(a, b) >= SIMILAR).toDF("id", "best")
     found = names.join(near, "id", "left").select("name", F.coalesce("best", "limit").alias("id")).where("id is not null")
     best = stored(forms.where("wanted").select("title", "name").join(found, "name").join(titles.select("id", "source_rank", "seq"), "id").select(F.col("title").alias("asked"), "source_rank", "seq"))
     discard(distinct, forms, titles, names)

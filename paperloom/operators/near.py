@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from paperloom.operators.components import discard, stored
 
@@ -24,6 +25,8 @@ GRAM, SHORT_GRAM, SHORT = 5, 3, 21
 PLACES = 16
 #: Grams that are at least one in so many of all are common: there can't be more of them than this, so they fit in memory.
 COMMON = 20_000
+#: Right titles of a piece that each left one with it is compared with first.
+LEADERS = 8
 #: Titles up to this length get the best choice of pieces, longer ones the rarest piece of each of as many equal parts.
 CHOSEN = 400
 
@@ -118,36 +121,75 @@ def letter_counts(title: Column, name: str) -> list[Column]:
     return [bits(x).alias(f"{name}{i}") for i, x in enumerate(LETTERS)]
 
 
-def candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+class Prepared:
+    """Both sides of a join, with what is reckoned once a title: its length, letters, keys and pieces."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, keys: list[str], *, both: bool = False):
+        """left has id, name, limit and the keys, right has id, name and the keys; names are distinct, normalized titles of each
+        side. Pieces of the right side are chosen only if both are asked for."""
+        # Stored, or else what is reckoned once a title would be reckoned once a gram.
+        ready = lambda df, *more: stored(df.select("id", *more, "name", F.length("name").cast("int").alias("n"), *letter_counts(F.col("name"), "l"), F.xxhash64(F.lit(0), *keys).alias("k")))
+        plain = ready(right)
+        total = plain.select(F.sum(F.size(grams(F.col("name"))))).first()[0] or 0
+        counted = plain.select(F.explode(grams(F.col("name"))["gram"]).alias("gram")).groupBy("gram").count()
+        floor = max(8, total // COMMON + 1)
+        common = {r.gram: r["count"] for r in counted.where(F.col("count") >= floor).collect()}  # COMMON at most
+        pieces = _pieces_udf(common, floor)(F.col("name")).alias("places")
+        self.left = ready(left.select("*", pieces), "limit", "places")
+        self.right = plain
+        if both:
+            self.right = ready(right.select("*", pieces), "places")
+            discard(plain)
+
+    def discard(self) -> None:
+        discard(self.left, self.right)
+
+
+def _gram_at(place: str = "place") -> Column:
+    return F.expr(f"substring(name, {place}, case when n >= {SHORT} then {GRAM} else {SHORT_GRAM} end)")
+
+
+def _letters_fit(a0: str, a1: str, b0: str, b1: str, most: Column) -> Column:
+    return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= most
+
+
+def met_by_pieces(sides: Prepared, limits: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id) of pairs that may be near-identical: no near-identical pair of equal keys is left out.
 
-    left has id, name, limit and the keys, right has id, name and the keys; names are distinct, normalized titles of each
-    side. Only right ids below a row's limit count, all if it is null. Pairs meet by a piece of the left title, near its
-    place; their lengths, letters and order are tested where they meet, so that pairs come out of the join, each as often as
-    they share a piece, that mostly are near indeed.
+    Only right ids below a left row's limit count, all if it is null; limits (id, limit) stand for those of the left side.
+    Pairs meet by a piece of the left title, near its place; their lengths, letters and order are tested where they meet, so
+    that pairs come out of the join, each as often as they share a piece, that mostly are near indeed.
     """
-    # Stored, or else what is reckoned once a title would be reckoned once a gram.
-    ready = lambda df, *more: stored(df.select("id", *more, "name", F.length("name").alias("n"), *letter_counts(F.col("name"), "l"), F.xxhash64(F.lit(0), *keys).alias("k")))
-    right = ready(right)
-    counted = right.select(F.explode(grams(F.col("name"))["gram"]).alias("gram")).groupBy("gram").count()
-    total = right.select(F.sum(F.size(grams(F.col("name"))))).first()[0] or 0
-    floor = max(8, total // COMMON + 1)
-    common = {r.gram: r["count"] for r in counted.where(F.col("count") >= floor).collect()}  # COMMON at most
-    left = ready(left.withColumn("places", _pieces_udf(common, floor)(F.col("name"))), "limit", "places")
     code = lambda gram, bucket: F.xxhash64(gram, bucket, "k")
-    every = right.select("id", "n", "l0", "l1", "k", F.explode(grams(F.col("name"))).alias("g"))
+    left = sides.left if limits is None else sides.left.drop("limit").join(limits, "id")
     pieces = left.select("id", "limit", "name", "n", "l0", "l1", "k", F.explode("places").alias("place"))
     reach = spoiled_at_most(F.col("n"))
     buckets = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(1)) / PLACES), F.floor((F.col("place") + reach) / PLACES))
-    pieces = pieces.withColumn("gram", F.expr(f"substring(name, place, case when n >= {SHORT} then {GRAM} else {SHORT_GRAM} end)")).withColumn("bucket", F.explode(buckets))
+    pieces = pieces.withColumn("gram", _gram_at()).withColumn("bucket", F.explode(buckets))
     a = pieces.select(code(F.col("gram"), F.col("bucket")).alias("code"), *(F.col(c).alias(f"a_{c}") for c in ("id", "limit", "n", "place", "l0", "l1")))
+    every = sides.right.select("id", "n", "l0", "l1", "k", F.explode(grams(F.col("name"))).alias("g"))
     b = every.select(code(F.col("g.gram"), F.floor(F.col("g.place") / PLACES)).alias("code"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1")), F.col("g.place").alias("b_place"))
     most = missing_at_most(F.col("a_n") + F.col("b_n"))
     longer, shift = F.col("b_n") - F.col("a_n"), F.col("b_place") - F.col("a_place")
-    letters = F.bit_count(F.col("a_l0").bitwiseXOR(F.col("b_l0"))) + F.bit_count(F.col("a_l1").bitwiseXOR(F.col("b_l1")))
-    fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & (letters <= most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit")))
-    out = stored(a.join(b, "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct())
-    discard(left, right)
+    fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit")))
+    return a.join(b, "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
+
+
+def met_by_leaders(sides: Prepared) -> DataFrame:
+    """(left_id, right_id) of pairs of a left title and the first right ones that have a piece with it: at most LEADERS for each piece."""
+    pieces = lambda df, *more: df.select("id", *more, "name", "n", "l0", "l1", "k", F.explode("places").alias("place")).select("id", *more, "n", "l0", "l1", F.xxhash64(_gram_at(), "k").alias("code"))
+    first = pieces(sides.right).withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= LEADERS)
+    first = first.select("code", F.col("id").alias("right_id"), *(F.col(c).alias(f"b_{c}") for c in ("n", "l0", "l1")))
+    most = missing_at_most(F.col("n") + F.col("b_n"))
+    fits = (F.abs(F.col("n") - F.col("b_n")) <= most) & _letters_fit("l0", "l1", "b_l0", "b_l1", most) & (F.col("limit").isNull() | (F.col("right_id") < F.col("limit")))
+    return pieces(sides.left, "limit").join(first, "code").where(fits).select(F.col("id").alias("left_id"), "right_id").distinct()
+
+
+def candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """met_by_pieces() of two sides, stored."""
+    sides = Prepared(left, right, keys)
+    out = stored(met_by_pieces(sides))
+    sides.discard()
     return out
 
 
@@ -156,10 +198,34 @@ def few_missing(a: Column, b: Column) -> Column:
     return F.call_function("levenshtein", a, b, missing_at_most(F.length(a) + F.length(b))) >= 0
 
 
+def _verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs between which few edits lie, with their names."""
+    named = met.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_id")
+    return named.where(few_missing(F.col("left_name"), F.col("right_name"))).select("left_id", "left_name", "right_id", "right_name")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """candidates() between which few edits lie, with their names: (left_id, left_name, right_id, right_name)."""
     met = candidates(left, right, keys)
-    named = met.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_id")
-    out = stored(named.where(few_missing(F.col("left_name"), F.col("right_name"))).select("left_id", "left_name", "right_id", "right_name"))
+    out = stored(_verified(met, left, right))
     discard(met)
     return out
+
+
+def first_near(left: DataFrame, right: DataFrame, keys: list[str], alike) -> DataFrame:
+    """(left_id, right_id): the near-identical right title of the least id below each left row's limit, where there is one.
+
+    alike(right name, left name) decides. Titles of a large group of near ones find one of its first members by the leaders
+    of their pieces; after that only what comes before it is looked at, so the pairs of such a group are not gone through.
+    """
+    sides = Prepared(left, right, keys, both=True)
+    least = lambda met: stored(_verified(met, sides.left, sides.right).where(alike(F.col("right_name"), F.col("left_name"))).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
+    early = least(met_by_leaders(sides))
+    limits = sides.left.select("id", "limit").join(early.withColumnRenamed("left_id", "id"), "id", "left").select("id", F.coalesce("right_id", "limit").alias("limit"))
+    limits = stored(limits)
+    met = stored(met_by_pieces(sides, limits))
+    late = least(met)
+    out = stored(early.union(late).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
+    sides.discard()
+    discard(early, limits, met, late)
+    return out
