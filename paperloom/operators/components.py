@@ -41,6 +41,13 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def parts(df: DataFrame, each: int) -> int:
+    """Parts to deal df out to: the session's number, or more where the optimizer's estimate of its bytes asks for more."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, min(size // each, 1_000_000) if size < 2**60 else n)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of edges (a, b); a component is named by its smallest node.
 

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import random
+
+from pyspark.sql import functions as F
+
+from paperloom.functions import text
 from paperloom.operators import graph
+from paperloom.plans import catalogue
+from paperloom.sources import sheets
+from tests.conftest import SF
 
 
 def plan(df) -> str:
@@ -19,3 +28,21 @@ def test_snowball_reads_edges_once(spark):
         found = graph.snowball_round(starts, edges, corpus, 1, direction="backward", max_references=1)
         assert plan(found).count("Join") == 2 and "source_rank" in found.columns
         assert {(r.start_id, r.id) for r in found.collect()} == want
+
+
+def test_unescape_sends_references_alone(spark):
+    texts = ["", "no &", "&amp;", "a &lt;b&gt; &amp;amp; &notit; &not; &copy 2 &#65;&#x41 &#0; &#x110000; &#xD800; &#128;", "&&amp;&", "&unknown; x &ampersand; &" + "y" * 40, None, "é &eacute;\n&nbsp;&NotEqualTilde;𝒳&Xscr;&\r;", "plain"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2).select("k", text.unescape(F.col("t")).alias("u"))
+    assert {r.k: r.u for r in df.collect()} == {k: None if t is None else html.unescape(t) for k, t in enumerate(texts)}
+    assert "_unescape(CASE WHEN Contains(t" in plan(df) and "THEN regexp_extract_all(t" in plan(df)
+
+
+def test_island_ends(spark):
+    """The runs of islands(), without an aggregate that holds them."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 30), i, rng.choice(["a", "b", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, at int, v string")
+    want = sheets.islands(df, "g", ["at"], "v").groupBy("g", "v", "island").agg(F.min("at").alias("low"), F.max("at").alias("high")).drop("island")
+    got = sheets.island_ends(df, "g", ["at"], "v")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Aggregate" not in plan(catalogue.QUERIES["runs_islands"](spark, SF)) and "Aggregate" not in plan(got)
