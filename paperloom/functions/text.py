@@ -35,16 +35,29 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-@F.arrow_udf(T.StringType())
-def _unescape(texts: pa.Array) -> pa.Array:
+#: What html.unescape() takes for a character reference, each by itself.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape(references: pa.Array) -> pa.Array:
     import html
 
-    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    import pyarrow.compute as pc
+
+    flat = references.flatten().dictionary_encode()
+    plain = pa.array([html.unescape(t) for t in flat.dictionary.to_pylist()], pa.string())
+    counts = pc.fill_null(pc.list_value_length(references), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array([0, *counts.cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, plain.take(flat.indices), mask=references.is_null() if references.null_count else None)
 
 
 def unescape(c: Column) -> Column:
-    """Character references become characters; only texts with an ampersand go through Python."""
-    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+    """Character references become characters; only the references go through Python, not the text around them."""
+    some = F.contains(c, F.lit("&"))
+    plain = _unescape(F.when(some, F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))))
+    between = F.split(c, REFERENCE, -1)
+    return F.when(some, F.array_join(F.zip_with(between, plain, lambda text, character: F.concat(text, F.coalesce(character, F.lit("")))), "")).otherwise(c)
 
 
 @cache
