@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import graph
+from paperloom.operators import graph, text_index
 from paperloom.plans import catalogue
 from paperloom.sources import sheets
 from tests.conftest import SF
@@ -46,3 +47,25 @@ def test_island_ends(spark):
     got = sheets.island_ends(df, "g", ["at"], "v")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Aggregate" not in plan(catalogue.QUERIES["runs_islands"](spark, SF)) and "Aggregate" not in plan(got)
+
+
+def test_fuzzy_candidates_count_bytes(spark, tmp_path):
+    """Edits of letters that are several bytes count as the query's SQL counts them."""
+    start = "gekeit die chlich ist als unguach zu enie"
+    texts = [start + "aaaaaa", start + "ßßßßßß", start + "aaaaab", start + "ßßßßßä", None]
+    rows = [(i, t, "de", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalogue.SQL["fuzzy_candidates"]).fetchall()
+    assert want and sorted(map(tuple, catalogue.QUERIES["fuzzy_candidates"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_postings_without_a_row_for_each_word(spark, tmp_path):
+    texts = ["b a b", "", "x", "a a a"]
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "seq long, said array<string>")
+    got = df.select("seq", F.inline(text_index.grouped_positions(F.col("said"))))
+    assert sorted(map(tuple, got.collect())) == [(0, "a", [1]), (0, "b", [0, 2]), (2, "x", [0]), (3, "a", [0, 1, 2])]
+    assert "Aggregate" not in plan(got)
