@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import boolean
-from paperloom.functions.text import WORD
+from paperloom.functions.text import _let, WORD
 from paperloom.operators.search import _of_years, best_of, Queries, searched_text
 from paperloom.sources.commits import Commits
 
@@ -25,6 +25,19 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(f"{WORD}+"), F.lit(0))
 
 
+def grouped_positions(said: Column) -> Column:
+    """(token, positions) of the distinct ones of some tokens, by one sort of them where they are; null if there are none."""
+
+    def grouped(pairs: Column) -> Column:
+        token = lambda i: F.get(pairs, i)["token"]
+        first = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
+        places = lambda a, z: F.transform(F.slice(pairs, a + 1, z - a), lambda x: x["at"])
+        return _let(first, lambda f: F.transform(f, lambda a, j: F.struct(token(a).alias("token"), places(a, F.coalesce(F.get(f, j + 1), F.size(pairs))).alias("positions"))))
+
+    pairs = F.sort_array(F.transform(said, lambda t, i: F.struct(t.alias("token"), i.alias("at"))))
+    return F.when(F.size(said) > 0, _let(pairs, grouped))
+
+
 def _bucket(token: Column, buckets: int) -> Column:
     """By the first two characters, so that the words with a common start lie together."""
     return F.pmod(F.xxhash64(F.left(token, F.lit(2))), F.lit(buckets)).cast("int")
@@ -39,8 +52,8 @@ class TextIndex:
 
     def build(self, corpus: DataFrame, buckets: int = BUCKETS) -> TextIndex:
         """Indexes the papers in place of whatever the folder holds."""
-        said = corpus.select("seq", F.posexplode(tokens(searched_text())).alias("at", "token"))
-        rows = said.groupBy("token", "seq").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+        said = corpus.select("seq", tokens(searched_text()).alias("said"))
+        rows = said.select("seq", F.inline(grouped_positions(F.col("said")))).select("token", "seq", "positions")
         name = f"v{self.version + 1:08d}"
         dealt = rows.withColumn("bucket", _bucket(F.col("token"), buckets)).repartition("bucket", F.pmod(F.xxhash64("seq"), F.lit(PARTS)))
         dealt.sortWithinPartitions("bucket", "token", "seq").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.commits.folder}/{name}")
