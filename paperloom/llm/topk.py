@@ -256,8 +256,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     read; an empty table gives an empty result.
 
     Both tables are packed into blocks, each with a cover tree that is built once, and each data block meets each query
-    block once (the stated query set against all rows): data blocks are dealt to tasks, query blocks go to each of them. A
-    task searches the trees of its blocks together, carries each query's kth score from block to block, and returns k
+    block once (the stated query set against all rows): data blocks are dealt to tasks, query blocks go to each of them, by
+    a shuffle: the optimizer only knows their size before they are repeated for each task, and would broadcast that. A task searches the trees of its blocks together, carries each query's kth score from block to block, and returns k
     candidates a query; these are merged in two steps, so that none sees the candidates of all tasks. No task holds more
     than one block of either side at a time.
     """
@@ -270,11 +270,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     renamed = lambda side: [F.col(c).alias(f"{side}_{c}") for c in cells]
     # Queries are packed from a few large partitions, so that their blocks are full.
     asked = _packed_blocks(usable(queries).repartition(1 + _estimate(queries) // 50_000_000), QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id())
-    tasks = partitions(vectors, 16_000_000)
+    size = _estimate(vectors)
+    tasks = min(partitions(vectors, 16_000_000), 1 + size // 500_000) if size else partitions(vectors, 16_000_000)  # no more than find blocks
     asked = asked.select("query_block", "width", *renamed("q"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
     data = _packed_blocks(usable(vectors), DATA_BLOCK).select("width", *renamed("d"), F.expr(f"cast(pmod(xxhash64(ids), {tasks}) as int)").alias("task"))
     columns = ["query_block", "width", *(f"{side}_{c}" for side in "qd" for c in cells)]
-    found = _searched(data.join(asked, ["width", "task"]).sortWithinPartitions("query_block"), k, columns)
+    found = _searched(data.join(asked.hint("merge"), ["width", "task"]).sortWithinPartitions("query_block"), k, columns)
     first = lambda df, *keys: df.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     some = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks) + 1)))
     merged = first(first(some, "part").select("query_id", F.inline("best")).select("query_id", (-F.col("s")).alias("score"), "id"))

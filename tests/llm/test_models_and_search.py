@@ -98,6 +98,16 @@ def test_top_k_brute_force(spark, kind):
     assert sorted(tuple(r) for r in got) == brute_top([v for v in vectors if v[1] != []], 10)
 
 
+def test_query_blocks_are_not_broadcast(spark):
+    """A few queries, repeated for each task, don't pass through the driver, however small they are before that."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 2)
+    assert len(got.collect()) == 6
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_dual_tree_prunes():
     """Far clusters are left out without being compared."""
     import numpy as np
