@@ -3,6 +3,9 @@
 Two titles of ratio SIMILAR differ by at most so many characters that are missing from one or the other. Each of these
 spoils at most one of some disjoint pieces of a title, so of one piece more than that, one stands unchanged in the other
 title, at nearly the same place. Any disjoint pieces will do: those are taken that are rarest over all titles.
+
+Joins of grams and of pairs are merge joins: stored tables are many times smaller than what they hold, and their titles than
+their grams, so that the optimizer would broadcast what doesn't fit into the driver.
 """
 
 from __future__ import annotations
@@ -172,7 +175,7 @@ def met_by_pieces(sides: Prepared, limits: DataFrame | None = None) -> DataFrame
     most = missing_at_most(F.col("a_n") + F.col("b_n"))
     longer, shift = F.col("b_n") - F.col("a_n"), F.col("b_place") - F.col("a_place")
     fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit")))
-    return a.join(b, "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
+    return a.join(b.hint("merge"), "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
 
 
 def met_by_leaders(sides: Prepared) -> DataFrame:
@@ -182,7 +185,7 @@ def met_by_leaders(sides: Prepared) -> DataFrame:
     first = first.select("code", F.col("id").alias("right_id"), *(F.col(c).alias(f"b_{c}") for c in ("n", "l0", "l1")))
     most = missing_at_most(F.col("n") + F.col("b_n"))
     fits = (F.abs(F.col("n") - F.col("b_n")) <= most) & _letters_fit("l0", "l1", "b_l0", "b_l1", most) & (F.col("limit").isNull() | (F.col("right_id") < F.col("limit")))
-    return pieces(sides.left, "limit").join(first, "code").where(fits).select(F.col("id").alias("left_id"), "right_id").distinct()
+    return pieces(sides.left, "limit").join(first.hint("merge"), "code").where(fits).select(F.col("id").alias("left_id"), "right_id").distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,7 +203,8 @@ def few_missing(a: Column, b: Column) -> Column:
 
 def _verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The pairs between which few edits lie, with their names."""
-    named = met.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_id")
+    names = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")).hint("merge")
+    named = met.join(names(left, "left"), "left_id").join(names(right, "right"), "right_id")
     return named.where(few_missing(F.col("left_name"), F.col("right_name"))).select("left_id", "left_name", "right_id", "right_name")
 
 

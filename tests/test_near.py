@@ -64,6 +64,19 @@ def test_candidates_lose_no_near_pair(spark, common, monkeypatch):
     assert want <= kept <= got and near.candidates(df.limit(0), df, ["key"]).count() == 0 and near.candidates(df, df.limit(0), ["key"]).count() == 0
 
 
+def test_grams_and_pairs_are_not_broadcast(spark):
+    """Small stored tables become large by their grams and pairs, which don't pass through the driver."""
+    names = [(i, f"a study of citation networks for forecasting {chr(97 + i)}", i) for i in range(12)]
+    df = spark.createDataFrame(names, "id long, name string, limit long").withColumn("key", F.lit(1))
+    sides = near.Prepared(df, df, ["key"], both=True)
+    pieces, leaders = near.met_by_pieces(sides), near.met_by_leaders(sides)
+    rows = identity.keyed(papers(spark, *({"title": name, "year": 2000} for _, name, _ in names)))
+    for got in (pieces, leaders, near._verified(pieces, df, df), identity.fuzzy_edges(rows)):
+        assert got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pairs_grow_with_what_is_near(spark):
     """Titles that share most of their words, but are not near, hardly meet."""
     rng = random.Random(4)
