@@ -156,35 +156,45 @@ def _letters_fit(a0: str, a1: str, b0: str, b1: str, most: Column) -> Column:
     return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= most
 
 
-def met_by_pieces(sides: Prepared, limits: DataFrame | None = None) -> DataFrame:
+def met_by_pieces(sides: Prepared, limits: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id) of pairs that may be near-identical: no near-identical pair of equal keys is left out.
 
+    classes (id, class) of both sides' titles, where given, leave out pairs of one class; a null class is like no other.
+
     Only right ids below a left row's limit count, all if it is null; limits (id, limit) stand for those of the left side.
     Pairs meet by a piece of the left title, near its place; their lengths, letters and order are tested where they meet, so
     that pairs come out of the join, each as often as they share a piece, that mostly are near indeed.
     """
     code = lambda gram, bucket: F.xxhash64(gram, bucket, "k")
     left = sides.left if limits is None else sides.left.drop("limit").join(limits, "id")
-    pieces = left.select("id", "limit", "name", "n", "l0", "l1", "k", F.explode("places").alias("place"))
+    classed = lambda df: df.withColumn("class", F.lit(None).cast("long")) if classes is None else df.join(classes, "id")
+    pieces = classed(left).select("id", "limit", "name", "n", "l0", "l1", "k", "class", F.explode("places").alias("place"))
     reach = spoiled_at_most(F.col("n"))
     buckets = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(1)) / PLACES), F.floor((F.col("place") + reach) / PLACES))
     pieces = pieces.withColumn("gram", _gram_at()).withColumn("bucket", F.explode(buckets))
-    a = pieces.select(code(F.col("gram"), F.col("bucket")).alias("code"), *(F.col(c).alias(f"a_{c}") for c in ("id", "limit", "n", "place", "l0", "l1")))
-    every = sides.right.select("id", "n", "l0", "l1", "k", F.explode(grams(F.col("name"))).alias("g"))
-    b = every.select(code(F.col("g.gram"), F.floor(F.col("g.place") / PLACES)).alias("code"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1")), F.col("g.place").alias("b_place"))
+    a = pieces.select(code(F.col("gram"), F.col("bucket")).alias("code"), *(F.col(c).alias(f"a_{c}") for c in ("id", "limit", "n", "place", "l0", "l1", "class")))
+    every = classed(sides.right).select("id", "n", "l0", "l1", "k", "class", F.explode(grams(F.col("name"))).alias("g"))
+    b = every.select(code(F.col("g.gram"), F.floor(F.col("g.place") / PLACES)).alias("code"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1", "class")), F.col("g.place").alias("b_place"))
     most = missing_at_most(F.col("a_n") + F.col("b_n"))
     longer, shift = F.col("b_n") - F.col("a_n"), F.col("b_place") - F.col("a_place")
-    fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit")))
+    fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit"))) & F.coalesce(F.col("a_class") != F.col("b_class"), F.lit(True))
     return a.join(b.hint("merge"), "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
 
 
-def met_by_leaders(sides: Prepared) -> DataFrame:
-    """(left_id, right_id) of pairs of a left title and the first right ones that have a piece with it: at most LEADERS for each piece."""
+def met_by_leaders(sides: Prepared, marks: tuple[DataFrame, DataFrame] | None = None, most: int = LEADERS) -> DataFrame:
+    """(left_id, right_id) of pairs of a left title and the first right ones that have a piece with it: at most `most` for each piece.
+
+    marks, where given, are those of the left and of the right titles, (id, mark) each: the first ones of each piece and mark
+    meet those that have both.
+    """
     pieces = lambda df, *more: df.select("id", *more, "name", "n", "l0", "l1", "k", F.explode("places").alias("place")).select("id", *more, "n", "l0", "l1", F.xxhash64(_gram_at(), "k").alias("code"))
-    first = pieces(sides.right).withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= LEADERS)
+    if marks:
+        plain = pieces
+        pieces = lambda df, *more: plain(df, *more).join(marks[0 if more else 1].hint("merge"), "id").withColumn("code", F.xxhash64("code", "mark"))
+    first = pieces(sides.right).withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("nth") <= most)
     first = first.select("code", F.col("id").alias("right_id"), *(F.col(c).alias(f"b_{c}") for c in ("n", "l0", "l1")))
-    most = missing_at_most(F.col("n") + F.col("b_n"))
-    fits = (F.abs(F.col("n") - F.col("b_n")) <= most) & _letters_fit("l0", "l1", "b_l0", "b_l1", most) & (F.col("limit").isNull() | (F.col("right_id") < F.col("limit")))
+    missing = missing_at_most(F.col("n") + F.col("b_n"))
+    fits = (F.abs(F.col("n") - F.col("b_n")) <= missing) & _letters_fit("l0", "l1", "b_l0", "b_l1", missing) & (F.col("limit").isNull() | (F.col("right_id") < F.col("limit")))
     return pieces(sides.left, "limit").join(first.hint("merge"), "code").where(fits).select(F.col("id").alias("left_id"), "right_id").distinct()
 
 
@@ -201,7 +211,7 @@ def few_missing(a: Column, b: Column) -> Column:
     return F.call_function("levenshtein", a, b, missing_at_most(F.length(a) + F.length(b))) >= 0
 
 
-def _verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The pairs between which few edits lie, with their names."""
     names = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")).hint("merge")
     named = met.join(names(left, "left"), "left_id").join(names(right, "right"), "right_id")
@@ -211,7 +221,7 @@ def _verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """candidates() between which few edits lie, with their names: (left_id, left_name, right_id, right_name)."""
     met = candidates(left, right, keys)
-    out = stored(_verified(met, left, right))
+    out = stored(verified(met, left, right))
     discard(met)
     return out
 
@@ -223,7 +233,7 @@ def first_near(left: DataFrame, right: DataFrame, keys: list[str], alike) -> Dat
     of their pieces; after that only what comes before it is looked at, so the pairs of such a group are not gone through.
     """
     sides = Prepared(left, right, keys, both=True)
-    least = lambda met: stored(_verified(met, sides.left, sides.right).where(alike(F.col("right_name"), F.col("left_name"))).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
+    least = lambda met: stored(verified(met, sides.left, sides.right).where(alike(F.col("right_name"), F.col("left_name"))).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
     early = least(met_by_leaders(sides))
     limits = sides.left.select("id", "limit").join(early.withColumnRenamed("left_id", "id"), "id", "left").select("id", F.coalesce("right_id", "limit").alias("limit"))
     limits = stored(limits)

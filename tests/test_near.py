@@ -71,7 +71,7 @@ def test_grams_and_pairs_are_not_broadcast(spark):
     sides = near.Prepared(df, df, ["key"], both=True)
     pieces, leaders = near.met_by_pieces(sides), near.met_by_leaders(sides)
     rows = identity.keyed(papers(spark, *({"title": name, "year": 2000} for _, name, _ in names)))
-    for got in (pieces, leaders, near._verified(pieces, df, df), identity.fuzzy_edges(rows)):
+    for got in (pieces, leaders, near.verified(pieces, df, df), identity.fuzzy_edges(rows)):
         assert got.collect()
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
@@ -106,6 +106,28 @@ def test_large_blocks_give_the_same_pairs(spark, block, monkeypatch):
     assert got == want and want
 
 
+def test_groups_leave_out_pairs_of_one_component(spark, monkeypatch):
+    """The same components as by all links, but pairs of a large group of near titles are not gone through."""
+    monkeypatch.setattr(identity, "LARGE_BLOCK", 8)
+    rng = random.Random(5)
+    base = "proceedings of the annual meeting on networks and their many uses in the practice of "
+    letters = [base + f"{a}{b} end" for a in "bcdfghklm" for b in "aeiou"]
+    apart = ["proceedings of the annual " + " ".join(rng.choice(["citation", "graph", "text", "study", "overview"]) for _ in range(4)) for _ in range(40)]
+    rows = [{"title": t, "year": rng.choice([None, 1990, 2000, 2001, 2003, 2010])} for t in (letters + apart) * 2]
+    keyed = identity.keyed(papers(spark, *rows))
+    links = identity.fuzzy_edges(keyed).union(identity.key_edges(keyed))
+    want = {frozenset((r.node, r.component)) for r in identity.connected_components(links).collect()}
+    all_pairs, seen, near_ones = identity.fuzzy_pairs(keyed).select("name_a", "name_b").distinct().count(), [], identity._Titles.near
+
+    def counted(self, met):
+        seen.append((out := near_ones(self, met)).select("name_a", "name_b").distinct().count())
+        return out
+
+    monkeypatch.setattr(identity._Titles, "near", counted)
+    got = {frozenset((r.node, r.component)) for r in identity.components(keyed).collect()}
+    assert got == want and len(seen) == 2 and sum(seen) < all_pairs / 2
+
+
 def test_runs_where_the_package_is_not_on_the_workers_path(tmp_path):
     """From another folder, with the package on the driver's path alone."""
     code = f"""
