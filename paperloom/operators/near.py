@@ -24,7 +24,8 @@ SIMILAR = 0.93
 EDITS = 2 * (1 - SIMILAR) / SIMILAR
 #: Length of a gram; of titles shorter than SHORT, which need more pieces than they have room for, that of a short one.
 GRAM, SHORT_GRAM, SHORT = 5, 3, 21
-#: Places that share a part of the key, so that a common gram is many keys and meets only what stands near it.
+#: Half places, counted from a title's middle, that share a part of the key, so that a common gram is many keys and meets only
+#: what stands near it.
 PLACES = 16
 #: Grams that are at least one in so many of all are common: there can't be more of them than this, so they fit in memory.
 COMMON = 20_000
@@ -163,21 +164,21 @@ def met_by_pieces(sides: Prepared, limits: DataFrame | None = None, classes: Dat
 
     Only right ids below a left row's limit count, all if it is null; limits (id, limit) stand for those of the left side.
     Pairs meet by a piece of the left title, near its place; their lengths, letters and order are tested where they meet, so
-    that pairs come out of the join, each as often as they share a piece, that mostly are near indeed.
+    that pairs come out of the join, each as often as they share a piece, that mostly are near indeed. Places count from the
+    middle: what is missing before a piece moves it by half a place there, and what is missing behind it by half the other way.
     """
     code = lambda gram, bucket: F.xxhash64(gram, bucket, "k")
     left = sides.left if limits is None else sides.left.drop("limit").join(limits, "id")
     classed = lambda df: df.withColumn("class", F.lit(None).cast("long")) if classes is None else df.join(classes, "id")
     pieces = classed(left).select("id", "limit", "name", "n", "l0", "l1", "k", "class", F.explode("places").alias("place"))
-    reach = spoiled_at_most(F.col("n"))
-    buckets = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(1)) / PLACES), F.floor((F.col("place") + reach) / PLACES))
-    pieces = pieces.withColumn("gram", _gram_at()).withColumn("bucket", F.explode(buckets))
-    a = pieces.select(code(F.col("gram"), F.col("bucket")).alias("code"), *(F.col(c).alias(f"a_{c}") for c in ("id", "limit", "n", "place", "l0", "l1", "class")))
-    every = classed(sides.right).select("id", "n", "l0", "l1", "k", "class", F.explode(grams(F.col("name"))).alias("g"))
-    b = every.select(code(F.col("g.gram"), F.floor(F.col("g.place") / PLACES)).alias("code"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1", "class")), F.col("g.place").alias("b_place"))
+    reach, middle = spoiled_at_most(F.col("n")), lambda place: 2 * F.col(place) - F.col("n")
+    buckets = F.sequence(F.floor((F.col("at") - reach) / PLACES), F.floor((F.col("at") + reach) / PLACES))
+    pieces = pieces.withColumns({"gram": _gram_at(), "at": middle("place")}).withColumn("bucket", F.explode(buckets))
+    a = pieces.select(code(F.col("gram"), F.col("bucket")).alias("code"), *(F.col(c).alias(f"a_{c}") for c in ("id", "limit", "n", "at", "l0", "l1", "class")))
+    every = classed(sides.right).select("id", "n", "l0", "l1", "k", "class", F.explode(grams(F.col("name"))).alias("g")).withColumn("at", middle("g.place"))
+    b = every.select(code(F.col("g.gram"), F.floor(F.col("at") / PLACES)).alias("code"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "at", "l0", "l1", "class")))
     most = missing_at_most(F.col("a_n") + F.col("b_n"))
-    longer, shift = F.col("b_n") - F.col("a_n"), F.col("b_place") - F.col("a_place")
-    fits = (F.abs(longer) <= most) & (2 * shift <= most + longer) & (-2 * shift <= most - longer) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit"))) & F.coalesce(F.col("a_class") != F.col("b_class"), F.lit(True))
+    fits = (F.abs(F.col("b_n") - F.col("a_n")) <= most) & (F.abs(F.col("b_at") - F.col("a_at")) <= most) & _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most) & (F.col("a_limit").isNull() | (F.col("b_id") < F.col("a_limit"))) & F.coalesce(F.col("a_class") != F.col("b_class"), F.lit(True))
     return a.join(b.hint("merge"), "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
 
 
@@ -211,15 +212,53 @@ def few_missing(a: Column, b: Column) -> Column:
     return F.call_function("levenshtein", a, b, missing_at_most(F.length(a) + F.length(b))) >= 0
 
 
-def verified(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs between which few edits lie, with their names."""
+def _led_alike(a: str, b: str) -> int:
+    """How many first characters of two texts are the same."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def in_common(a: str, b: str) -> int:
+    """The most characters that two texts share in one order; bits of `free` are a's places that no character of b is matched with."""
+    first = _led_alike(a, b)
+    a, b = a[first:], b[first:]
+    last = _led_alike(a[::-1], b[::-1])
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every = free = (1 << len(a)) - 1
+    for c in b:
+        if hit := free & where.get(c, 0):
+            free = (free + hit) | (free - hit)
+    return first + last + len(a) - (free & every).bit_count()
+
+
+@F.udf(T.BooleanType(), useArrow=True)
+def enough_in_common(a: str | None, b: str | None) -> bool | None:
+    """Whether two titles miss at most as many characters of each other as ratio SIMILAR allows."""
+    return None if a is None or b is None else len(a) + len(b) - 2 * in_common(a, b) <= int((1 - SIMILAR) * (len(a) + len(b)) + 1e-6)
+
+
+def verified(met: DataFrame, left: DataFrame, right: DataFrame, alike=None) -> DataFrame:
+    """The pairs that miss few characters of each other, with their names; of these, where given, those for which alike(right name, left name).
+
+    That is no more than ratio SIMILAR allows, so a pair that stays has its ratio taken. Edits would not do, as one that
+    replaces a character counts once, but misses two; and Spark's levenshtein takes several times as long.
+    """
     names = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")).hint("merge")
     named = met.join(names(left, "left"), "left_id").join(names(right, "right"), "right_id")
-    return named.where(few_missing(F.col("left_name"), F.col("right_name"))).select("left_id", "left_name", "right_id", "right_name")
+    enough = enough_in_common("left_name", "right_name")
+    if alike is not None:  # one inside the other, or else both would be asked of all pairs at once
+        enough = alike(F.when(enough, F.col("right_name")), F.col("left_name"))
+    return named.where(enough).select("left_id", "left_name", "right_id", "right_name")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """candidates() between which few edits lie, with their names: (left_id, left_name, right_id, right_name)."""
+    """candidates() that miss few characters of each other, with their names: (left_id, left_name, right_id, right_name)."""
     met = candidates(left, right, keys)
     out = stored(verified(met, left, right))
     discard(met)
@@ -229,11 +268,11 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def first_near(left: DataFrame, right: DataFrame, keys: list[str], alike) -> DataFrame:
     """(left_id, right_id): the near-identical right title of the least id below each left row's limit, where there is one.
 
-    alike(right name, left name) decides. Titles of a large group of near ones find one of its first members by the leaders
+    alike(right name, left name) decides, which a null name is to fail. Titles of a large group of near ones find one of its first members by the leaders
     of their pieces; after that only what comes before it is looked at, so the pairs of such a group are not gone through.
     """
     sides = Prepared(left, right, keys, both=True)
-    least = lambda met: stored(verified(met, sides.left, sides.right).where(alike(F.col("right_name"), F.col("left_name"))).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
+    least = lambda met: stored(verified(met, sides.left, sides.right, alike).groupBy("left_id").agg(F.min("right_id").alias("right_id")))
     early = least(met_by_leaders(sides))
     limits = sides.left.select("id", "limit").join(early.withColumnRenamed("left_id", "id"), "id", "left").select("id", F.coalesce("right_id", "limit").alias("limit"))
     limits = stored(limits)

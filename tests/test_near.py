@@ -86,6 +86,37 @@ def test_pairs_grow_with_what_is_near(spark):
     assert near.candidates(df, df, ["key"]).count() < 0.005 * 2_000 * 1_999 / 2
 
 
+def test_only_pairs_with_enough_in_common_have_their_ratio_taken(spark):
+    """Few edits are not enough, where they replace characters: each of those misses two."""
+    base = "a study of citation networks and their uses for forecasting the work of a year"
+    far, close = "".join("x" if i % 10 == 4 else c for i, c in enumerate(base)), base.replace("study", "studie")
+    names = [(0, base), (1, far), (2, close)]
+    df, met = spark.createDataFrame(names, "id long, name string"), spark.createDataFrame([(0, 1), (0, 2), (2, 0)], "left_id long, right_id long")
+    assert met.join(df.toDF("left_id", "a"), "left_id").join(df.toDF("right_id", "b"), "right_id").where(near.few_missing(F.col("a"), F.col("b"))).count() == 3
+    assert {(r.left_id, r.right_id) for r in near.verified(met, df, df).collect()} == {(0, 2), (2, 0)}
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def alike(a, b):
+        asked.add(a is not None)
+        return None if a is None else a > b
+
+    assert [(r.left_id, r.right_id) for r in near.verified(met, df, df, alike).collect()] == [(2, 0)] and asked.value == 2
+
+
+def test_characters_in_common_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(500):
+        a, b, c = ("".join(rng.choice("abé漢 ") for _ in range(rng.randint(0, most))) for most in (30, 30, 90))
+        a, b = (a + c, b + c) if rng.random() < 0.3 else (c + a, c + b) if rng.random() < 0.3 else (a, b)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert near.in_common(a, b) == row[-1]
+
+
 @pytest.mark.parametrize("block", [64, 2])
 def test_large_blocks_give_the_same_pairs(spark, block, monkeypatch):
     monkeypatch.setattr(identity, "LARGE_BLOCK", block)
