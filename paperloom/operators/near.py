@@ -247,7 +247,7 @@ def verified(met: DataFrame, left: DataFrame, right: DataFrame, alike=None) -> D
     """The pairs that miss few characters of each other, with their names; of these, where given, those for which alike(right name, left name).
 
     That is no more than ratio SIMILAR allows, so a pair that stays has its ratio taken. Edits would not do, as one that
-    replaces a character counts once, but misses two; and Spark's levenshtein takes several times as long.
+    replaces a character counts once, but misses two.
     """
     names = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")).hint("merge")
     named = met.join(names(left, "left"), "left_id").join(names(right, "right"), "right_id")
