@@ -16,8 +16,8 @@ BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 WORD = r"[\p{L}\p{N}_]"
 #: Fixed value: HTML and JATS tags whose attributes are well formed, so that "a<b and c>d" stays.
 MARKUP = r"""(?i)</?(?:i|b|u|em|strong|sub|sup|scp|span|p|jats:[a-z-]+)(?:\s+[a-z:-]+=(?:"[^"]*"|'[^']*'))*\s*/?>"""
-#: The forms of arXiv ids (new and old ones) and of DOIs, and how addresses may start.
-ARXIV_FORM = r"\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7}"
+#: The most digits after the point of a new arXiv id, the form of DOIs, and how addresses may start.
+ARXIV_DIGITS = 5
 DOI_FORM = r"10\.\d{4,9}/\S+"
 SCHEMES = ("", "http://", "https://")
 
@@ -139,11 +139,16 @@ def _no_pdf(c: Column) -> Column:
     return _let(c, lambda x: F.when(F.endswith(F.lower(x), F.lit(".pdf")), F.left(x, F.length(x) - 4)).otherwise(x))
 
 
-def norm_arxiv(c: Column) -> Column:
+def _arxiv_form(digits: int | None) -> str:
+    """The form of arXiv ids, new and old ones; new ones have four digits after the point at least, and any number of them for None."""
+    return rf"\d{{4}}\.\d{{4,{digits or ''}}}|[a-z-]+(?:\.[a-z]{{2}})?/\d{{7}}"
+
+
+def norm_arxiv(c: Column, digits: int | None = ARXIV_DIGITS) -> Column:
     """arXiv id from an id or address, without version; null if it is none. Old ids keep their case."""
     said = _let(_trimmed(c), lambda item: F.coalesce(_arxiv_path(item, "abs", "pdf", "html"), item))
     bare = _let(said, lambda x: F.when(F.startswith(F.lower(x), F.lit("arxiv:")), _trimmed(_after(x, "arxiv:"))).otherwise(x))
-    return blank_to_null(F.regexp_extract(bare, rf"(?i)^({ARXIV_FORM})(?:v[0-9]+)?$", 1))
+    return blank_to_null(F.regexp_extract(bare, rf"(?i)^({_arxiv_form(digits)})(?:v[0-9]+)?$", 1))
 
 
 def arxiv_of_doi(doi: Column) -> Column:
@@ -179,32 +184,32 @@ def abstract_of_index(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["word"]), " ")
 
 
-def _arxiv_reference(item: Column) -> Column:
+def _arxiv_reference(item: Column, digits: int | None) -> Column:
     """The id of a user's reference that is an arXiv id or nothing but an address of one, else null."""
     elsewhere = F.contains(F.lower(item), F.lit("arxiv.org/")) & ~(_before(item, "arxiv.org/").isin(*SCHEMES) & _arxiv_path(item, "abs", "pdf").isNotNull() & ~item.rlike("[?#]|/$"))
-    return F.when(~elsewhere, norm_arxiv(_no_pdf(item)))
+    return F.when(~elsewhere, norm_arxiv(_no_pdf(item), digits))
 
 
-def _reference(c: Column) -> Column:
+def _reference(c: Column, digits: int | None) -> Column:
     """(kind, value) of a user's reference."""
 
     def read(item: Column) -> Column:
         told = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         doi = _let(_bare_doi(item), lambda bare: F.when(bare.rlike(f"^{DOI_FORM}$"), told("doi", F.lower(bare))))
-        arxiv = _let(_arxiv_reference(item), lambda known: F.when(known.isNotNull(), told("arxiv", known)))
+        arxiv = _let(_arxiv_reference(item, digits), lambda known: F.when(known.isNotNull(), told("arxiv", known)))
         return F.coalesce(doi, arxiv, F.when(item.rlike("^[0-9a-f]{40}$"), told("s2", item)), told("title", item))
 
     return _let(_trimmed(c), read)
 
 
-def reference_kind(c: Column) -> Column:
+def reference_kind(c: Column, digits: int | None = ARXIV_DIGITS) -> Column:
     """doi, arxiv, s2 or title: what a user's reference looks like."""
-    return F.coalesce(_reference(c)["kind"], F.lit("title"))
+    return F.coalesce(_reference(c, digits)["kind"], F.lit("title"))
 
 
-def reference_value(c: Column) -> Column:
+def reference_value(c: Column, digits: int | None = ARXIV_DIGITS) -> Column:
     """A user's reference in normal form."""
-    return _reference(c)["value"]
+    return _reference(c, digits)["value"]
 
 
 def clamped(c: Column) -> Column:

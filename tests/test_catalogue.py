@@ -37,6 +37,18 @@ def test_query_equals_sql(spark, duck, name):
         assert tidy(rows, df.columns, df.columns) == tidy(got.fetchall(), columns, df.columns)
 
 
+def test_url_references_of_later_pages(spark, tmp_path):
+    """Page numbers of five and more digits, which the smallest tables don't have."""
+    ids = [*range(12), *range(8994, 9012), *range(98_994, 99_012), *range(10**12, 10**12 + 6)]
+    rows = [(i, None if i % 12 == 4 else f"https://site{i}.example.com/a?b=c", "") for i in ids]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = catalogue.QUERIES["url_references"](spark, str(tmp_path))
+    got = c.execute(catalogue.SQL["url_references"])
+    assert tidy(df.collect(), df.columns, ["page_id", "found"]) == tidy(got.fetchall(), [d[0] for d in got.description], ["page_id", "found"])
+
+
 def test_no_cartesian_products(spark):
     for name, f in catalogue.QUERIES.items():
         assert "Cartesian" not in f(spark, SF)._jdf.queryExecution().executedPlan().toString(), name

@@ -74,6 +74,15 @@ def test_reference_kinds(spark):
     assert values(spark, "string", items[:4], text.reference_value) == ["10.1234/abc", "10.1234/abc", "2401.01234", "2401.01234"]
 
 
+def test_arxiv_numbers_of_more_digits(spark):
+    """Five digits at most as the reference has it, unless more are asked for."""
+    items = ["HTTPS://arXiv.org/pdf/2401.010000v3.PDF", "arXiv:2401.01000v2", "2401.0100001", "2401.010", "cs/01120170", "cs/0112017"]
+    assert values(spark, "string", items, text.reference_kind) == ["title", "arxiv", "title", "title", "title", "arxiv"]
+    assert values(spark, "string", items, text.norm_arxiv) == [None, "2401.01000", None, None, None, "cs/0112017"]
+    assert values(spark, "string", items, lambda c: text.reference_kind(c, digits=None)) == ["arxiv", "arxiv", "arxiv", "title", "title", "arxiv"]
+    assert values(spark, "string", items, lambda c: text.reference_value(c, digits=None))[:3] == ["2401.010000", "2401.01000", "2401.0100001"]
+
+
 QUERY = '("citation network" OR "citation graph") AND (forecast* OR predict*) NOT survey'
 
 
