@@ -31,6 +31,8 @@ PLACES = 16
 COMMON = 20_000
 #: Right titles of a piece that each left one with it is compared with first.
 LEADERS = 8
+#: Titles of a block that meet in one cell, on either side.
+CELL = 512
 #: Titles up to this length get the best choice of pieces, longer ones the rarest piece of each of as many equal parts.
 CHOSEN = 400
 
@@ -85,15 +87,15 @@ def rarest_of_parts(costs: np.ndarray, size: int, count: int) -> np.ndarray:
     return np.array([a + int(np.argmin(costs[a : z - size + 1])) for a, z in zip(edges, edges[1:])], np.int64)
 
 
-def _pieces_udf(common: dict[str, int], floor: int):
-    """Places (from 1) of the pieces of each title, as a function of a column of titles."""
+def _pieces_udf(common: dict[str, int], floor: int, spoiled=lambda n: int(n * EDITS + 1e-6)):
+    """Places (from 1) of the pieces of each title, as a function of a column of titles: one more than `spoiled` of its length."""
 
     def places(names: pa.Array) -> pa.Array:
         out: list = [[] for _ in range(len(names))]
         alike: dict[int, list[int]] = {}
         texts = names.to_pylist()
         for i, t in enumerate(texts):
-            if t and (k := int(len(t) * EDITS + 1e-6)):
+            if t and (k := spoiled(len(t))):
                 q = GRAM if len(t) >= SHORT else SHORT_GRAM
                 if len(t) > CHOSEN:
                     costs = np.array([common.get(t[p : p + q], floor) for p in range(len(t) - q + 1)], np.float64)
@@ -101,7 +103,7 @@ def _pieces_udf(common: dict[str, int], floor: int):
                 else:
                     alike.setdefault(len(t), []).append(i)
         for n, which in alike.items():
-            q, k = GRAM if n >= SHORT else SHORT_GRAM, int(n * EDITS + 1e-6)
+            q, k = GRAM if n >= SHORT else SHORT_GRAM, spoiled(n)
             step = max(1, 2_000_000 // (n * (k + 2)))
             for low in range(0, len(which), step):
                 some = which[low : low + step]
@@ -125,6 +127,44 @@ def letter_counts(title: Column, name: str) -> list[Column]:
     return [bits(x).alias(f"{name}{i}") for i, x in enumerate(LETTERS)]
 
 
+def edits_at_most(total: Column) -> Column:
+    """The most edits that the prefilter of near titles allows two titles of this summed length."""
+    return F.floor(F.lit(1 - SIMILAR) * total).cast("int") + 1
+
+
+def met_by_edits(titles: DataFrame) -> DataFrame:
+    """(left_id, right_id), stored: pairs of titles of different blocks that may have as few edits between them as edits_at_most() of their lengths.
+
+    titles has id, numbers, block (a number), n, the length that counts, raw, what is edited, at least as long and at least SHORT,
+    and letter counts l0, l1 of it. An edit spoils one piece at most, so of one piece more of the longer title than it may have edits, one
+    stands in the other.
+    """
+    at_most = lambda n: int(2 * (1 - SIMILAR) * n + 1e-6) + 1
+    size = F.length("raw")
+    every = F.transform(F.sequence(F.lit(1), size - GRAM + 1), lambda p: F.struct(p.alias("place"), F.substring(F.col("raw"), p, GRAM).alias("gram")))
+    plain = titles.select("id", "block", "n", "raw", "l0", "l1", F.xxhash64("numbers").alias("k"))
+    total = plain.select(F.sum(size - GRAM + 1)).first()[0] or 0
+    floor = max(8, total // COMMON + 1)
+    counted = plain.select(F.explode(every["gram"]).alias("gram")).groupBy("gram").count()
+    common = {r.gram: r["count"] for r in counted.where(F.col("count") >= floor).collect()}  # COMMON at most
+    ready = stored(plain.withColumn("places", _pieces_udf(common, floor, at_most)(F.col("raw"))))
+    code = lambda gram, bucket: F.xxhash64(gram, bucket, "k")
+    own = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("id", "block", "n", "at", "l0", "l1")]
+    middle = lambda place: (2 * F.col(place) - size).alias("at")
+    reach = edits_at_most(2 * F.col("n")) + 1
+    pieces = ready.select("*", F.explode("places").alias("place")).select("*", middle("place"), F.substring(F.col("raw"), F.col("place"), F.lit(GRAM)).alias("gram"))
+    a = pieces.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - reach) / PLACES), F.floor((F.col("at") + reach) / PLACES)))).select(code(F.col("gram"), F.col("bucket")).alias("code"), *own("a"))
+    b = ready.select("*", F.explode(every).alias("g")).select("*", middle("g.place")).select(code(F.col("g.gram"), F.floor(F.col("at") / PLACES)).alias("code"), *own("b"))
+    most = edits_at_most(F.col("a_n") + F.col("b_n"))
+    apart = F.col("a_n") - F.col("b_n")
+    first = (apart > 0) | ((apart == 0) & (F.col("a_id") > F.col("b_id")))
+    near_lengths = 2 * F.col("b_n") >= F.lit(SIMILAR) * (F.col("a_n") + F.col("b_n"))
+    fits = (F.col("a_block") != F.col("b_block")) & first & near_lengths & (F.abs(F.col("b_at") - F.col("a_at")) <= most) & letters_fit(2 * most)
+    met = stored(a.join(b.hint("merge"), "code").where(fits).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct())
+    discard(ready)
+    return met
+
+
 class Prepared:
     """Both sides of a join, with what is reckoned once a title: its length, letters, keys and pieces."""
 
@@ -149,6 +189,11 @@ class Prepared:
         discard(self.left, self.right)
 
 
+def letters_fit(most: Column) -> Column:
+    """Whether the letters of rows a_ and b_ of titles with l0, l1 leave it open that so many characters are missing from one or the other."""
+    return _letters_fit("a_l0", "a_l1", "b_l0", "b_l1", most)
+
+
 def _gram_at(place: str = "place") -> Column:
     return F.expr(f"substring(name, {place}, case when n >= {SHORT} then {GRAM} else {SHORT_GRAM} end)")
 
@@ -207,6 +252,21 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+def met_in_blocks(titles: DataFrame, keys: list[str], fits: Column) -> DataFrame:
+    """(left_id, right_id): each pair of titles of equal keys, once, for which fits holds, a condition on columns a_... and b_... of titles.
+
+    titles has id, the keys and held, the number of titles of its keys. A block is cut into parts of some CELL titles, and each two
+    of them meet in a cell of their own: no pair is left out, a large block is dealt out evenly, and no task holds more than a cell.
+    """
+    of = F.ceil(F.col("held") / CELL).cast("int")
+    cut = titles.withColumn("of", of).withColumn("part", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    own = lambda side: [F.col(c).alias(f"{side}_{c}") for c in titles.columns if c not in (*keys, "held")]
+    a = cut.select(*keys, *own("a"), F.col("part").alias("low"), F.explode(F.sequence(F.col("part"), F.col("of") - 1)).alias("high"))
+    b = cut.select(*keys, *own("b"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("low"), F.col("part").alias("high"))
+    met = a.join(b.hint("merge"), [*keys, "low", "high"]).where(((F.col("low") < F.col("high")) | (F.col("a_id") < F.col("b_id"))) & fits)
+    return met.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"))
+
+
 def few_missing(a: Column, b: Column) -> Column:
     """Whether at most as many edits lie between two titles as ratio SIMILAR allows; counting ends where there are more."""
     return F.call_function("levenshtein", a, b, missing_at_most(F.length(a) + F.length(b))) >= 0

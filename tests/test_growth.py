@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import graph, text_index
+from paperloom.operators import graph, near, text_index
 from paperloom.plans import catalogue
 from paperloom.sources import sheets
 from tests.conftest import SF
@@ -63,6 +63,24 @@ def test_fuzzy_candidates_count_bytes(spark, tmp_path):
     assert want and sorted(map(tuple, catalogue.QUERIES["fuzzy_candidates"](spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_fuzzy_candidates_of_all_starts(spark, tmp_path, monkeypatch):
+    """Titles that differ near their start count, too; large blocks are cut into cells; starts of texts are squeezed like whole ones."""
+    monkeypatch.setattr(near, "CELL", 4)
+    rng = random.Random(4)
+    whole = "a study of citation networks and of their many uses in practice and theory"
+    edited = lambda t, n: "".join("" if r < n / 200 else rng.choice("aé ") if r < n / 100 else c for c, r in ((c, rng.random()) for c in t))
+    bases = [whole, whole[:40] + " ergänzung äöü größe straße", whole[:20] + "xvi 3 iv part two", "  " * 500 + whole + "\t" * 90 + "end", whole[:79] + " " * 700 + "z", whole + " 4"]
+    texts = [edited(rng.choice(bases), rng.choice([0, 5, 12])) for _ in range(150)] + bases + [None, ""]
+    spark.createDataFrame([(i, t, "de", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalogue.SQL["fuzzy_candidates"]).fetchall()
+    got = sorted(map(tuple, catalogue.QUERIES["fuzzy_candidates"](spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and {a[:20] == b[:20] for a, b in want} == {True, False}
+
+
 def test_postings_without_a_row_for_each_word(spark, tmp_path):
     texts = ["b a b", "", "x", "a a a"]
     df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "seq long, said array<string>")
